@@ -6,7 +6,7 @@ from importlib import import_module
 
 from proofloom.catalog.registry import ORACLE, QUERIES
 
-_MODULES = ("text", "consistency")
+_MODULES = ("text", "consistency", "xref")
 
 
 def _load() -> None:

@@ -66,7 +66,7 @@ _TEXT = "CASE k " + " ".join(f"WHEN {i} THEN {c}" for i, (_, _, c) in enumerate(
 
 _BASE = """
   CAST(floor(l_orderkey / 16) AS BIGINT) AS doc_id, l_orderkey AS ok, l_partkey AS pk, l_suppkey AS sk,
-  l_linenumber AS ln, CAST(l_quantity AS INT) AS q, year(l_shipdate) AS y, month(l_shipdate) AS m,
+  l_linenumber AS ln, l_extendedprice AS px, CAST(l_quantity AS INT) AS q, year(l_shipdate) AS y, month(l_shipdate) AS m,
   day(l_shipdate) AS d, CAST((l_partkey + l_suppkey + l_linenumber) % 30 AS INT) AS k
 """
 # The first elements of even documents form a cover page and a table of contents.
@@ -91,10 +91,11 @@ _FINAL = {
 def zh_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chinese elements with style attributes as plain columns."""
     base = table(spark, sf_dir, "lineitem").selectExpr(*[c.strip() for c in _split(_BASE)])
-    order = ["ok", "pk", "sk", "ln"]
+    # The wording is settled below the window, so rules above it read a plain column.
+    base = base.selectExpr("*", f"{_TYPE} AS t", f"{_LEVEL} AS lv", f"{_TEXT} AS c")
+    order = ["ok", "pk", "sk", "ln", "px"]
     blocks = [F.col("ok"), F.floor(F.col("pk") / F.lit(65536))]
     df = numbered(base, ["doc_id"], order, blocks, "element_index")
-    df = df.selectExpr("*", f"{_TYPE} AS t", f"{_LEVEL} AS lv", f"{_TEXT} AS c")
     return df.selectExpr(
         "doc_id", "element_index", "q", "pk", "sk", "ln", "k",
         *[f"{'CAST(' + e + ' AS DOUBLE)' if n in _DOUBLES else e} AS {n}" for n, e in _FINAL.items()])
@@ -122,7 +123,7 @@ zh AS (
     {", ".join(f"{'CAST(' + e + ' AS DOUBLE)' if n in _DOUBLES else e} AS {n}" for n, e in _FINAL.items())}
   FROM (
     SELECT *, {_TYPE} AS t, {_LEVEL} AS lv, {_TEXT} AS c FROM (
-      SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ok, pk, sk, ln) - 1 AS INT) AS element_index
+      SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ok, pk, sk, ln, px) - 1 AS INT) AS element_index
       FROM (SELECT {_BASE} FROM lineitem))))
 """
 
