@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from proofloom.functions.ordered import running_sum
 from proofloom.functions.spans import let, strip
@@ -142,7 +143,10 @@ def _block_kind(line: str, nxt: str | None, kind: str) -> tuple[str, bool]:
     return ("ruler", True) if _RULER.match(bare) else ("paragraph", True)
 
 
-@F.pandas_udf("array<struct<block:int,kind:string>>")
+_BLOCKS = T.ArrayType(T.StructType([T.StructField("block", T.IntegerType()), T.StructField("kind", T.StringType())]))
+
+
+@F.pandas_udf(_BLOCKS)
 def _line_blocks(lines: pd.Series) -> pd.Series:
     """Block number and kind for each line of a document; one pass, small state."""
     out = []
