@@ -183,7 +183,13 @@ _NEW = "doc_id, element_index, substr(content, q % 5 + 1, 2 + q % 6) AS location
 
 
 def _new_issues(spark, d):
-    return zh_elements(spark, d, "q", "k").filter("k % 3 = 0").selectExpr("doc_id", "element_index", "substr(content, q % 5 + 1, 2 + q % 6) AS location_text")
+    return zh_elements(spark, d, "q", "k", "pk").filter("k % 3 = 0 AND pk % 2 = 0").selectExpr(
+        "doc_id", "element_index", "substr(content, q % 5 + 1, 2 + q % 6) AS location_text")
+
+
+def _old_issues(spark, d):
+    return zh_elements(spark, d, "q", "k", "pk").filter("k % 3 = 0 AND pk % 2 = 1").selectExpr(
+        "doc_id", "element_index", "substr(content, q % 5 + 1, 2 + q % 6) AS location_text")
 
 
 _SIM = """len(list_intersect(list_distinct(string_split(a.t, '')), list_distinct(string_split(b.t, '')))) * 1.0
@@ -191,11 +197,11 @@ _SIM = """len(list_intersect(list_distinct(string_split(a.t, '')), list_distinct
 for _name, _cont in (("C18_near_dup_issues", True), ("C18_near_dup_jaccard_only", False)):
     _min = 2 if _cont else 1
     _txt = "regexp_replace(location_text, '^\\s+|\\s+$', '', 'g')" if _cont else "location_text"
-    query(_name, f"""{_ZH_ISSUES}, nw AS (SELECT *, {_txt} AS t FROM (SELECT {_NEW} FROM zh WHERE k % 3 = 0)),
+    query(_name, f"""WITH {ZH_SQL}, i AS (SELECT doc_id, location_text AS loc FROM (SELECT {_NEW} FROM zh WHERE k % 3 = 0 AND pk % 2 = 1)), nw AS (SELECT *, {_txt} AS t FROM (SELECT {_NEW} FROM zh WHERE k % 3 = 0 AND pk % 2 = 0)),
       b AS (SELECT DISTINCT doc_id, {_txt.replace('location_text', 'loc')} AS t FROM i WHERE length({_txt.replace('location_text', 'loc')}) >= {_min}),
       na AS (SELECT DISTINCT doc_id, t FROM nw WHERE length(t) >= {_min}),
       dup AS (SELECT DISTINCT a.doc_id, a.t FROM na a JOIN b ON a.doc_id = b.doc_id AND ({f"contains(a.t, b.t) OR contains(b.t, a.t) OR " if _cont else ""}{_SIM}))
       SELECT doc_id, element_index, location_text FROM nw WHERE (doc_id, t) NOT IN (SELECT (doc_id, t) FROM dup)""")(
-        lambda spark, d, c=_cont: M.drop_near_duplicates(_new_issues(spark, d), _zh_issues(spark, d), containment=c))
+        lambda spark, d, c=_cont: M.drop_near_duplicates(_new_issues(spark, d), _old_issues(spark, d), containment=c))
 query("G2_merge_model_issues")(lambda spark, d: M.merge_model_issues(
-    _zh_issues(spark, d).select("doc_id", "element_index", "location_text"), _new_issues(spark, d), ["element_index", "location_text"]))
+    _old_issues(spark, d), _new_issues(spark, d), ["element_index", "location_text"]))
