@@ -6,7 +6,7 @@ from importlib import import_module
 
 from proofloom.catalog.registry import ORACLE, QUERIES
 
-_MODULES = ("text", "consistency", "xref", "ingest", "reports", "usage", "structure")
+_MODULES = ("text", "consistency", "xref", "ingest", "reports", "usage", "structure", "formatting", "streams")
 
 
 def _load() -> None:

@@ -54,10 +54,12 @@ def fingerprint(text: Column, n: int = 40) -> Column:
 
 def cn_size_to_pt(text: Column) -> Column:
     """Named size or ``12pt`` / ``12磅`` / ``12`` to points."""
-    t = strip(text)
-    clean = strip(F.regexp_replace(t, "[字号]", ""))
-    number = F.regexp_extract(t, r"(?iU)^(\d+(?:\.\d+)?)\s*(?:pt|磅|磅值)?$", 1).try_cast("double")
-    return F.coalesce(lookup(t, R.CN_SIZES), lookup(clean, R.CN_SIZES), number)
+    def read(t: Column) -> Column:
+        clean = strip(F.regexp_replace(t, "[字号]", ""))
+        number = F.regexp_extract(t, r"(?iU)^(\d+(?:\.\d+)?)\s*(?:pt|磅|磅值)?$", 1).try_cast("double")
+        return F.coalesce(lookup(t, R.CN_SIZES), lookup(clean, R.CN_SIZES), number)
+
+    return let(strip(text), read)
 
 
 def pt_to_cn_size(pt: Column) -> Column:
@@ -77,19 +79,21 @@ def parse_page_number_format(text: Column) -> Column:
 
 def parse_line_spacing(text: Column) -> Column:
     """``struct<type, value>`` of a line spacing phrase; null fields when unknown."""
-    t = strip(text)
-    fixed = F.regexp_extract(t, r"(?U)^固定值\s*(\d+(?:\.\d+)?)\s*磅?", 1).try_cast("double")
-    points = F.regexp_extract(t, r"(?U)^(\d+(?:\.\d+)?)\s*磅", 1).try_cast("double")
-    times = F.regexp_extract(t, r"(?U)^(\d+(?:\.\d+)?)\s*倍", 1).try_cast("double")
-    exact = F.coalesce(fixed, points)
-    named = F.when(times == 1.0, "single").when(times == 1.5, "one_point_five").when(times == 2.0, "double").otherwise("multiple")
-    kind = (
-        F.when(exact.isNotNull(), "exact").when(F.contains(t, F.lit("单倍")), "single")
-        .when(F.contains(t, F.lit("双倍")), "double").when(times.isNotNull(), named))
-    value = (
-        F.when(exact.isNotNull(), exact).when(F.contains(t, F.lit("单倍")), 1.0)
-        .when(F.contains(t, F.lit("双倍")), 2.0).otherwise(times))
-    return F.struct(kind.alias("type"), value.alias("value"))
+    number = lambda t, regex: F.regexp_extract(t, regex, 1).try_cast("double")
+
+    def parts(t: Column) -> Column:
+        exact = F.coalesce(number(t, r"(?U)^固定值\s*(\d+(?:\.\d+)?)\s*磅?"), number(t, r"(?U)^(\d+(?:\.\d+)?)\s*磅"))
+        return F.struct(exact.alias("exact"), number(t, r"(?U)^(\d+(?:\.\d+)?)\s*倍").alias("times"),
+                        F.contains(t, F.lit("单倍")).alias("one"), F.contains(t, F.lit("双倍")).alias("two"))
+
+    def read(p: Column) -> Column:
+        times = p["times"]
+        named = F.when(times == 1.0, "single").when(times == 1.5, "one_point_five").when(times == 2.0, "double").otherwise("multiple")
+        kind = F.when(p["exact"].isNotNull(), "exact").when(p["one"], "single").when(p["two"], "double").when(times.isNotNull(), named)
+        value = F.when(p["exact"].isNotNull(), p["exact"]).when(p["one"], 1.0).when(p["two"], 2.0).otherwise(times)
+        return F.struct(kind.alias("type"), value.alias("value"))
+
+    return let(let(strip(text), parts), read)
 
 
 def parse_margin_cm(text: Column) -> Column:

@@ -290,17 +290,21 @@ def normalize_style_map(raw: Column) -> Column:
     def either(*keys: str) -> Column:
         return F.coalesce(*[F.nullif(F.try_element_at(raw, F.lit(k)), F.lit("")) for k in keys])
 
-    font = either("font", "字体")
-    has_cn = font.rlike("[" + R.CN_FONT_CHARS + "]")
-    spacing = parse_line_spacing(either("line_spacing", "行距"))
-    yes = lambda *ks: F.when(F.coalesce(~F.lower(either(*ks)).isin("false", "0"), F.lit(False)), True)
-    return F.struct(
-        F.coalesce(either("font_cn", "中文字体"), F.when(has_cn, font)).alias("font_name_cn"), F.coalesce(either("font_en", "英文字体"), F.when(~has_cn, font)).alias("font_name_en"),
-        cn_size_to_pt(either("size", "字号", "font_size")).alias("font_size_pt"), yes("bold", "加粗").alias("bold"), yes("italic", "斜体").alias("italic"),
-        yes("underline", "下划线").alias("underline"), parse_alignment(either("align", "对齐", "alignment")).alias("alignment"),
-        F.coalesce(F.regexp_extract(either("first_indent", "首行缩进"), r"(?U)^(\d+)\s*字符?", 1).try_cast("double"), either("first_indent", "首行缩进").try_cast("double")).alias("first_indent_chars"),
-        spacing["type"].alias("line_spacing_type"), spacing["value"].alias("line_spacing_value"),
-        either("space_before", "段前").try_cast("double").alias("space_before_pt"), either("space_after", "段后").try_cast("double").alias("space_after_pt"))
+    def read(m: Column) -> Column:
+        has_cn = m["font"].rlike("[" + R.CN_FONT_CHARS + "]")
+        spacing = parse_line_spacing(m["spacing"])
+        yes = lambda v: F.when(F.coalesce(~F.lower(v).isin("false", "0"), F.lit(False)), True)
+        indent = F.coalesce(F.regexp_extract(m["indent"], r"(?U)^(\d+)\s*字符?", 1).try_cast("double"), m["indent"].try_cast("double"))
+        return F.struct(
+            F.coalesce(m["cn"], F.when(has_cn, m["font"])).alias("font_name_cn"), F.coalesce(m["en"], F.when(~has_cn, m["font"])).alias("font_name_en"),
+            cn_size_to_pt(m["size"]).alias("font_size_pt"), yes(m["bold"]).alias("bold"), yes(m["italic"]).alias("italic"), yes(m["underline"]).alias("underline"),
+            parse_alignment(m["align"]).alias("alignment"), indent.alias("first_indent_chars"), spacing["type"].alias("line_spacing_type"),
+            spacing["value"].alias("line_spacing_value"), m["before"].try_cast("double").alias("space_before_pt"), m["after"].try_cast("double").alias("space_after_pt"))
+
+    names = {"font": ("font", "字体"), "cn": ("font_cn", "中文字体"), "en": ("font_en", "英文字体"), "size": ("size", "字号", "font_size"), "bold": ("bold", "加粗"),
+             "italic": ("italic", "斜体"), "underline": ("underline", "下划线"), "align": ("align", "对齐", "alignment"), "indent": ("first_indent", "首行缩进"),
+             "spacing": ("line_spacing", "行距"), "before": ("space_before", "段前"), "after": ("space_after", "段后")}
+    return let(F.struct(*[either(*keys).alias(n) for n, keys in names.items()]), read)
 
 
 def _found(text: Column, *patterns: str) -> Column:
