@@ -23,7 +23,8 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _log_stream(spark, d):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.ROCKSDB)
-    return _stream(spark, d, "events").selectExpr(*[f"{e} AS {n}" for n, e in _TOKEN.items()])
+    return _stream(spark, d, "events").selectExpr(*[f"{e} AS {n}" for n, e in _TOKEN.items()]).withColumn(
+        "created_at", F.col("created_at").cast("timestamp"))
 
 
 def _doc_stream(spark, d):
@@ -32,7 +33,7 @@ def _doc_stream(spark, d):
         "doc_id", "element_index", F.lit("paragraph").alias("element_type"), F.lit(0).alias("level"), "content", F.create_map().cast("map<string,string>").alias("metadata"))
 
 
-query("L1_stream_daily_counters", f"""{LOGS} SELECT date_trunc('day', created_at)::TIMESTAMP AS day, user_id, coalesce(purpose, 'unknown') AS purpose, count(*) AS n FROM token_logs GROUP BY ALL""")(
+query("L1_stream_daily_counters", f"""{LOGS} SELECT CAST(created_at AS DATE) AS day, user_id, coalesce(purpose, 'unknown') AS purpose, count(*) AS n FROM token_logs GROUP BY ALL""")(
     lambda spark, d: J.latest_rows(J.daily_counters(_log_stream(spark, d)), J.work_folder(spark), ["day", "user_id", "purpose"]))
 query("L1_stream_monthly_counters", f"""{LOGS} SELECT user_id, strftime(created_at, '%Y-%m') AS period_key, count(*) AS n FROM token_logs GROUP BY ALL""")(
     lambda spark, d: J.latest_rows(J.monthly_counters(_log_stream(spark, d)), J.work_folder(spark), ["user_id", "period_key"]))

@@ -195,7 +195,7 @@ query("E24_member_invites", f"""WITH {usage_sql('teams', 'members', 'profiles')}
 
 query("E25_accept_invites", f"""WITH {usage_sql('members')} SELECT team_id, user_id, CASE WHEN status = 'pending' AND user_id % 2 = 0 THEN 'active' ELSE status END AS status,
     CASE WHEN status = 'pending' AND user_id % 2 = 0 THEN {NOW_SQL} END AS accepted_at FROM members""")(
-    lambda spark, d: (lambda m: T.accept_invites(m, m.filter("user_id % 2 = 0").select("team_id", "user_id"), NOW).select("team_id", "user_id", "status", "accepted_at"))(members(spark, d)))
+    lambda spark, d: (lambda m: T.accept_invites(m, m.filter("user_id % 2 = 0").select("team_id", "user_id"), NOW.cast("timestamp_ntz")).select("team_id", "user_id", "status", "accepted_at"))(members(spark, d)))
 query("E25_cancel_invites", f"""WITH {usage_sql('members')} SELECT team_id, user_id, status FROM members WHERE NOT (status = 'pending' AND invite_email IS NOT NULL AND user_id % 5 = 0)""")(
     lambda spark, d: (lambda m: T.cancel_invites(m, m.filter("user_id % 5 = 0 AND invite_email IS NOT NULL").select("team_id", F.concat(F.lit(" "), F.upper("invite_email")).alias("email"))).select(
         "team_id", "user_id", "status"))(members(spark, d)))

@@ -64,7 +64,7 @@ def daily_counters(logs: DataFrame, late: str = LATE) -> DataFrame:
     """Requests per user, purpose and day."""
     return logs.withWatermark("created_at", late).groupBy(
         F.window("created_at", "1 day").alias("w"), "user_id", F.coalesce("purpose", F.lit("unknown")).alias("purpose")
-    ).agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "user_id", "purpose", "n")
+    ).agg(F.count("*").alias("n")).select(F.col("w.start").cast("date").alias("day"), "user_id", "purpose", "n")
 
 
 def token_daily(logs: DataFrame, late: str = LATE) -> DataFrame:
