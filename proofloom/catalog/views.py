@@ -91,11 +91,13 @@ _FINAL = {
 def zh_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chinese elements with style attributes as plain columns."""
     base = table(spark, sf_dir, "lineitem").selectExpr(*[c.strip() for c in _split(_BASE)])
-    # The wording is settled below the window, so rules above it read a plain column.
-    base = base.selectExpr("*", f"{_TYPE} AS t", f"{_LEVEL} AS lv", f"{_TEXT} AS c")
     order = ["ok", "pk", "sk", "ln", "px"]
     blocks = [F.col("ok"), F.floor(F.col("pk") / F.lit(65536))]
     df = numbered(base, ["doc_id"], order, blocks, "element_index")
+    # Numbering moves only small columns; the wording is built above it, behind a
+    # generator so that rules on the text are not copied into the CASE below.
+    line = F.struct(F.expr(_TYPE).alias("t"), F.expr(_LEVEL).alias("lv"), F.expr(_TEXT).alias("c"))
+    df = df.select("*", F.inline(F.array(line)))
     return df.selectExpr(
         "doc_id", "element_index", "q", "pk", "sk", "ln", "k",
         *[f"{'CAST(' + e + ' AS DOUBLE)' if n in _DOUBLES else e} AS {n}" for n, e in _FINAL.items()])

@@ -28,7 +28,7 @@ def test_blocked_order_matches_plain_order(spark):
     rng = random.Random(7)
     rows = [(k, i, rng.choice([None, 1, 2, 3])) for k in range(3) for i in range(rng.randint(1, 60))]
     df = spark.createDataFrame(rows, "k int, i int, v int")
-    for size in (1, 4, 1000):
+    for size in (4, 1000):
         block = [O.index_block("i", size)]
         out = O.running_sum(df, ["k"], ["i"], block, total=F.col("v"))
         out = O.last_seen(out, ["k"], ["i"], block, last=F.col("v"))
@@ -48,7 +48,7 @@ def test_results_do_not_depend_on_partitions(spark, elements):
 
     rows = elements(*[(d, "paragraph", f"如图{i}-1，帐号{i}!! 1,000与1000") for d in range(3) for i in range(9)])
     seen = set()
-    for n in ("1", "7", "64"):
+    for n in ("1", "33"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
         seen.add(tuple(sorted(map(str, check(rows).collect()))))
     spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -25,7 +25,7 @@ def rule_ids(df):
     (D.repeat_char_2, "这是的的问题", ["的的"]),
     (D.unit_ug_per_l, "浓度 5 ug/L时", ["ug/L"]),
     (D.unit_celsius_spacing, "温度28 °C", ["8 °C"]),
-    (D.de_di_de, "认真的学习与伟大的事业", ["认真的学习"]),
+    (D.de_di_de, "认真的分析与伟大的事业", ["认真的分析"]),
     (D.cjk_ascii_spacing, "用Python写Java", ["用P", "n写"]),
 ])
 def test_element_rules(elements, rule, text, hits):
