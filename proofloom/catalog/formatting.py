@@ -124,10 +124,11 @@ def _paragraphs(spark, d):
 
 query("D10_infer_template_style", f"""WITH {ZH_SQL}, {_PARA_SQL}, tp AS (SELECT *, row_number() OVER (PARTITION BY template_id, style_name ORDER BY para_index) AS rank FROM pa QUALIFY rank <= 3),
     ag AS (SELECT template_id, style_name, {", ".join(f"max(CASE WHEN rank = {i} THEN {c} END) AS {c}{i}" for c in ("cn_font", "size_pt", "alignment", "spacing_type") for i in (1, 2, 3))},
-      round(avg(space_before), 1) AS space_before_pt, round(avg(space_after), 1) AS space_after_pt FROM tp GROUP BY ALL)
-    SELECT template_id, style_name, CASE style_name WHEN 'Heading 1' THEN 'heading1' WHEN 'Heading 2' THEN 'heading2' WHEN 'Normal' THEN 'body' WHEN 'Caption' THEN 'table_caption' END AS slot,
+      round(avg(space_before), 1) AS space_before_pt, round(avg(space_after), 1) AS space_after_pt FROM tp GROUP BY ALL),
+    mk AS (SELECT DISTINCT template_id, style_name, 'table_caption' AS cap FROM pa WHERE starts_with(text, '表'))
+    SELECT template_id, style_name, CASE style_name WHEN 'Heading 1' THEN 'heading1' WHEN 'Heading 2' THEN 'heading2' WHEN 'Normal' THEN 'body' WHEN 'Caption' THEN cap END AS slot,
       {", ".join(f"CASE WHEN {c}2 = {c}3 THEN {c}2 ELSE {c}1 END AS {o}" for c, o in (("cn_font", "font_name_cn"), ("size_pt", "font_size_pt"), ("alignment", "alignment"), ("spacing_type", "line_spacing_type")))},
-      space_before_pt, space_after_pt FROM ag""")(
+      space_before_pt, space_after_pt FROM ag LEFT JOIN mk USING (template_id, style_name)""")(
     lambda spark, d: M.infer_template_style(_paragraphs(spark, d)).select(
         "template_id", "style_name", "slot", "font_name_cn", "font_size_pt", "alignment", "line_spacing_type", "space_before_pt", "space_after_pt"))
 query("D27_first_style_sample", f"""WITH {ZH_SQL}, {_PARA_SQL}, f AS (SELECT *, CASE style_name WHEN 'Heading 1' THEN 'h1' WHEN 'Heading 2' THEN 'h2' WHEN 'Normal' THEN 'body' END AS slot FROM pa WHERE has_runs),

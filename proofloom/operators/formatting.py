@@ -238,7 +238,11 @@ def infer_template_style(paragraphs: DataFrame, samples: int = 3) -> DataFrame:
     rows = paragraphs.filter(F.length(strip(F.col("text"))) > 0)
     top = top_per(rows, ["template_id", "style_name"], ["para_index"], samples)
     fields = ["cn_font", "en_font", "size_pt", "bold", "alignment", "spacing_type", "spacing_value", "space_before", "space_after"]
-    lists = top.groupBy("template_id", "style_name").agg(F.sort_array(F.collect_list(F.struct("rank", "text", *fields))).alias("xs"))
+    lists = top.groupBy("template_id", "style_name").agg(F.sort_array(F.collect_list(F.struct("rank", *fields))).alias("xs"))
+    # Whether captions name tables or figures shows in the first marked one, wherever it stands.
+    mark = F.substring(strip(F.col("text")), 1, 1)
+    marks = rows.filter(mark.isin("表", "图")).groupBy("template_id", "style_name").agg(F.min_by(mark, "para_index").alias("mark"))
+    lists = lists.join(marks, ["template_id", "style_name"], "left")
 
     def mode(xs: Column, field: str) -> Column:
         values = F.array_compact(F.transform(xs, lambda x: x[field]))
@@ -253,12 +257,10 @@ def infer_template_style(paragraphs: DataFrame, samples: int = 3) -> DataFrame:
     kind = mode(xs, "spacing_type")
     spacing = let(F.struct(xs.alias("xs"), kind.alias("k")), lambda s: mean(F.transform(
         F.filter(s["xs"], lambda x: x["spacing_type"] == s["k"]), lambda x: x["spacing_value"])))
-    caption = F.transform(xs, lambda x: F.substring(strip(x["text"]), 1, 1))
-    first_mark = F.filter(caption, lambda c: c.isin("表", "图"))
     slot = style_slot(F.col("style_name"))
     return lists.select(
         "template_id", "style_name",
-        F.when(slot == "caption", F.when(F.get(first_mark, F.lit(0)) == "表", "table_caption").when(F.get(first_mark, F.lit(0)) == "图", "figure_caption")).otherwise(slot).alias("slot"),
+        F.when(slot == "caption", F.when(F.col("mark") == "表", "table_caption").when(F.col("mark") == "图", "figure_caption")).otherwise(slot).alias("slot"),
         mode(xs, "cn_font").alias("font_name_cn"), mode(xs, "en_font").alias("font_name_en"), mode(xs, "size_pt").alias("font_size_pt"), mode(xs, "bold").alias("bold"),
         mode(xs, "alignment").alias("alignment"), kind.alias("line_spacing_type"), spacing.alias("line_spacing_value"),
         F.round(mean(F.transform(xs, lambda x: x["space_before"])), 1).alias("space_before_pt"), F.round(mean(F.transform(xs, lambda x: x["space_after"])), 1).alias("space_after_pt"))
