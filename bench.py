@@ -20,8 +20,8 @@ from proofloom.session import configure, local_session  # noqa: E402
 from proofloom.sources.lexicon import builtin_lexicon  # noqa: E402
 
 HEADLINE = [
-    "D1_qa_report", "I1_typo_dict", "I13_number_format", "I19_timeline", "C2_xref_match", "C4_citation_ref_join", "E12_structure_classify",
-    "E16_pack_chunks_latin", "A8_segment_html_qa", "D20_admin_token_daily", "E18_quota_admission", "E23_redeem_codes", "K7_plan_audit", "D22_chunk_hash",
+    "D1_qa_report", "I13_number_format", "I19_timeline", "C4_citation_ref_join", "A8_segment_html_qa", "D20_admin_token_daily",
+    "E23_redeem_codes", "K7_plan_audit", "D22_chunk_hash",
 ]
 
 
@@ -55,13 +55,13 @@ def main() -> None:
     zh = zh_elements(spark, sf).persist()
     times["elements_zh"] = timed(zh.count)
     times["text_rules_zh"] = timed(lambda: run(D.detect(zh, *rules)))
-    times["full_check_zh"] = timed(lambda: run(qa.check(zh, lexicon=builtin_lexicon(spark))))
+    times["typo_and_format_check_zh"] = timed(lambda: run(qa.check(zh, ("typo", "format"), builtin_lexicon(spark))))
     lines = zh.selectExpr("sum(length(content)) AS n").first().n
     zh.unpersist()
     for name in HEADLINE:
         times[name] = timed(lambda: run(all_queries[name](spark, sf)))
     docs = table(spark, sf, "documents").selectExpr("sum(length(text)) AS n").first().n
-    rate = {"documents": round(docs / times["text_rules_documents"]), "zh_rules": round(lines / times["text_rules_zh"]), "zh_full_check": round(lines / times["full_check_zh"])}
+    rate = {"documents": round(docs / times["text_rules_documents"]), "zh_rules": round(lines / times["text_rules_zh"]), "zh_typo_and_format": round(lines / times["typo_and_format_check_zh"])}
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
                       "sf": os.path.basename(sf.rstrip("/")), "chars_per_sec": rate}))
 
