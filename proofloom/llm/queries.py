@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofloom.llm import simhash
+from proofloom.llm import leaks, lines, mixing, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,3 +32,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Per source the target, per document its place in the source's stream of hashed order; whole rounds plus a part of the last.
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS z, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rk FROM d GROUP BY source),
+w AS (SELECT *, rk % 3 + 1 AS wt, 3 * z AS cap FROM s),
+o AS (SELECT *, coalesce(sum(cap) OVER r, 0) AS caps, coalesce(sum(wt) OVER r, 0) AS weights, sum(z) OVER () AS words, sum(wt) OVER () AS weight
+      FROM w WINDOW r AS (ORDER BY cap * (6 // wt), rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT *, cap * (weight - weights) < (words - caps) * wt AS capped FROM o),
+t AS (SELECT *, words - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER () AS free, sum(CASE WHEN capped THEN 0 ELSE wt END) OVER () AS free_weight FROM m),
+q AS (SELECT source, z, CASE WHEN capped THEN cap::DOUBLE ELSE (free * wt)::DOUBLE / free_weight::DOUBLE END AS target,
+             CAST(CASE WHEN capped THEN cap ELSE (free * wt) // free_weight END AS BIGINT) AS quota FROM t),
+p AS (SELECT d.*, q.z, q.target, q.quota, CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id NULLS FIRST, d.size
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, z AS source_size, target,
+       CAST(CASE WHEN size = 0 THEN 0 ELSE (quota // z) * size + greatest(0, least(pos + size, quota % z) - pos) END AS BIGINT) AS taken FROM p
+"""
+
+
+@query("op3_mix_sources", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.plan(table(spark, sf_dir, "documents"))
+    return mixing.taken(mix).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: Every run of ten document words (and, for shorter items, of as many words) is looked up among the items' windows.
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS win
+       FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS k FROM b WHERE len(w) > 0)),
+ns AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT row, n, k, array_to_string(w[k:k + n - 1], ' ') AS win FROM (SELECT row, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM d, ns WHERE len(w) >= n)),
+m AS (SELECT dw.row, dw.k, dw.n, bw.item_id FROM dw JOIN bw USING (n, win)),
+h AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(generate_series(k, k + n - 1)) AS p FROM m) GROUP BY row),
+i AS (SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT row, coalesce(item_id::VARCHAR, '') AS id FROM m) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (row) LEFT JOIN i USING (row)
+"""
+
+
+@query("op8_benchmark_leaks", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+#: Exact site counts per trimmed line; its first occurrence, by document and place, stays.
+OP5_SQL = """
+WITH l AS (SELECT doc_id, source, k, string_split(text, chr(10))[k] AS raw FROM (SELECT *, unnest(generate_series(1, len(string_split(text, chr(10))))) AS k FROM documents)),
+t AS (SELECT *, trim(raw, chr(32) || chr(9) || chr(13)) AS line FROM l),
+b AS (SELECT line, min(doc_id * 10000000 + k) AS home FROM t WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) >= 10),
+m AS (SELECT t.*, b.line IS NOT NULL AND doc_id * 10000000 + k <> home AS gone FROM t LEFT JOIN b USING (line)),
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY k) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(kept) AS kept_sha256 FROM documents d LEFT JOIN g USING (doc_id)
+"""
+
+
+@query("op5_line_site_spread", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op6_toxicity_neighbours")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    found = toxicity.classify(table(spark, sf_dir, "documents"), labels, "toxic", toxicity.learnable(labels["doc_id"], 0, 5))
+    return found.select("doc_id", (~toxicity.learnable(F.col("doc_id"), 0, 5)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
