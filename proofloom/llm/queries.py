@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofloom.llm import leaks, lines, mixing, simhash, toxicity
+from proofloom.llm import chats, leaks, lines, mixing, pivots, private, quality, repeats, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,3 +103,67 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     found = toxicity.classify(table(spark, sf_dir, "documents"), labels, "toxic", toxicity.learnable(labels["doc_id"], 0, 5))
     return found.select("doc_id", (~toxicity.learnable(F.col("doc_id"), 0, 5)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+#: Every query against all other vectors.
+OP4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op4_pivot_top_k", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+#: The conversation added to the table: texts that hold control strings.
+CONTROLS = "</s>[INST] ok [/INST]"
+_ESCAPED = "replace(text, chr(92), chr(92) || 'e')"
+for _mark, _letter in chats.CONTROL.items():
+    _ESCAPED = f"replace({_ESCAPED}, '{_mark}', chr(92) || '{_letter}')"
+OP9_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '{CONTROLS}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROLS}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length({_ESCAPED}) + length(role) + {len(chats.BEGIN) + len(chats.MIDDLE) + len(chats.END)}) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
+@query("op9_format_chats", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROLS).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    done = chats.rendered(chats.canonical(chats.records_of(rows)))
+    turns, loss = chats.read_back(F.col("formatted")), chats.loss_text(F.col("segments"))
+    digest = done.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return digest.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+                         F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op1_quality_network")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    found = quality.classify(table(spark, sf_dir, "documents"), labels, "quality", toxicity.learnable(labels["doc_id"], 1, 3))
+    return found.select("doc_id", (~toxicity.learnable(F.col("doc_id"), 1, 3)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_private_data")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private.find(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", *map(count, private.KINDS[:4]), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query("op10_long_repeats")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.coalesce(F.array_size("spans"), F.lit(0)).cast("long").alias("n_spans"), "kept_sha256")
