@@ -89,7 +89,7 @@ query("C9_apply_table_style", "SELECT p_partkey, p_partkey % 10 = 0 AS is_header
 _ST = ("CAST(floor(p_partkey / 8) AS BIGINT) AS template_id, 's' || p_partkey % 8 AS style_name, CASE WHEN p_partkey % 8 = 0 THEN CASE WHEN p_size % 5 = 0 THEN 's7' END ELSE 's' || (p_partkey % 8 - 1) END AS base_style, "
        "CASE WHEN p_size % 3 = 0 THEN p_name END AS east_asia, CASE WHEN p_size % 4 = 0 THEN p_brand END AS ascii, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) END AS size_pt")
 _RESOLVED = f"""WITH RECURSIVE st AS (SELECT {_ST} FROM part), w AS (SELECT template_id, style_name, style_name AS at, 0 AS depth FROM st
-      UNION ALL SELECT w.template_id, w.style_name, st.base_style, depth + 1 FROM w JOIN st ON st.template_id = w.template_id AND st.style_name = w.at WHERE st.base_style IS NOT NULL AND depth < 16),
+      UNION ALL SELECT w.template_id, w.style_name, st.base_style, depth + 1 FROM w JOIN st ON st.template_id = w.template_id AND st.style_name = w.at WHERE st.base_style IS NOT NULL AND depth < 100),
     j AS (SELECT w.template_id, w.style_name, depth, east_asia, ascii, size_pt FROM w JOIN st ON st.template_id = w.template_id AND st.style_name = w.at),
     rs AS (SELECT template_id, style_name, arg_min(east_asia, depth) FILTER (east_asia IS NOT NULL) AS east_asia, arg_min(ascii, depth) FILTER (ascii IS NOT NULL) AS ascii,
       arg_min(size_pt, depth) FILTER (size_pt IS NOT NULL) AS size_pt FROM j GROUP BY ALL)"""
@@ -99,13 +99,13 @@ def _styles(spark, d):
     return table(spark, d, "part").selectExpr(*[c.strip() for c in _split(_ST)])
 
 
-query("C21_style_inheritance", f"{_RESOLVED} SELECT * FROM rs")(lambda spark, d: M.resolve_styles(spark, _styles(spark, d), 16))
+query("C21_style_inheritance", f"{_RESOLVED} SELECT * FROM rs")(lambda spark, d: M.resolve_styles(_styles(spark, d)))
 query("C22_run_font_fallback", f"""{_RESOLVED} SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'own' ELSE east_asia END AS font_eastAsia, coalesce(CASE WHEN p_size % 9 = 0 THEN 1.5 END, size_pt) AS font_size_pt,
       coalesce(ascii, CASE WHEN p_size % 7 = 0 THEN 'own' ELSE east_asia END) AS font_name
     FROM part LEFT JOIN rs ON template_id = floor(p_partkey / 8) AND style_name = 's' || p_partkey % 8""")(
     lambda spark, d: M.run_fonts(table(spark, d, "part").selectExpr(
         "p_partkey", "CAST(floor(p_partkey / 8) AS BIGINT) AS template_id", "'s' || p_partkey % 8 AS style_name", "CASE WHEN p_size % 7 = 0 THEN 'own' ELSE '' END AS font_eastAsia",
-        "CAST(NULL AS STRING) AS font_ascii", "CAST(NULL AS STRING) AS font_name", "CASE WHEN p_size % 9 = 0 THEN 1.5D END AS font_size_pt"), M.resolve_styles(spark, _styles(spark, d), 16)).select(
+        "CAST(NULL AS STRING) AS font_ascii", "CAST(NULL AS STRING) AS font_name", "CASE WHEN p_size % 9 = 0 THEN 1.5D END AS font_size_pt"), M.resolve_styles(_styles(spark, d))).select(
         "p_partkey", "font_eastAsia", "font_size_pt", "font_name"))
 
 # Template paragraphs: the lines of an order, styles by line number.

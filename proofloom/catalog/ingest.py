@@ -202,7 +202,7 @@ query("B2_flatten_children", f"""WITH RECURSIVE {ZH_SQL}, t AS (SELECT doc_id, e
     w AS (SELECT doc_id, element_index AS root_index, element_index FROM t
           UNION ALL SELECT t.doc_id, w.root_index, t.element_index FROM w JOIN t ON t.doc_id = w.doc_id AND t.parent_index = w.element_index)
     SELECT doc_id, root_index, string_agg(content, chr(10) ORDER BY element_index) AS text FROM w JOIN t USING (doc_id, element_index) GROUP BY ALL""")(
-    lambda spark, d: E.flat_text(spark, zh_elements(spark, d).withColumn("parent_index", F.expr(_PARENT))))
+    lambda spark, d: E.flat_text(zh_elements(spark, d).withColumn("parent_index", F.expr(_PARENT))))
 query("B3_document_text", f"WITH {ZH_SQL} SELECT doc_id, string_agg(content, chr(10) ORDER BY element_index) AS text FROM zh WHERE content <> '' GROUP BY 1")(
     lambda spark, d: E.document_text(zh_elements(spark, d)))
 query("D11_element_counts", f"WITH {ZH_SQL} SELECT doc_id, element_type, count(*) AS n FROM zh GROUP BY ALL")(
@@ -225,10 +225,10 @@ query("A19_document_json_roundtrip", """SELECT doc_id, 't' || doc_id AS title, s
         "doc_id", "title", "author", F.size("elements").alias("n_elements"),
         F.md5(F.array_join(F.transform("elements", lambda e: e["content"]), "\n").cast("binary")).alias("text_md5"),
         F.element_at("elements", -1)["level"].alias("last_level")))
-query("A21_document_store", """WITH v AS (SELECT doc_id % 300 AS doc_id, source AS user_id, n_chars, doc_id AS updated_at FROM documents)
+query("A21_document_store", """WITH v AS (SELECT doc_id // 4 AS doc_id, source AS user_id, n_chars, doc_id AS updated_at FROM documents)
     SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY updated_at DESC) = 1""")(
     lambda spark, d: E.current_documents(table(spark, d, "documents").selectExpr(
-        "doc_id % 300 AS doc_id", "source AS user_id", "n_chars", "doc_id AS updated_at")))
+        "doc_id div 4 AS doc_id", "source AS user_id", "n_chars", "doc_id AS updated_at")))
 _TPL = "'tpl ' || p_name || p_partkey AS name, 'f' || p_partkey || '.yaml' AS file, p_type AS type"
 query("A18_template_catalog", f"""SELECT {_TPL}, p_size < 25 AS is_custom FROM part""")(
     lambda spark, d: (lambda p: E.merge_catalog(p.filter("p_size >= 25").selectExpr(*_TPL.split(", ")), p.filter("p_size < 25").selectExpr(*_TPL.split(", "))))(

@@ -150,8 +150,8 @@ query("C3_xref_unreferenced", f"{ALL_SQL} SELECT {', '.join(_M)} FROM mt WHERE s
 query("D13_xref_duplicates", f"{ALL_SQL} SELECT {', '.join(_M)} FROM mt WHERE status = 'duplicate'")(
     lambda spark, d: Q.duplicates(_parts(spark, d)[0]).select(*_M))
 query("E4_match_order", f"""{ALL_SQL} SELECT doc_id, ref_text, status, target_index,
-    CASE WHEN scan_index < 0 THEN 999999 ELSE scan_index END AS sort_key FROM mt""")(
-    lambda spark, d: Q.in_scan_order(_matches(spark, d)).select("doc_id", "ref_text", "status", "target_index", "sort_key"))
+    scan_index FROM mt""")(
+    lambda spark, d: Q.in_scan_order(_matches(spark, d)).select("doc_id", "ref_text", "status", "target_index", "scan_index"))
 query("D12_xref_summary", f"""{ALL_SQL},
     a AS (SELECT doc_id, count(*) AS target_count, count_if(target_type = 'figure') AS figure_targets,
       count_if(target_type = 'table') AS table_targets, count_if(target_type = 'equation') AS equation_targets,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofloom.functions.ordered import latest_per
 from proofloom.schemas import DOCUMENT
+from proofloom.session import stored
 
 
 def headings(elements: DataFrame, max_level: int = 9) -> DataFrame:
@@ -34,22 +35,35 @@ def document_text(elements: DataFrame) -> DataFrame:
     return kept.groupBy("doc_id").agg(ordered_text("content", "element_index", "\n").alias("text"))
 
 
-def descendants(spark: SparkSession, elements: DataFrame, max_depth: int = 32) -> DataFrame:
-    """``(doc_id, root_index, element_index, depth)`` along ``parent_index``."""
-    elements.createOrReplaceTempView("__tree_elements")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(doc_id, root_index, element_index, depth) AS (
-          SELECT doc_id, element_index, element_index, 0 FROM __tree_elements
-          UNION ALL
-          SELECT e.doc_id, w.root_index, e.element_index, w.depth + 1 FROM walk w
-          JOIN __tree_elements e ON e.doc_id = w.doc_id AND e.parent_index = w.element_index
-          WHERE w.depth < {int(max_depth)})
-        SELECT * FROM walk""")
+def ancestors(nodes: DataFrame, keys: list[str], node: str, up: str) -> DataFrame:
+    """``(*keys, node, at, depth)``: every node with itself (depth 0) and each node above it along ``up``.
 
+    Pointer doubling: what a node reaches within ``step`` hops, joined to the node ``step`` hops below, gives twice as much,
+    so a chain of any length takes a logarithmic number of joins. In a cycle each node counts once, at its least depth.
+    """
+    pairs = nodes.select(*keys, F.col(node).alias("node"), F.col(node).alias("at"), F.lit(0).alias("depth"))
+    hop = stored(nodes.where(F.col(up).isNotNull()).select(*keys, F.col(node).alias("node"), F.col(up).alias("up")), "hops")
+    step = 1
+    while True:
+        reached = hop.join(pairs.withColumnRenamed("node", "up"), [*keys, "up"]).select(*keys, "node", "at", (F.col("depth") + step).alias("depth"))
+        fresh = stored(reached.join(pairs, [*keys, "node", "at"], "left_anti").groupBy(*keys, "node", "at").agg(F.min("depth").alias("depth")), "reached")
+        if fresh.isEmpty():
+            return pairs
+        pairs = stored(pairs.unionByName(fresh), "pairs")
+        above = hop.select(*keys, F.col("node").alias("up"), F.col("up").alias("next"))
+        hop = stored(hop.join(above, [*keys, "up"]).select(*keys, "node", F.col("next").alias("up")), "hops")
+        step *= 2
 
-def flat_text(spark: SparkSession, elements: DataFrame) -> DataFrame:
+
+def descendants(elements: DataFrame) -> DataFrame:
+    """``(doc_id, root_index, element_index, depth)`` along ``parent_index``, at any depth."""
+    return ancestors(elements, ["doc_id"], "element_index", "parent_index").select(
+        "doc_id", F.col("at").alias("root_index"), F.col("node").alias("element_index"), "depth")
+
+
+def flat_text(elements: DataFrame) -> DataFrame:
     """Text of each element with the text of its descendants, in order."""
-    tree = descendants(spark, elements)
+    tree = descendants(elements)
     text = elements.select("doc_id", "element_index", "content")
     rows = tree.join(text, ["doc_id", "element_index"]).filter(F.length("content") > 0)
     return rows.groupBy("doc_id", "root_index").agg(ordered_text("content", "element_index", "\n").alias("text"))

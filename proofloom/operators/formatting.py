@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from proofloom.functions.ordered import index_block, last_seen, top_per
 from proofloom.functions.scalars import cn_size_to_pt, fingerprint, lookup, parse_alignment, parse_line_spacing
 from proofloom.functions.spans import let, strip
+from proofloom.operators.elements import ancestors
 from proofloom.operators.issues import element, flag, issue_rows
 from proofloom.rules import fixed as R
 
@@ -130,14 +131,17 @@ def rule_slot(e=None) -> Column:
 def apply_styles(elements: DataFrame, rules: DataFrame) -> DataFrame:
     """Set the style fields a rule names, keep the others (rules: slot + style columns).
 
-    A heading level without a rule takes the body rule.
+    A heading level without a rule takes the body rule: each slot gets its rule in the rule table, so the elements are joined
+    once. Of several rules for a slot the greatest by its values wins, and no element is repeated.
     """
     known = [c for c in rules.columns if c in STYLE_FIELDS]
-    r = rules.select(F.col("slot").alias("__slot"), F.struct(*known).alias("__rule"))
-    body = rules.filter("slot = 'body'").select(F.lit(1).alias("__one"), F.struct(*known).alias("__body")).limit(1)
-    rows = elements.withColumn("__slot", rule_slot()).withColumn("__one", F.lit(1)).join(r, "__slot", "left").join(body, "__one", "left")
-    heading = F.col("element_type") == "heading"
-    rows = rows.withColumn("__use", F.when(F.col("__rule").isNull() & heading, F.col("__body")).otherwise(F.col("__rule")))
+    r = rules.groupBy("slot").agg(F.max(F.struct(*known)).alias("rule"))
+    slots = r.sparkSession.createDataFrame([(f"heading{k}", False) for k in range(1, 5)] + [("body", True)], "slot string, plain boolean")
+    body = r.filter("slot = 'body'").select(F.explode(F.array(*[F.lit(f"heading{k}") for k in range(1, 5)])).alias("slot"), F.col("rule").alias("__body"))
+    r = (r.join(slots.select("slot"), "slot", "full").join(body, "slot", "left")
+         .select(F.col("slot").alias("__slot"), F.coalesce("rule", "__body").alias("__use")).filter("__use IS NOT NULL"))
+    # a heading deeper than the named levels is body text by its slot already
+    rows = elements.withColumn("__slot", rule_slot()).join(r, "__slot", "left")
     font, para = F.col("font"), F.col("para")
     for part, name in ((font, "font"), (para, "para")):
         have = elements.schema[name].dataType.names
@@ -193,21 +197,13 @@ def preset_rules(spark: SparkSession) -> DataFrame:
 # --- style tables --------------------------------------------------------------
 
 
-def resolve_styles(spark: SparkSession, styles: DataFrame, max_depth: int = 32) -> DataFrame:
-    """Effective fonts and size along the base_style chain; the nearest value wins.
+def resolve_styles(styles: DataFrame) -> DataFrame:
+    """Effective fonts and size along the base_style chain, of any length; the nearest value wins.
 
     (template_id, style_name, base_style, east_asia, ascii, size_pt).  A cycle
-    only repeats styles already seen nearer, so the depth limit is harmless.
+    only repeats styles already seen nearer.
     """
-    styles.createOrReplaceTempView("__styles")
-    walk = spark.sql(f"""
-        WITH RECURSIVE walk(template_id, style_name, at, depth) AS (
-          SELECT template_id, style_name, style_name, 0 FROM __styles
-          UNION ALL
-          SELECT w.template_id, w.style_name, s.base_style, w.depth + 1 FROM walk w
-          JOIN __styles s ON s.template_id = w.template_id AND s.style_name = w.at
-          WHERE s.base_style IS NOT NULL AND w.depth < {int(max_depth)})
-        SELECT * FROM walk""")
+    walk = ancestors(styles, ["template_id"], "style_name", "base_style").select("template_id", F.col("node").alias("style_name"), "at", "depth")
     own = styles.select("template_id", F.col("style_name").alias("at"), "east_asia", "ascii", "size_pt")
     near = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("depth"))).alias(c)
     return walk.join(own, ["template_id", "at"]).groupBy("template_id", "style_name").agg(near("east_asia"), near("ascii"), near("size_pt"))

@@ -146,7 +146,9 @@ def classify(elements: DataFrame) -> DataFrame:
     head = opening.select("doc_id", F.inline(F.aggregate("xs", start, _step, lambda s: s["out"])))
 
     # Past the opening: the last opening row carries the states, later rows set or clear them.
-    seed = head.filter(F.col("idx") == HEAD - 1).select("doc_id", "idx", F.col("t").alias("t0"), F.col("r").alias("r0"))
+    # The last opening row is the last that exists: positions may be missing.
+    seed = head.groupBy("doc_id").agg(F.max_by(F.struct("t", "r"), "idx").alias("s")).select(
+        "doc_id", F.lit(HEAD - 1).cast("int").alias("idx"), F.col("s.t").alias("t0"), F.col("s.r").alias("r0"))
     tail = marks.filter(F.col("idx") >= HEAD).select("doc_id", "idx", *[f for f in facts if f != "goes_on"])
     rows = tail.join(seed, ["doc_id", "idx"], "full")
     leaves = F.col("filled") & ((F.col("is_h") & ~F.col("toc_heading")) | ~F.col("toc_entry"))

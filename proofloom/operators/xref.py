@@ -213,8 +213,7 @@ def matches(targets_: DataFrame, points_: DataFrame) -> DataFrame:
 
 def in_scan_order(matches_: DataFrame) -> DataFrame:
     """Points in reading order, rows without a point last."""
-    key = F.when(F.col("scan_index") < 0, 999999).otherwise(F.col("scan_index"))
-    return matches_.withColumn("sort_key", key).orderBy("doc_id", "sort_key", "status", "target_type", "number", "target_index")
+    return matches_.orderBy("doc_id", F.col("scan_index") < 0, "scan_index", "status", "target_type", "number", "target_index")
 
 
 def match_issues(matches_: DataFrame) -> DataFrame:

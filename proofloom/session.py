@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Only settings whose value changes results or robustness are pinned here.
 # Parallelism (shuffle partitions, split size, memory) belongs to the cluster.
@@ -29,6 +32,21 @@ def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str | Non
     return spark.conf.get("spark.checkpoint.dir", None) or default
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under ``spark.checkpoint.dir`` and read it back: computed once, lineage cut, safe when executors are lost.
+
+    Where that setting is missing (tests, one machine) a temporary folder is set for the session.
+    """
+    spark = df.sparkSession
+    base = checkpoint_dir(spark)
+    if not base:
+        base = tempfile.mkdtemp(prefix="proofloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory: str = "12g") -> SparkSession:
     """A local session for tests and the bench."""
     builder = (

@@ -8,14 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofloom.functions.ordered import first_per
+from proofloom.functions.ordered import first_per, latest_per
 from proofloom.functions.spans import let, literal_spans, strip
 from proofloom.operators.issues import issue_rows
 from proofloom.rules.fixed import COMMON_WORD_FIXES, IDIOM_FIXES
 
 LEXICON_COLUMNS = ["wrong", "right", "note", "layer", "priority"]
-# Largest number of distinct word starts kept as a literal in the plan.
-MAX_PREFILTER = 20000
 
 
 def valid_entry(wrong: Column, right: Column) -> Column:
@@ -46,13 +44,18 @@ def lexicon_lines(lines: DataFrame, layer: str, priority: int, line: str = "line
     ).filter(valid_entry(F.col("wrong"), F.col("right")))
     default = F.concat(F.lit("'"), "wrong", F.lit("'应为'"), "right", F.lit("'"))
     rows = rows.withColumn("note", F.when(F.length("note") > 0, F.col("note")).otherwise(default))
-    latest = first_per(rows.withColumn("__o", -F.col("line_no")), ["wrong"], ["__o"])
+    latest = latest_per(rows, ["wrong"], ["line_no"])
     return latest.select("wrong", "right", "note", F.lit(layer).alias("layer"), F.lit(priority).alias("priority"))
 
 
+def _line_order() -> Column:
+    """Orders lines by file name, then place in the file: the split's offset, then the line inside the split."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("n"))
+
+
 def read_lexicon(spark: SparkSession, path: str, layer: str = "common", priority: int = 3) -> DataFrame:
-    """Lexicon file of ``wrong<TAB>right<TAB>note`` lines."""
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("line_no"))
+    """Lexicon files of ``wrong<TAB>right<TAB>note`` lines; a later line, or file by name, wins."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), _line_order().alias("line_no"))
     return lexicon_lines(lines, layer, priority)
 
 
@@ -65,13 +68,13 @@ def pair_lines(lines: DataFrame, min_count: int = 2, line: str = "line") -> Data
         "line_no", F.col("p")[0].alias("wrong"), F.col("p")[1].alias("right"),
         F.expr("try_cast(trim(get(p, 2)) AS INT)").alias("cnt"),
     ).filter((F.col("cnt") >= min_count) & valid_entry(F.col("wrong"), F.col("right")))
-    latest = first_per(rows.withColumn("__o", -F.col("line_no")), ["wrong"], ["__o"])
+    latest = latest_per(rows, ["wrong"], ["line_no"])
     note = F.concat(F.lit("SIGHAN 衍生（出现 "), F.col("cnt").cast("string"), F.lit(" 次，仅供参考）"))
     return latest.select("wrong", "right", note.alias("note"), F.lit("pairs").alias("layer"), F.lit(0).alias("priority"))
 
 
 def read_pairs(spark: SparkSession, path: str, min_count: int = 2) -> DataFrame:
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("line_no"))
+    lines = spark.read.text(path).select(F.col("value").alias("line"), _line_order().alias("line_no"))
     return pair_lines(lines, min_count)
 
 
@@ -93,17 +96,14 @@ def grams(text: Column, n: int) -> Column:
 def typo_hits(elements: DataFrame, lexicon: DataFrame, gram: int = 2) -> DataFrame:
     """Every lexicon word in every element, with positions.
 
-    Text is cut to distinct ``gram``-character pieces, so the lexicon is met by
-    an equi-join on word starts rather than by trying each word on each text.
-    When the lexicon has few distinct starts they also prune the pieces before
-    the join; otherwise the join alone does the work.
+    Text is cut to distinct pieces of up to ``gram`` characters, so the lexicon
+    is met by an equi-join on word starts rather than by trying each word on
+    each text.  A word shorter than ``gram`` is its own start; entries have at
+    least two characters.
     """
     words = lexicon.select("wrong", "right", "note", F.substring("wrong", 1, gram).alias("start"))
-    starts = [r[0] for r in words.select("start").distinct().limit(MAX_PREFILTER + 1).collect()]
-    pieces = grams(F.col("content"), gram)
-    if len(starts) <= MAX_PREFILTER:
-        pieces = F.array_intersect(pieces, F.array(*[F.lit(s) for s in sorted(starts)])) if starts else F.array().cast("array<string>")
-    found = elements.filter(F.length("content") >= gram).select("*", F.explode(pieces).alias("start"))
+    pieces = F.array_distinct(F.concat(*[grams(F.col("content"), n) for n in range(min(2, gram), gram + 1)]))
+    found = elements.filter(F.length("content") >= min(2, gram)).select("*", F.explode(pieces).alias("start"))
     found = found.join(words, "start").filter(F.contains("content", F.col("wrong")))
     return found.withColumn("s", F.explode(literal_spans(F.col("content"), F.col("wrong")))).drop("start")
 

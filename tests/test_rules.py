@@ -119,3 +119,29 @@ def test_long_document_keeps_state_past_the_opening(elements):
     rows = elements(*head, (1, H, "参考文献"), *[(1, P, f"文献条目甲{i}") for i in range(5)], (1, H, "附录"), (1, P, "附录正文内容。"))
     roles = [r.role for r in classify(rows).orderBy("element_index").collect()]
     assert roles[30:] == ["heading"] + ["reference"] * 5 + ["heading", "body"]
+
+
+def test_chains_of_any_length_and_cycles(spark):
+    from proofloom.operators.elements import ancestors
+
+    rows = [("a", k, k - 1 if k else None) for k in range(45)] + [("b", k, (k + 1) % 5) for k in range(5)] + [("b", 9, 0), ("c", 1, 77)]
+    got = ancestors(spark.createDataFrame(rows, "doc string, n int, up int"), ["doc"], "n", "up").collect()
+    up = {(d, n): u for d, n, u in rows}
+    want = set()
+    for d, n, _ in rows:
+        at, depth, seen = n, 0, set()
+        while (d, at) in up and at not in seen:
+            seen.add(at)
+            want.add((d, n, at, depth))
+            at, depth = up[d, at], depth + 1
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_first_object_of_a_model_answer(spark):
+    from pyspark.sql import functions as F
+
+    from proofloom.operators.models import _first_object
+
+    cases = {'x {"a": {"b": 1}} {"c": 2}': '{"a": {"b": 1}}', "{no} then {\"y\": 1}": '{"y": 1}', "} {\"y\": 1}": None, "none": None, "": None, None: None, '{"é": "𝄞"}!': '{"é": "𝄞"}'}
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", _first_object(F.col("t")).alias("o")).collect()
+    assert {r.t: r.o for r in got} == cases
