@@ -7,11 +7,12 @@ checks run the batch operators on each micro-batch.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -27,11 +28,11 @@ LATE = "7 days"
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder under the shared checkpoint folder."""
+    """A fresh folder under the shared checkpoint folder; a temporary one only where all of Spark runs on this machine."""
     base = checkpoint_dir(spark)
     if base is None:
-        # Only without a cluster setting, as in tests.
-        import tempfile
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="proofloom-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -151,17 +152,25 @@ def admit(logs: DataFrame, profiles: DataFrame, late: str = LATE) -> DataFrame:
 # --- feeds and documents ---------------------------------------------------------
 
 def keep_feed(activities: DataFrame, folder: str, n: int = 100) -> DataFrame:
-    """Newest ``n`` activities per team, refreshed by each micro-batch."""
-    spark, last = activities.sparkSession, {}
+    """Newest ``n`` activities per team, refreshed by each micro-batch.
+
+    Each batch writes a version of the feed from the newest version before it, which it finds in the folder: a restarted
+    stream goes on where it stopped, and a batch that runs again gives the same version.
+    """
+    spark, path = activities.sparkSession, f"{folder}/feed"
+    empty = spark.createDataFrame([], activities.schema)
+    empty.write.mode("ignore").parquet(f"{path}/v=-1")
+
+    def version(below: Column) -> DataFrame:
+        newest = spark.read.parquet(path).where(below).agg(F.max("v")).first()[0]
+        return empty if newest is None else spark.read.parquet(f"{path}/v={newest}")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        now = batch if "path" not in last else batch.unionByName(spark.read.parquet(last["path"]))
-        path = f"{folder}/feed/v={batch_id}"
-        activity_feed(now, n).drop("rank").write.mode("overwrite").parquet(path)
-        last["path"] = path
+        now = batch.unionByName(version(F.col("v") < batch_id))
+        activity_feed(now, n).drop("rank").write.mode("overwrite").parquet(f"{path}/v={batch_id}")
 
     run_available(activities, folder, "append", merge)
-    return spark.read.parquet(last["path"])
+    return version(F.lit(True))
 
 
 def check_documents(elements: DataFrame, detect: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
@@ -180,13 +189,22 @@ def check_documents_by_batch(elements: DataFrame, check: Callable[[DataFrame], D
 
 
 def recheck(elements: DataFrame, hashes: DataFrame, check: Callable[[DataFrame], DataFrame], folder: str, size: int = incremental.CHUNK_ELEMENTS) -> DataFrame:
-    """Issues of the changed chunks of re-uploaded documents (stored hashes: doc_id, chunk_no, content_hash)."""
+    """Issues of the changed chunks of re-uploaded documents (stored hashes: doc_id, chunk_no, content_hash).
+
+    Hashes of every batch are kept beside the stored ones, and a document is compared with its newest version before the batch,
+    also after a restart.
+    """
+    spark, path = elements.sparkSession, f"{folder}/hashes"
+    hashes.write.mode("ignore").parquet(f"{path}/batch=-1")
+
     def save(batch: DataFrame, batch_id: int) -> None:
         new = incremental.chunk_hashes(batch, size)
-        known = hashes.join(new.select("doc_id").distinct(), "doc_id", "left_semi")
+        kept = spark.read.parquet(path).where(F.col("batch") < batch_id).join(new.select("doc_id").distinct(), "doc_id", "left_semi")
+        newest = kept.groupBy("doc_id").agg(F.max("batch").alias("batch"))
+        known = kept.join(newest, ["doc_id", "batch"]).drop("batch")
         changed = incremental.changed_elements(batch, incremental.chunk_diff(new, known), size)
         check(changed).write.mode("overwrite").parquet(f"{folder}/rechecked/batch={batch_id}")
-        new.write.mode("overwrite").parquet(f"{folder}/hashes/batch={batch_id}")
+        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     run_available(elements, folder, "append", save)
-    return elements.sparkSession.read.parquet(f"{folder}/rechecked").drop("batch")
+    return spark.read.parquet(f"{folder}/rechecked").drop("batch")
