@@ -23,12 +23,16 @@ def _rules(spark):
     return spark.createDataFrame(_RULES, "slot string, font string, size double")
 
 
-_META = F.create_map(F.lit("structure_role"), F.when(F.col("q") % 10 == 0, "heading").otherwise("body"), F.lit("heading_level"), (F.col("q") % 6).cast("string"),
+
+
+def _meta():
+    return F.create_map(F.lit("structure_role"), F.when(F.col("q") % 10 == 0, "heading").otherwise("body"), F.lit("heading_level"), (F.col("q") % 6).cast("string"),
                      F.lit("exclude_from_format_body"), F.when(F.col("q") % 9 == 0, "true").otherwise("false"))
 
 
+
 def _formatted(spark, d):
-    return zh_elements(spark, d, "q").withColumn("metadata", _META)
+    return zh_elements(spark, d, "q").withColumn("metadata", _meta())
 
 
 _SLOT = "CASE WHEN q % 10 = 0 AND q % 6 > 0 THEN 'heading_' || least(q % 6, 4) WHEN element_type = 'heading' THEN 'heading_' || least(level, 4) ELSE 'paragraph_0' END"

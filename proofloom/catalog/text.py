@@ -112,9 +112,8 @@ query("I2_de_di_de", _sql(
 # --- lexicon ----------------------------------------------------------------
 
 _BUILTIN = ", ".join(
-    "(" + ", ".join([S.lit(w), S.lit(r), S.lit(n[0] if n else ""), S.lit(layer), str(prio)]) + ")"
-    for layer, prio, text in (("curated", 1, R.COMMON_WORD_FIXES), ("idiom", 2, R.IDIOM_FIXES))
-    for w, r, *n in (line.split(" ", 2) for line in text.strip().splitlines()))
+    "(" + ", ".join([S.lit(w), S.lit(r), S.lit(n), S.lit(layer), str(prio)]) + ")"
+    for layer, prio, fixes in (("curated", 1, R.COMMON_WORD_FIXES), ("idiom", 2, R.IDIOM_FIXES)) for w, r, n in fixes)
 BUILTIN_SQL = f'lex(wrong, "right", note, layer, priority) AS (VALUES {_BUILTIN})'
 
 query("I1_typo_dict", f"""WITH {ZH_SQL}, {BUILTIN_SQL},

@@ -12,7 +12,12 @@ from proofloom.operators import teams as T
 from proofloom.operators import usage as U
 
 NOW_SQL = "CAST('2024-01-31' AS TIMESTAMP)"
-NOW = F.lit("2024-01-31").cast("timestamp")
+
+
+def now():
+    """The moment all usage queries are asked at; built when a session is there."""
+    return F.lit("2024-01-31").cast("timestamp")
+
 LOGS = f"WITH {usage_sql('token_logs')}"
 
 
@@ -27,11 +32,11 @@ logs, profiles, codes, attempts, teams, members, activities, jobs = (
 
 _RECENT = f"created_at >= {NOW_SQL} - INTERVAL 20 DAY"
 query("D14_token_usage_stats", f"{LOGS} SELECT CAST(sum(amount) AS BIGINT) AS total_usage, count(*) AS total_requests, round(sum(amount) / count(*), 2) AS avg_usage FROM token_logs WHERE {_RECENT}")(
-    lambda spark, d: U.usage_stats(logs(spark, d), NOW, 20))
+    lambda spark, d: U.usage_stats(logs(spark, d), now(), 20))
 query("D15_token_by_purpose", f"{LOGS} SELECT coalesce(purpose, 'unknown') AS purpose, count(*) AS count, CAST(sum(amount) AS BIGINT) AS total FROM token_logs WHERE {_RECENT} GROUP BY 1")(
-    lambda spark, d: U.by_purpose(logs(spark, d), NOW, 20))
+    lambda spark, d: U.by_purpose(logs(spark, d), now(), 20))
 query("D16_token_by_day", f"{LOGS} SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS count, CAST(sum(amount) AS BIGINT) AS total FROM token_logs WHERE {_RECENT} GROUP BY 1")(
-    lambda spark, d: U.by_day(logs(spark, d), NOW, 20))
+    lambda spark, d: U.by_day(logs(spark, d), now(), 20))
 _PU = f"WITH {usage_sql('token_logs', 'profiles')}, u AS (SELECT user_id, CAST(sum(amount) AS BIGINT) AS used, CAST(sum(CASE WHEN created_at >= CAST('2024-01-15' AS TIMESTAMP) THEN amount END) AS BIGINT) AS today FROM token_logs GROUP BY 1)"
 query("D17_quota_status", f"""{_PU} SELECT id AS user_id, token_quota, coalesce(used, 0) AS used, token_quota - coalesce(used, 0) AS remaining,
     CASE WHEN token_quota > 0 THEN round(coalesce(used, 0) / token_quota * 100, 2) ELSE 0.0 END AS usage_percentage,
@@ -42,11 +47,11 @@ query("D18_token_usage_user", f"""{_PU} SELECT id AS user_id, token_quota, coale
     FROM profiles LEFT JOIN u ON user_id = id""")(lambda spark, d: U.token_usage(profiles(spark, d), logs(spark, d), F.lit("2024-01-15 10:00:00").cast("timestamp")))
 query("D19_admin_user_stats", f"""{_PU} SELECT count(*) AS total_users, count_if(created_at >= {NOW_SQL} - INTERVAL 7 DAY) AS new_users_7d,
     count_if(created_at >= {NOW_SQL} - INTERVAL 30 DAY) AS new_users_30d, (SELECT CAST(sum(amount) AS BIGINT) FROM token_logs) AS total_tokens_used FROM profiles""")(
-    lambda spark, d: U.admin_user_stats(profiles(spark, d), logs(spark, d), NOW))
+    lambda spark, d: U.admin_user_stats(profiles(spark, d), logs(spark, d), now()))
 query("D20_admin_token_daily", f"""{LOGS} SELECT CAST(created_at AS DATE) AS date, coalesce(purpose, 'unknown') AS purpose, CAST(sum(amount) AS BIGINT) AS total_tokens,
     CAST(count(*) AS BIGINT) AS total_requests, count(DISTINCT user_id) AS active_users FROM token_logs GROUP BY ALL""")(lambda spark, d: U.admin_token_daily(logs(spark, d)))
 query("F3_usage_history", f"{LOGS} SELECT * FROM token_logs ORDER BY created_at DESC, id DESC LIMIT 50")(lambda spark, d: U.usage_history(logs(spark, d)))
-query("G3_expire_logs", f"{LOGS} SELECT * FROM token_logs WHERE {_RECENT}")(lambda spark, d: U.expire_logs(logs(spark, d), NOW, 20))
+query("G3_expire_logs", f"{LOGS} SELECT * FROM token_logs WHERE {_RECENT}")(lambda spark, d: U.expire_logs(logs(spark, d), now(), 20))
 query("E19_usage_counter_state", f"""{LOGS}, c AS (SELECT *, strftime(created_at, '%Y-%m') AS period_key, strftime(created_at, '%Y-%m-%d') AS day FROM token_logs),
     m AS (SELECT user_id, period_key, max(day) AS day_key, count_if(purpose = 'ai_qa') AS ai_qa_used, count_if(purpose = 'ai_parse') AS ai_parse_used FROM c GROUP BY ALL)
     SELECT m.*, (SELECT count(*) FROM c WHERE c.user_id = m.user_id AND c.day = m.day_key AND purpose = 'rule_check') AS rule_check_used_today FROM m""")(
@@ -119,13 +124,13 @@ def _ents(spark, d):
         F.count_if(F.col("purpose") == "ai_qa").alias("ai_qa_used"), F.count_if(F.col("purpose") == "ai_parse").alias("ai_parse_used"),
         F.count_if(F.col("purpose") == "rule_check").alias("rule_check_used_today"))
     p = profiles(spark, d).withColumn("feature_flags", F.when(F.col("deep_xref_flag").isNotNull(), F.create_map(F.lit("deep_xref"), F.col("deep_xref_flag"))))
-    return P.entitlements(p, counters, NOW)
+    return P.entitlements(p, counters, now())
 
 
 query("K1_normalize_plan", f"WITH {usage_sql('profiles')} SELECT id, {_TIER} AS tier, {_STATUS} AS status FROM profiles")(
     lambda spark, d: profiles(spark, d).select("id", P.normalize_tier(F.col("plan_tier")).alias("tier"), P.normalize_status(F.col("plan_status")).alias("status")))
 query("K2_plan_active", f"WITH {usage_sql('profiles')} SELECT id, {_ACTIVE} AS active FROM profiles")(
-    lambda spark, d: profiles(spark, d).select("id", P.is_active(F.col("plan_status"), F.col("period_end"), NOW).alias("active")))
+    lambda spark, d: profiles(spark, d).select("id", P.is_active(F.col("plan_status"), F.col("period_end"), now()).alias("active")))
 _ENT_COLS = ["user_id", "tier", "status", "label", "file_size_mb", "ai_qa_used", "ai_parse_used"]
 for _name in ("K3_entitlements", "C19_plan_join"):
     query(_name, f"{_ENT} SELECT {', '.join(_ENT_COLS)}, deep_xref, batch_check FROM e")(
@@ -195,7 +200,7 @@ query("E24_member_invites", f"""WITH {usage_sql('teams', 'members', 'profiles')}
 
 query("E25_accept_invites", f"""WITH {usage_sql('members')} SELECT team_id, user_id, CASE WHEN status = 'pending' AND user_id % 2 = 0 THEN 'active' ELSE status END AS status,
     CASE WHEN status = 'pending' AND user_id % 2 = 0 THEN {NOW_SQL} END AS accepted_at FROM members""")(
-    lambda spark, d: (lambda m: T.accept_invites(m, m.filter("user_id % 2 = 0").select("team_id", "user_id"), NOW.cast("timestamp_ntz")).select("team_id", "user_id", "status", "accepted_at"))(members(spark, d)))
+    lambda spark, d: (lambda m: T.accept_invites(m, m.filter("user_id % 2 = 0").select("team_id", "user_id"), now().cast("timestamp_ntz")).select("team_id", "user_id", "status", "accepted_at"))(members(spark, d)))
 query("E25_cancel_invites", f"""WITH {usage_sql('members')} SELECT team_id, user_id, status FROM members WHERE NOT (status = 'pending' AND invite_email IS NOT NULL AND user_id % 5 = 0)""")(
     lambda spark, d: (lambda m: T.cancel_invites(m, m.filter("user_id % 5 = 0 AND invite_email IS NOT NULL").select("team_id", F.concat(F.lit(" "), F.upper("invite_email")).alias("email"))).select(
         "team_id", "user_id", "status"))(members(spark, d)))

@@ -325,35 +325,24 @@ def rules_from_text(docs: DataFrame, column: str = "text") -> DataFrame:
     """Requirement texts to rule rows (rule_text_id, slot, attr, value)."""
     def read(t: Column) -> Column:
         row = lambda slot, attr, value: F.struct(F.lit(slot).alias("slot"), F.lit(attr).alias("attr"), value.cast("string").alias("value"))
-        both = _found(t, r"(?iU)左右[：:\s]*(\d+(?:\.\d+)?)\s*cm")
+        both = _found(t, R.MARGIN_BOTH_SIDES)
         out = [row("page", "paper_size", F.when(F.contains(F.lower(t), F.lit("a4")), "A4").when(F.contains(t, F.lit("A3")), "A3").otherwise("A4"))]
-        for mark, name in (("上", "top"), ("下", "bottom"), ("左", "left"), ("右", "right")):
-            one = _found(t, rf"(?iU){mark}(?:边距)?[：:\s]*(\d+(?:\.\d+)?)\s*cm")
+        for name, pattern in R.MARGIN_TEXT.items():
+            one = _found(t, pattern)
             out.append(row("page", f"margin_{name}_cm", (F.coalesce(both, one) if name in ("left", "right") else one).try_cast("double")))
-        slots = {
-            "title": [r"标题[（(]([^)）]+)[)）]", r"标题[：:]\s*([^。\n]+)"],
-            "heading1": [r"第一层[：:\s]*([^。\n]+)", r"一级标题[：:\s]*([^。\n]+)", r"第一层[用用]([^。，；\n]+)字"],
-            "heading2": [r"第二层[：:\s]*([^。\n]+)", r"二级标题[：:\s]*([^。\n]+)"], "heading3": [r"第三层[：:\s]*([^。\n]+)", r"三级标题[：:\s]*([^。\n]+)"],
-            "heading4": [r"第四层[：:\s]*([^。\n]+)", r"四级标题[：:\s]*([^。\n]+)"],
-            "body": [r"正文[（(]([^)）]+)[)）]", r"正文[：:]\s*([^。\n]+)", r"正文字体[：:\s]*([^。，\n]+)", r"正文[用用]([^。，；\n]+)"],
-            "table_caption": [r"表名[（(]([^)）]+)[)）]"], "table_body": [r"表内(?:文字|字体)[：:\s]*([^。，\n]+)"],
-            "figure_caption": [r"图名[（(]([^)）]+)[)）]"], "reference": [r"参考文献[（(]([^)）]+)[)）]"]}
-        for slot, patterns in slots.items():
+        for slot, patterns in R.STYLE_TEXT.items():
             out += _described_style(slot, _found(t, *patterns))
-        times, exact = _found(t, r"(?U)行距[：:\s]*(\d+(?:\.\d+)?)\s*倍"), _found(t, r"(?U)行距[：:\s]*固定值\s*(\d+(?:\.\d+)?)\s*磅")
-        loose = _found(t, r"(?U)(\d+(?:\.\d+)?)\s*倍行距")
+        times, exact, loose = (_found(t, p) for p in (R.LINE_SPACING_TIMES, R.LINE_SPACING_EXACT, R.LINE_SPACING_LOOSE))
         value = F.coalesce(times, exact, loose).try_cast("double")
         kind = F.when(times.isNull() & exact.isNotNull(), "exact").when(value == 1.5, "one_point_five").when(value.isNotNull(), "multiple")
-        out += [row("body", "line_spacing_type", kind), row("body", "line_spacing_value", value), row("header", "header_text", _found(t, r"页眉[：:\s]*([^。\n]+)"))]
-        quote_l, quote_r = "[“\"「]", "[”\"」]"
-        for i, cn in enumerate("一二三四", 1):
-            inner = "([一二三四五六七八九十、]+)" if i == 1 else "([^”\"」]+)"
-            out.append(row("numbering", f"heading{i}", _found(t, f"第{cn}层.{{0,30}}?{quote_l}{inner}{quote_r}", f"第{cn}层[^。]*?用([^。，；\n]+)字标注")))
-        out += [row("xref", "enabled", F.when(F.contains(t, F.lit("引用")), "true")), row("xref", "figure_pattern", _found(t, r"图序号[：:\s]*([^。，\n]+)")),
-                row("xref", "table_pattern", _found(t, r"表序号[：:\s]*([^。，\n]+)")),
+        out += [row("body", "line_spacing_type", kind), row("body", "line_spacing_value", value), row("header", "header_text", _found(t, R.HEADER_TEXT))]
+        for slot, patterns in R.NUMBERING_TEXT.items():
+            out.append(row("numbering", slot, _found(t, *patterns)))
+        out += [row("xref", "enabled", F.when(F.contains(t, F.lit("引用")), "true")), row("xref", "figure_pattern", _found(t, R.FIGURE_NUMBER_TEXT)),
+                row("xref", "table_pattern", _found(t, R.TABLE_NUMBER_TEXT)),
                 row("special", "punctuation", F.when(F.contains(t, F.lit("中文输入")) | F.contains(t, F.lit("中文标点")), "必须使用中文输入格式")),
-                row("special", "number_format", F.when(F.contains(t, F.lit("千位分隔")), "千位分隔符")), row("special", "money_unit", _found(t, r"金额单位[：:\s]*([^。，\n]+)")),
-                row("special", "forbidden", _found(t, r"禁止使用[^。]*[：:]([^。]+)"))]
+                row("special", "number_format", F.when(F.contains(t, F.lit("千位分隔")), "千位分隔符")), row("special", "money_unit", _found(t, R.MONEY_UNIT_TEXT)),
+                row("special", "forbidden", _found(t, R.FORBIDDEN_TEXT))]
         for attr, v in (("font_name_cn", "宋体"), ("font_name_en", "Times New Roman"), ("font_size_pt", "12.0"), ("first_indent_chars", "2.0")):
             out.append(row("body_default", attr, F.lit(v)))
         return F.filter(F.array(*out), lambda r: r["value"].isNotNull())

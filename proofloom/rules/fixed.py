@@ -39,110 +39,111 @@ WORD_EDGE_CHARS = (
     "波热声光电磁动静化"
 )
 
-ADVERBS = (
-    "认真 快速 慢慢 悄悄 飞快 高效 精准 频繁 持续 仔细 仓促 温和 激烈 平静 急速 缓慢 小心 大胆 "
-    "直接 间接 主动 被动 自愿 被迫 努力 懒散"
-).split()
+ADVERBS = [
+    "认真", "快速", "慢慢", "悄悄", "飞快", "高效", "精准", "频繁", "持续", "仔细", "仓促", "温和", "激烈", "平静", "急速", "缓慢", "小心",
+    "大胆", "直接", "间接", "主动", "被动", "自愿", "被迫", "努力", "懒散",
+]
 
-PREDICATE_VERBS = (
-    "说 做 看 听 走 跑 写 读 学 想 打 吃 喝 睡 坐 站 来 去 给 让 使 用 找 等 问 答 叫 帮 带 送 "
-    "发生 进行 产生 出现 存在 提高 增加 减少 改变 影响 推动 促进 实现 完成 开始 结束 "
-    "发展 建设 管理 分析 研究 设计 规划 组织 匹配 拟合 计算 流动 循环 变化 上升 下降"
-).split()
+PREDICATE_VERBS = [
+    "说", "做", "看", "听", "走", "跑", "写", "读", "学", "想", "打", "吃", "喝", "睡", "坐", "站", "来", "去", "给", "让", "使",
+    "用", "找", "等", "问", "答", "叫", "帮", "带", "送", "发生", "进行", "产生", "出现", "存在", "提高", "增加", "减少", "改变", "影响",
+    "推动", "促进", "实现", "完成", "开始", "结束", "发展", "建设", "管理", "分析", "研究", "设计", "规划", "组织", "匹配", "拟合", "计算",
+    "流动", "循环", "变化", "上升", "下降",
+]
 
 # --- fixed values: built-in word corrections (wrong, right, note) ----------
 
-COMMON_WORD_FIXES = """
-帐号 账号 账户的'账'应是'账'
-帐户 账户 账户的'账'应是'账'
-帐单 账单 账单的'账'应是'账'
-登录帐号 登录账号
-做为 作为 '做'应为'作'
-既使 即使 '既'应为'即'
-既便 即便 '既'应为'即'
-按装 安装 '按'应为'安'
-报歉 抱歉 '报'应为'抱'
-必竟 毕竟 '必'应为'毕'
-决对 绝对 '决'应为'绝'
-决大部分 绝大部分 '决'应为'绝'
-做业 作业 '做'应为'作'
-象样 像样 '象'应为'像'
-幅射 辐射 '幅'应为'辐'
-象是 像是 '象'应为'像'
-迷语 谜语 '迷'应为'谜'
-兰色 蓝色 '兰'应为'蓝'
-蓝球 篮球 '蓝'应为'篮'
-作饭 做饭 '作'应为'做'
-带帽 戴帽 '带'应为'戴'
-带花 戴花 '带'应为'戴'
-复盖 覆盖 '复'应为'覆'
-简炼 简练 '炼'应为'练'
-锻练 锻炼 '练'应为'炼'
-立生 产生 语境中常见误写，通常应为'产生'
-他门 他们 常见形近误写
-磨厉 磨砺 '厉'应为'砺'
-冒然 贸然 '冒'应为'贸'
-脉博 脉搏 '博'应为'搏'
-膨涨 膨胀 '涨'应为'胀'
-园满 圆满 '园'应为'圆'
-火中取粟 火中取栗 '粟'应为'栗'
-针贬 针砭 '贬'应为'砭'
-频临 濒临 '频'应为'濒'
-座标 坐标 '座'应为'坐'
-赋与 赋予 '与'应为'予'
-密诀 秘诀 '密'应为'秘'
-"""
+COMMON_WORD_FIXES = [
+    ("帐号", "账号", "账户的'账'应是'账'"),
+    ("帐户", "账户", "账户的'账'应是'账'"),
+    ("帐单", "账单", "账单的'账'应是'账'"),
+    ("登录帐号", "登录账号", ""),
+    ("做为", "作为", "'做'应为'作'"),
+    ("既使", "即使", "'既'应为'即'"),
+    ("既便", "即便", "'既'应为'即'"),
+    ("按装", "安装", "'按'应为'安'"),
+    ("报歉", "抱歉", "'报'应为'抱'"),
+    ("必竟", "毕竟", "'必'应为'毕'"),
+    ("决对", "绝对", "'决'应为'绝'"),
+    ("决大部分", "绝大部分", "'决'应为'绝'"),
+    ("做业", "作业", "'做'应为'作'"),
+    ("象样", "像样", "'象'应为'像'"),
+    ("幅射", "辐射", "'幅'应为'辐'"),
+    ("象是", "像是", "'象'应为'像'"),
+    ("迷语", "谜语", "'迷'应为'谜'"),
+    ("兰色", "蓝色", "'兰'应为'蓝'"),
+    ("蓝球", "篮球", "'蓝'应为'篮'"),
+    ("作饭", "做饭", "'作'应为'做'"),
+    ("带帽", "戴帽", "'带'应为'戴'"),
+    ("带花", "戴花", "'带'应为'戴'"),
+    ("复盖", "覆盖", "'复'应为'覆'"),
+    ("简炼", "简练", "'炼'应为'练'"),
+    ("锻练", "锻炼", "'练'应为'炼'"),
+    ("立生", "产生", "语境中常见误写，通常应为'产生'"),
+    ("他门", "他们", "常见形近误写"),
+    ("磨厉", "磨砺", "'厉'应为'砺'"),
+    ("冒然", "贸然", "'冒'应为'贸'"),
+    ("脉博", "脉搏", "'博'应为'搏'"),
+    ("膨涨", "膨胀", "'涨'应为'胀'"),
+    ("园满", "圆满", "'园'应为'圆'"),
+    ("火中取粟", "火中取栗", "'粟'应为'栗'"),
+    ("针贬", "针砭", "'贬'应为'砭'"),
+    ("频临", "濒临", "'频'应为'濒'"),
+    ("座标", "坐标", "'座'应为'坐'"),
+    ("赋与", "赋予", "'与'应为'予'"),
+    ("密诀", "秘诀", "'密'应为'秘'"),
+]
 
-IDIOM_FIXES = """
-爱不失手 爱不释手 '失'应为'释'
-按步就班 按部就班 '步'应为'部'
-拔山涉水 跋山涉水 '拔'应为'跋'
-百无聊懒 百无聊赖 '懒'应为'赖'
-搬门弄斧 班门弄斧 '搬'应为'班'
-半途而费 半途而废 '费'应为'废'
-饱经苍桑 饱经沧桑 '苍'应为'沧'
-变本加利 变本加厉 '利'应为'厉'
-不记其数 不计其数 '记'应为'计'
-不径而走 不胫而走 '径'应为'胫'
-不落巢臼 不落窠臼 '巢'应为'窠'
-残无人道 惨无人道 '残'应为'惨'
-操胜卷 操胜券 '卷'应为'券'
-侧隐之心 恻隐之心 '侧'应为'恻'
-察颜观色 察言观色 '颜'应为'言'
-出奇不意 出其不意 '奇'应为'其'
-穿流不息 川流不息 '穿'应为'川'
-粗制烂造 粗制滥造 '烂'应为'滥'
-当人不让 当仁不让 '人'应为'仁'
-鬼计多端 诡计多端 '鬼'应为'诡'
-轰堂大笑 哄堂大笑 '轰'应为'哄'
-记忆尤新 记忆犹新 '尤'应为'犹'
-金壁辉煌 金碧辉煌 '壁'应为'碧'
-刻勤刻俭 克勤克俭 '刻'应为'克'
-烂芋充数 滥竽充数 '烂芋'应为'滥竽'
-厉厉在目 历历在目 '厉'应为'历'
-美仑美奂 美轮美奂 '仑'应为'轮'
-名符其实 名副其实 '符'应为'副'
-默守成规 墨守成规 '默'应为'墨'
-旁证博引 旁征博引 '证'应为'征'
-迫不急待 迫不及待 '急'应为'及'
-披星带月 披星戴月 '带'应为'戴'
-破斧沉舟 破釜沉舟 '斧'应为'釜'
-巧夺天公 巧夺天工 '公'应为'工'
-磬竹难书 罄竹难书 '磬'应为'罄'
-趋之若骛 趋之若鹜 '骛'应为'鹜'
-声名雀起 声名鹊起 '雀'应为'鹊'
-谈笑风声 谈笑风生 '声'应为'生'
-提心掉胆 提心吊胆 '掉'应为'吊'
-挺而走险 铤而走险 '挺'应为'铤'
-文过是非 文过饰非 '是'应为'饰'
-相儒以沫 相濡以沫 '儒'应为'濡'
-消声匿迹 销声匿迹 '消'应为'销'
-心无旁鹜 心无旁骛 '鹜'应为'骛'
-虚无飘渺 虚无缥缈 '飘'应为'缥'
-再接再励 再接再厉 '励'应为'厉'
-走头无路 走投无路 '头'应为'投'
-自曝自弃 自暴自弃 '曝'应为'暴'
-"""
+IDIOM_FIXES = [
+    ("爱不失手", "爱不释手", "'失'应为'释'"),
+    ("按步就班", "按部就班", "'步'应为'部'"),
+    ("拔山涉水", "跋山涉水", "'拔'应为'跋'"),
+    ("百无聊懒", "百无聊赖", "'懒'应为'赖'"),
+    ("搬门弄斧", "班门弄斧", "'搬'应为'班'"),
+    ("半途而费", "半途而废", "'费'应为'废'"),
+    ("饱经苍桑", "饱经沧桑", "'苍'应为'沧'"),
+    ("变本加利", "变本加厉", "'利'应为'厉'"),
+    ("不记其数", "不计其数", "'记'应为'计'"),
+    ("不径而走", "不胫而走", "'径'应为'胫'"),
+    ("不落巢臼", "不落窠臼", "'巢'应为'窠'"),
+    ("残无人道", "惨无人道", "'残'应为'惨'"),
+    ("操胜卷", "操胜券", "'卷'应为'券'"),
+    ("侧隐之心", "恻隐之心", "'侧'应为'恻'"),
+    ("察颜观色", "察言观色", "'颜'应为'言'"),
+    ("出奇不意", "出其不意", "'奇'应为'其'"),
+    ("穿流不息", "川流不息", "'穿'应为'川'"),
+    ("粗制烂造", "粗制滥造", "'烂'应为'滥'"),
+    ("当人不让", "当仁不让", "'人'应为'仁'"),
+    ("鬼计多端", "诡计多端", "'鬼'应为'诡'"),
+    ("轰堂大笑", "哄堂大笑", "'轰'应为'哄'"),
+    ("记忆尤新", "记忆犹新", "'尤'应为'犹'"),
+    ("金壁辉煌", "金碧辉煌", "'壁'应为'碧'"),
+    ("刻勤刻俭", "克勤克俭", "'刻'应为'克'"),
+    ("烂芋充数", "滥竽充数", "'烂芋'应为'滥竽'"),
+    ("厉厉在目", "历历在目", "'厉'应为'历'"),
+    ("美仑美奂", "美轮美奂", "'仑'应为'轮'"),
+    ("名符其实", "名副其实", "'符'应为'副'"),
+    ("默守成规", "墨守成规", "'默'应为'墨'"),
+    ("旁证博引", "旁征博引", "'证'应为'征'"),
+    ("迫不急待", "迫不及待", "'急'应为'及'"),
+    ("披星带月", "披星戴月", "'带'应为'戴'"),
+    ("破斧沉舟", "破釜沉舟", "'斧'应为'釜'"),
+    ("巧夺天公", "巧夺天工", "'公'应为'工'"),
+    ("磬竹难书", "罄竹难书", "'磬'应为'罄'"),
+    ("趋之若骛", "趋之若鹜", "'骛'应为'鹜'"),
+    ("声名雀起", "声名鹊起", "'雀'应为'鹊'"),
+    ("谈笑风声", "谈笑风生", "'声'应为'生'"),
+    ("提心掉胆", "提心吊胆", "'掉'应为'吊'"),
+    ("挺而走险", "铤而走险", "'挺'应为'铤'"),
+    ("文过是非", "文过饰非", "'是'应为'饰'"),
+    ("相儒以沫", "相濡以沫", "'儒'应为'濡'"),
+    ("消声匿迹", "销声匿迹", "'消'应为'销'"),
+    ("心无旁鹜", "心无旁骛", "'鹜'应为'骛'"),
+    ("虚无飘渺", "虚无缥缈", "'飘'应为'缥'"),
+    ("再接再励", "再接再厉", "'励'应为'厉'"),
+    ("走头无路", "走投无路", "'头'应为'投'"),
+    ("自曝自弃", "自暴自弃", "'曝'应为'暴'"),
+]
 
 # --- fixed values: consistency ---------------------------------------------
 
@@ -220,7 +221,9 @@ ONE_LETTER_UNITS = "mLltdshKNJWVABg"
 
 # --- fixed values: logic ----------------------------------------------------
 
-TURN_MARKERS = "但是 然而 不过 可是 却 相反".split()
+TURN_MARKERS = [
+    "但是", "然而", "不过", "可是", "却", "相反",
+]
 
 OPPOSITES = [
     ("增加", "减少"), ("提高", "降低"), ("上升", "下降"), ("增长", "下降"),
@@ -229,20 +232,26 @@ OPPOSITES = [
 ]
 
 CAUSE_WORD = "因为"
-RESULT_WORDS = "所以 因此 导致".split()
+RESULT_WORDS = [
+    "所以", "因此", "导致",
+]
 
 YEAR_PATTERN = r"(?U)(\d{4})\s*年"
 YEAR_MIN, YEAR_MAX = 1900, 2100
 
-CONCLUSION_WORDS = "结论 总结 总之 综上 由此可见 结果表明".split()
-DATA_WORDS = "数据 统计 调查 实验 分析 研究 测试".split()
+CONCLUSION_WORDS = [
+    "结论", "总结", "总之", "综上", "由此可见", "结果表明",
+]
+DATA_WORDS = [
+    "数据", "统计", "调查", "实验", "分析", "研究", "测试",
+]
 
-OPINION_WORDS = (
-    "认为 觉得 主张 提议 建议 应该 必须 务必 显然 毫无疑问 显而易见 可以肯定 由此可见"
-).split()
-EVIDENCE_WORDS = (
-    "数据表明 研究显示 实验证明 据统计 调查 例如 比如 实例 案例 事实 因为 由于 原因是 鉴于 基于"
-).split()
+OPINION_WORDS = [
+    "认为", "觉得", "主张", "提议", "建议", "应该", "必须", "务必", "显然", "毫无疑问", "显而易见", "可以肯定", "由此可见",
+]
+EVIDENCE_WORDS = [
+    "数据表明", "研究显示", "实验证明", "据统计", "调查", "例如", "比如", "实例", "案例", "事实", "因为", "由于", "原因是", "鉴于", "基于",
+]
 
 IF_THEN = [
     ("如果", ["那么", "就", "则", "便"]),
@@ -263,7 +272,10 @@ DIMENSION_PAIRS = [
 
 # --- fixed values: cross references ----------------------------------------
 
-CN_NUMERALS = "一 二 三 四 五 六 七 八 九 十 十一 十二 十三 十四 十五 十六 十七 十八 十九 二十".split()
+CN_NUMERALS = [
+    "一", "二", "三", "四", "五", "六", "七", "八", "九", "十", "十一", "十二", "十三", "十四", "十五", "十六", "十七", "十八", "十九",
+    "二十",
+]
 
 BIBLIOGRAPHY_HEADING = r"(?iU)参考文献|references?\b|bibliography"
 
@@ -460,7 +472,9 @@ DEFAULT_SETTINGS = {
 
 # --- fixed values: model-assisted jobs --------------------------------------
 
-CORE_SEGMENT_WORDS = "付款 支付 结论 综上 因此 条例 办法 通知 合同 协议 依据 按照 政策 法规".split()
+CORE_SEGMENT_WORDS = [
+    "付款", "支付", "结论", "综上", "因此", "条例", "办法", "通知", "合同", "协议", "依据", "按照", "政策", "法规",
+]
 CORE_SEGMENT_CHARS = 600
 CHUNK_CHARS = 800
 MIN_MODEL_CONFIDENCE = 0.6
@@ -595,3 +609,39 @@ ISSUE_TEXTS = {
 }
 
 NO_BIBLIOGRAPHY_WARNING = "未找到参考文献节，跳过引用规范性检查"
+
+# --- fixed values: patterns that read format rules out of requirement texts ---
+
+MARGIN_BOTH_SIDES = r"(?iU)左右[：:\s]*(\d+(?:\.\d+)?)\s*cm"
+MARGIN_TEXT = {
+    "top": r"(?iU)上(?:边距)?[：:\s]*(\d+(?:\.\d+)?)\s*cm",
+    "bottom": r"(?iU)下(?:边距)?[：:\s]*(\d+(?:\.\d+)?)\s*cm",
+    "left": r"(?iU)左(?:边距)?[：:\s]*(\d+(?:\.\d+)?)\s*cm",
+    "right": r"(?iU)右(?:边距)?[：:\s]*(\d+(?:\.\d+)?)\s*cm",
+}
+STYLE_TEXT = {
+    "title": [r"标题[（(]([^)）]+)[)）]", r"标题[：:]\s*([^。\n]+)"],
+    "heading1": [r"第一层[：:\s]*([^。\n]+)", r"一级标题[：:\s]*([^。\n]+)", r"第一层[用用]([^。，；\n]+)字"],
+    "heading2": [r"第二层[：:\s]*([^。\n]+)", r"二级标题[：:\s]*([^。\n]+)"],
+    "heading3": [r"第三层[：:\s]*([^。\n]+)", r"三级标题[：:\s]*([^。\n]+)"],
+    "heading4": [r"第四层[：:\s]*([^。\n]+)", r"四级标题[：:\s]*([^。\n]+)"],
+    "body": [r"正文[（(]([^)）]+)[)）]", r"正文[：:]\s*([^。\n]+)", r"正文字体[：:\s]*([^。，\n]+)", r"正文[用用]([^。，；\n]+)"],
+    "table_caption": [r"表名[（(]([^)）]+)[)）]"],
+    "table_body": [r"表内(?:文字|字体)[：:\s]*([^。，\n]+)"],
+    "figure_caption": [r"图名[（(]([^)）]+)[)）]"],
+    "reference": [r"参考文献[（(]([^)）]+)[)）]"],
+}
+LINE_SPACING_TIMES = r"(?U)行距[：:\s]*(\d+(?:\.\d+)?)\s*倍"
+LINE_SPACING_EXACT = r"(?U)行距[：:\s]*固定值\s*(\d+(?:\.\d+)?)\s*磅"
+LINE_SPACING_LOOSE = r"(?U)(\d+(?:\.\d+)?)\s*倍行距"
+HEADER_TEXT = r"页眉[：:\s]*([^。\n]+)"
+NUMBERING_TEXT = {
+    "heading1": ['第一层.{0,30}?[“"「]([一二三四五六七八九十、]+)[”"」]', r"第一层[^。]*?用([^。，；\n]+)字标注"],
+    "heading2": ['第二层.{0,30}?[“"「]([^”"」]+)[”"」]', r"第二层[^。]*?用([^。，；\n]+)字标注"],
+    "heading3": ['第三层.{0,30}?[“"「]([^”"」]+)[”"」]', r"第三层[^。]*?用([^。，；\n]+)字标注"],
+    "heading4": ['第四层.{0,30}?[“"「]([^”"」]+)[”"」]', r"第四层[^。]*?用([^。，；\n]+)字标注"],
+}
+FIGURE_NUMBER_TEXT = r"图序号[：:\s]*([^。，\n]+)"
+TABLE_NUMBER_TEXT = r"表序号[：:\s]*([^。，\n]+)"
+MONEY_UNIT_TEXT = r"金额单位[：:\s]*([^。，\n]+)"
+FORBIDDEN_TEXT = r"禁止使用[^。]*[：:]([^。]+)"

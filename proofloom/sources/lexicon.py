@@ -22,10 +22,8 @@ def valid_entry(wrong: Column, right: Column) -> Column:
 
 def builtin_lexicon(spark: SparkSession) -> DataFrame:
     rows = []
-    for layer, priority, text in (("curated", 1, COMMON_WORD_FIXES), ("idiom", 2, IDIOM_FIXES)):
-        for line in text.strip().splitlines():
-            wrong, right, *note = line.split(" ", 2)
-            rows.append((wrong, right, note[0] if note else "", layer, priority))
+    for layer, priority, fixes in (("curated", 1, COMMON_WORD_FIXES), ("idiom", 2, IDIOM_FIXES)):
+        rows += [(*fix, layer, priority) for fix in fixes]
     df = spark.createDataFrame(rows, "wrong string, right string, note string, layer string, priority int")
     return df.filter(valid_entry(F.col("wrong"), F.col("right")))
 

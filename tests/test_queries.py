@@ -27,3 +27,11 @@ def test_against_sql(spark, name):
     df = queries()[name](spark, SF)
     cur = con.execute(oracle_sql()[name])
     assert rows_of(df.columns, df.collect()) == rows_of([c[0] for c in cur.description], cur.fetchall())
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0 and int(said.stdout.split()[-2]) > 150, said.stderr[-500:]
