@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from proofloom.catalog import sqlgen as S
-from proofloom.catalog.registry import query
+from proofloom.catalog import text as _text  # noqa: F401  (its twins are composed below)
+from proofloom.catalog.registry import ORACLE, query
 from proofloom.catalog.views import LATIN_SQL, ZH_SQL, _split, latin_elements, table, zh_elements
 from proofloom.functions.scalars import fingerprint
 from proofloom.operators import detectors as D
@@ -44,17 +45,34 @@ def _zh_issues(spark, d):
     return qa.merge([D.detect(zh_elements(spark, d), *_LATIN_RULES)])
 
 
-query("D1_qa_report", f"""{_LA_ISSUES} SELECT doc_id, count(*) AS total, 0 AS error_count, count(*) AS warning_count, 0 AS info_count,
-    0 AS typo_count, 0 AS inconsistency_count, 0 AS logic_count FROM i GROUP BY 1""")(lambda spark, d: I.report(_latin_issues(spark, d)))
-query("D2_qa_stats", f"{_ZH_ISSUES} SELECT count(*) AS total, 0 AS errors, count(*) AS warnings, 0 AS infos FROM i")(
-    lambda spark, d: I.stats(_zh_issues(spark, d)))
+# All typo and format rules over the Chinese lines; the twin is composed of the rules' own twins.
+_RULE_TWINS = {
+    "typo.common_dict": "I1_typo_dict", "typo.de_di_de": "I2_de_di_de", "typo.repeat_char_3plus": "I8_repeat_char_3plus", "typo.repeat_char_2": "I9_repeat_char_2",
+    "format.mixed_punctuation": "I3_mixed_punctuation", "format.repeat_punctuation": "I4_repeat_punctuation", "format.fullwidth_digit": "I6_fullwidth_digit",
+    "format.bracket_pair": "I7_bracket_pair", "format.sentence_gap": "I10_sentence_gap", "format.unit.ug_per_l": "I11_unit_ug_per_l", "format.unit.celsius_spacing": "I12_unit_celsius_spacing",
+}
+_TEXT_ISSUES = "WITH a AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, '{rule}' AS rule_id, location_text AS loc, suggestion AS sug, {"'warning'" if rule == 'typo.common_dict' else 'severity'} AS severity FROM ({ORACLE[name]})"
+    for rule, name in _RULE_TWINS.items()) + """),
+    i AS (SELECT DISTINCT doc_id, rule_id, regexp_replace(loc, '^\\s+|\\s+$', '', 'g') AS loc, sug, severity, split_part(rule_id, '.', 1) AS category FROM a)"""
+
+
+def _text_issues(spark, d):
+    return qa.check(zh_elements(spark, d), ("typo", "format"), builtin_lexicon(spark))
+
+
+query("D1_qa_report", f"""{_TEXT_ISSUES} SELECT doc_id, count(*) AS total, count_if(severity = 'error') AS error_count, count_if(severity = 'warning') AS warning_count,
+    count_if(severity = 'info') AS info_count, count_if(category = 'typo') AS typo_count, count_if(category = 'inconsistency') AS inconsistency_count, count_if(category = 'logic') AS logic_count
+    FROM i GROUP BY 1""")(lambda spark, d: I.report(_text_issues(spark, d)))
+query("D2_qa_stats", f"{_TEXT_ISSUES} SELECT count(*) AS total, count_if(severity = 'error') AS errors, count_if(severity = 'warning') AS warnings, count_if(severity = 'info') AS infos FROM i")(
+    lambda spark, d: I.stats(_text_issues(spark, d)))
 query("D3_dedup_issues", f"{_ZH_ISSUES} SELECT doc_id, rule_id, element_index, s AS start_pos, loc AS location_text, title FROM i")(
     lambda spark, d: _zh_issues(spark, d).select("doc_id", "rule_id", "element_index", "start_pos", "location_text", "title"))
 query("B4_ignore_rules", f"""{_ZH_ISSUES} SELECT doc_id, rule_id, element_index, loc AS location_text FROM i
     WHERE rule_id <> 'format.repeat_punctuation' AND NOT contains(loc || ' ' || title, '[]')""")(
     lambda spark, d: I.ignore(_zh_issues(spark, d), ["format.repeat_punctuation"], ["[]"]).select("doc_id", "rule_id", "element_index", "location_text"))
-query("B5_select_categories")(lambda spark, d: qa.check(zh_elements(spark, d), ("typo", "format")).groupBy("category", "rule_id").agg(
-    F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")))
+query("B5_select_categories", f"{_TEXT_ISSUES} SELECT category, rule_id, count(*) AS n, count(DISTINCT doc_id) AS docs FROM i GROUP BY ALL")(
+    lambda spark, d: _text_issues(spark, d).groupBy("category", "rule_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")))
 query("B6_issue_selectors", f"{_ZH_ISSUES} SELECT doc_id, rule_id, element_index, loc AS location_text FROM i")(
     lambda spark, d: I.pending(I.of_severity(I.of_category(_zh_issues(spark, d), "format"), "warning")).select("doc_id", "rule_id", "element_index", "location_text"))
 query("B7_min_confidence", f"{_ZH_ISSUES} SELECT doc_id, rule_id, element_index, loc AS location_text FROM i WHERE rule_id = 'format.repeat_punctuation'")(
