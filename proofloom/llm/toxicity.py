@@ -18,10 +18,14 @@ from proofloom.llm.common import column, small, stored
 WORDS = re.compile(r"[^\W_]+")
 #: Beside whole words, their first letters are terms, so that inflected forms meet.
 PREFIXES = (4, 5, 6)
-#: Labelled examples taken per class (a bounded sample in hash order), most terms of the vectors, and least chi-square of a term.
-EXAMPLES, TERMS, LEAST_CHI2 = 3000, 256, 20.0
+#: Labelled examples taken per class (a bounded sample in hash order), most terms of the vectors, least chi-square of a term, and
+#: how many times likelier it is in toxic examples: terms that clean ones use as often, or that only mark a large group of
+#: clean copies, tell nothing of toxicity and would link most texts.
+EXAMPLES, TERMS, LEAST_CHI2, LEAST_RATIO = 3000, 256, 30.0, 4.0
 #: Neighbours that vote, entries per block of the index, and results kept by a task for vectors it meets again.
 NEIGHBOURS, BLOCK, CACHE = 16, 64, 50_000
+#: Distance at which a vote has fallen to e**-0.5 of a vote at distance 0, and the weight of the prior in votes at distance 0.
+NEAR, PRIOR = 0.4, 0.5
 
 
 def words_of(text: str) -> Counter:
@@ -114,10 +118,11 @@ class Model:
         return {t: x / norm for t, x in raw.items()} if norm else {}
 
     def vote(self, near: list[tuple[float, int]], less: tuple[int, float, float] | None = None) -> float:
-        """Share of toxic among neighbours weighted by 1 / (distance + 0.05); ``less``: an example taken out of its entry."""
-        toxic, clean = self.prior * 0.05, (1 - self.prior) * 0.05
+        """Share of toxic among neighbours, weighted by a normal curve over their distance, and the prior, which outweighs
+        neighbours that are all far; ``less``: an example taken out of its entry."""
+        toxic, clean = self.prior * PRIOR, (1 - self.prior) * PRIOR
         for cosine, k in near:
-            w = 1 / (math.sqrt(max(0.0, 2 - 2 * cosine)) + 0.05)
+            w = math.exp((cosine - 1) / NEAR**2)  # the squared distance of unit vectors is 2 - 2 cosine
             gone = less[1:] if less and less[0] == k else (0.0, 0.0)
             clean += w * (self.clean[k] - gone[0])
             toxic += w * (self.toxic[k] - gone[1])
@@ -229,7 +234,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, id
     table = _terms(sample).groupBy("term").agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("b"))
     a, b = F.col("a"), F.col("b")
     chi2 = (n0 + n1) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (n0 * n1 * (a + b) * (n0 + n1 - a - b) + 1e-9)
-    vocabulary = Vocabulary([r.term for r in table.withColumn("chi2", F.round(chi2, 6)).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS).collect()])
+    ratio = ((a + 0.5) / n1) / ((b + 0.5) / n0)
+    told = (F.col("chi2") >= LEAST_CHI2) & (ratio >= LEAST_RATIO)
+    vocabulary = Vocabulary([r.term for r in table.withColumn("chi2", F.round(chi2, 6)).where(told).orderBy(F.desc("chi2"), "term").limit(TERMS).collect()])
     counted = stored(_counts(slim, vocabulary), "counts")
     total = counted.count()
     held = dict(counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect())
