@@ -133,7 +133,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct, bits)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "ids")  # stored, so the join can split a large component
     return fps.join(rooted.join(ids, "root"), "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
@@ -143,7 +143,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     A null id comes after all others. Rows that repeat both id and text count as one row and stay once.
     """
     found = stored(near_duplicates(docs, id_col, text_col, **kwargs), "near")
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("best"))
+    # a stored side is dealt anew for the join, so Spark can split the rows of a large component
+    best = stored(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("best")), "best")
     gone = stored(found.join(best, "root").where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))))
                   .select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct(), "gone")
     key = F.xxhash64(column(docs, text_col))
