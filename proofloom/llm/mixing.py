@@ -105,7 +105,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     rows, words = sized.agg(F.count(F.lit(1)), F.sum("size")).first()
     words = words or 0
     block = block or max(1, ceil(words / MOST_BLOCKS), min(BLOCK, words // LEAST_BLOCKS))
-    digits = next(k for k in range(1, 9) if k == 8 or rows <= 16**k * 100_000)
+    digits = next(k for k in range(1, 9) if k == 8 or rows <= 16**k * 2000)  # parts of a source's stream: at most about 2000 documents
     mixed = sized.withColumn("mixed", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     order = [F.col("mixed"), F.col("doc_id"), F.col("size")]
     placed = running(mixed.withColumn("part", F.substring("mixed", 1, digits)), ["skey"], "part", order, F.col("size"), "at")
