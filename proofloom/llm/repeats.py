@@ -21,7 +21,7 @@ from proofloom.llm.common import column, small, stored
 #: Bytes of a repeat, and of the strings whose hash makes an anchor (a power of two, at most half as long).
 LENGTH, GRAM = 400, 128
 #: Window starts hashed at once, bytes indexed at once, and segments of one anchor in a part; larger groups are indexed in pairs of parts.
-BLOCK, BATCH, PART = 1 << 20, 2_000_000, 2048
+BLOCK, BATCH, PART = 1 << 20, 1_000_000, 1024
 _MIX = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
 _STEPS = np.random.default_rng(12).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.uint64((1 << 21) - 1)

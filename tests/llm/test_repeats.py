@@ -59,7 +59,7 @@ def test_segments_own_each_window_once(monkeypatch, block):
         assert starts == list(range(max(0, len(t) - 23)))
 
 
-@pytest.mark.parametrize("part, batch", [(2048, 2_000_000), (2, 100)])
+@pytest.mark.parametrize("part, batch", [(1024, 1_000_000), (2, 100)])
 def test_dedup_equals_plain_search(spark, monkeypatch, part, batch):
     monkeypatch.setattr(R, "PART", part)
     monkeypatch.setattr(R, "BATCH", batch)
