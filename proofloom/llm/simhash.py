@@ -21,22 +21,31 @@ SEED = 42
 STEP = 1 << 15
 #: Up to so many fingerprints a block is joined with itself; beyond, its pairs are searched in square pieces of CHUNK rows.
 COLD, CHUNK = 32, 4096
+#: Bands of the shingle sets' minima and minima in each: a pair of Jaccard similarity s meets with probability 1 - (1 - s**4)**12.
+BANDS, DEPTH = 12, 4
+MIX = np.random.default_rng(SEED).integers(0, 2**64, BANDS * DEPTH, np.uint64) | np.uint64(1)
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """SimHash of a text in UTF-8: bit set if set in over half the hashed word shingles; no words: 0."""
+def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the word shingles of a text in UTF-8, in steps; nothing if it has no words."""
     words = text.lower().split()  # bytes: A-Z only, and U+0020, U+0009 to U+000D
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     first, last = starts[:n].tolist(), (ends[shingle - 1:] if len(words) >= shingle else ends[-1:]).tolist()
-    ones = np.zeros(BITS, np.int64)
     for k in range(0, n, STEP):
-        hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first[k:k + STEP], last[k:k + STEP])], "<u8")
+        yield np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first[k:k + STEP], last[k:k + STEP])], "<u8")
+
+
+def fingerprint(text: bytes, shingle: int = 4) -> int:
+    """SimHash of a text in UTF-8: bit set if set in over half the hashed word shingles; no words: 0."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
@@ -137,12 +146,121 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(rooted.join(ids, "root"), "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    parts = list(shingle_hashes(text, shingle))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def band_keys(grams: np.ndarray) -> list[int]:
+    """One key per band of minima; none for an empty set."""
+    if not len(grams):
+        return []
+    least = np.full(len(MIX), 2**64 - 1, np.uint64)
+    for k in range(0, len(grams), 4096):
+        mixed = grams[k:k + 4096, None] * MIX
+        least = np.minimum(least, (mixed ^ mixed >> np.uint64(32)).min(axis=0))
+    return [xxh64_intdigest(least[k * DEPTH:(k + 1) * DEPTH].tobytes(), k) for k in range(BANDS)]
+
+
+def similar_forest(rest: list[np.ndarray], others: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+    """Links (place in ``rest``, place in ``others``) that connect every similar pair across the two lists of sorted sets."""
+    grams = np.concatenate([*others, np.zeros(0, np.uint64)])
+    owner = np.repeat(np.arange(len(others)), [len(g) for g in others])
+    order = np.argsort(grams, kind="stable")
+    grams, owner, sizes = grams[order], owner[order], np.array([len(g) for g in others])
+    root = np.arange(len(others))  # components among the others, by what the rest has linked
+    for i, g in enumerate(rest):
+        lo, hi = np.searchsorted(grams, g), np.searchsorted(grams, g, "right")
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo) + np.arange((hi - lo).sum())
+        both = np.bincount(owner[at], minlength=len(others))
+        near = np.flatnonzero(both >= similarity * (sizes + len(g) - both) - 1e-9)
+        if len(near):
+            found, first = np.unique(root[near], return_index=True)
+            yield from ((i, int(near[k])) for k in first)
+            root[np.isin(root, found)] = found[0]
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id``, ``key``, ``root`` of every row: rows are linked if their sets of word shingles have at least this Jaccard similarity.
+
+    Sets that share a band of minima are candidates, and every link is verified on the whole sets; texts and sets of other rows
+    are not shuffled. Pairs of up to COLD sets of a band are compared directly. In a larger one each set is compared with one
+    centre; only sets that are not similar to it are compared with all of the band, in pieces of CHUNK, so a large group of near
+    copies costs one comparison per set and band.
+    """
+    text = column(docs, text_col)
+    slim = docs.select(column(docs, id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
+    signed = lambda xs: np.array(xs, np.uint64).view(np.int64)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sids, bands = [], []
+            for x in batch.column(2):
+                grams = shingle_set(x.as_py() or b"", shingle)
+                sids.append(xxh64_intdigest(grams.tobytes(), SEED))
+                bands.append(signed(band_keys(grams)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signed(sids), pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "sid", "bands"])
+
+    base = stored(slim.mapInArrow(keys, "doc_id long, key long, sid long, bands array<long>"), "bands")
+    sets = base.groupBy("sid").agg(F.min(F.struct("doc_id", "key", "bands")).alias("one"))
+    each = stored(sets.select("sid", F.posexplode("one.bands").alias("c", "band")), "each")
+    shared = each.groupBy("c", "band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("sid", "c").alias("h"), "sid")).alias("centre")).where("n > 1")
+    blocks = stored(each.join(shared.select("c", "band", "n", F.col("centre.sid").alias("centre")), ["c", "band"]), "blocks")
+    cold = blocks.where(F.col("n") <= COLD)
+    pairs = (cold.select("c", "band", F.col("sid").alias("a")).join(cold.select("c", "band", F.col("sid").alias("b")), ["c", "band"])
+             .where("a < b").select("a", "b").distinct())
+    hot = blocks.where((F.col("n") > COLD) & (F.col("sid") != F.col("centre"))).select(F.col("sid").alias("a"), F.col("centre").alias("b")).distinct()
+    pairs = stored(pairs.unionAll(hot), "pairs")
+
+    # the whole sets of the candidates only, each read from one row that has it
+    wanted = base.groupBy("sid").agg(F.min(F.struct("doc_id", "key")).alias("one")).join(blocks.select("sid").distinct(), "sid")
+    wanted = stored(wanted.select("sid", F.col("one.doc_id").alias("__id"), F.col("one.key").alias("__key")), "wanted")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [shingle_set(x.as_py(), shingle).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.list_(pa.int64()))], ["sid", "grams"])
+
+    of = slim.join(small(wanted), slim["doc_id"].eqNullSafe(wanted["__id"]) & (slim["key"] == wanted["__key"])).select("sid", "text")
+    grams = stored(of.mapInArrow(read, "sid long, grams array<long>").dropDuplicates(["sid"]), "grams")
+    far = pairs.join(grams.select(F.col("sid").alias("b"), F.col("grams").alias("gb")), "b")
+    both = far.join(grams.select(F.col("sid").alias("a"), F.col("grams").alias("ga")), "a")
+    common = F.size(F.array_intersect("ga", "gb"))
+    links = stored(both.where(common >= similarity * (F.size("ga") + F.size("gb") - common) - 1e-9).select("a", "b"), "links")
+
+    linked = links.select(F.col("a").alias("sid"), F.col("b").alias("centre")).withColumn("linked", F.lit(True))
+    large = stored(blocks.where(F.col("n") > COLD).join(linked, ["sid", "centre"], "left")
+                   .withColumn("rest", F.col("linked").isNull() & (F.col("sid") != F.col("centre"))).drop("linked", "centre"), "large")
+    left = stored(large.where("rest").groupBy("c", "band").agg(F.count(F.lit(1)).alias("m")), "left")
+    if left.isEmpty():
+        every = links
+    else:
+        open_ = (large.join(left, ["c", "band"]).withColumns({"rests": F.ceil(F.col("m") / CHUNK), "parts": F.ceil(F.col("n") / CHUNK)})
+                 .withColumns({"p": F.pmod(F.xxhash64("sid"), "parts"), "r": F.pmod(F.xxhash64("sid"), "rests")}))
+        as_other = open_.select("c", "band", "sid", F.lit(False).alias("rest"), "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)).alias("r"))
+        as_rest = open_.where("rest").select("c", "band", "sid", "rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"), "r")
+        pieces = stored(as_other.unionAll(as_rest.select(*as_other.columns)), "pieces").join(grams, "sid")
+
+        def search(pdf: pd.DataFrame) -> pd.DataFrame:
+            rest, others = pdf[pdf["rest"]], pdf[~pdf["rest"]]
+            as_sets = lambda x: [np.asarray(g, np.int64).view(np.uint64) for g in x["grams"]]
+            found = [(rest["sid"].iat[i], others["sid"].iat[j]) for i, j in similar_forest(as_sets(rest), as_sets(others), similarity)]
+            return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+        every = links.unionAll(pieces.groupBy("c", "band", "p", "r").applyInPandas(search, "a long, b long").where("a != b"))
+    roots = components(every).withColumnRenamed("node", "sid")
+    return base.join(roots, "sid", "left").select("doc_id", "key", F.coalesce("root", "sid").alias("root"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **kwargs) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id stays, columns unchanged.
 
-    A null id comes after all others. Rows that repeat both id and text count as one row and stay once.
+    Rows are linked by SimHash, or, if ``similarity`` is given, by the Jaccard similarity of their shingles. A null id comes
+    after all others. Rows that repeat both id and text count as one row and stay once.
     """
-    found = stored(near_duplicates(docs, id_col, text_col, **kwargs), "near")
+    found = near_duplicates(docs, id_col, text_col, **kwargs) if similarity is None else similar(docs, id_col, text_col, similarity=similarity, **kwargs)
+    found = stored(found, "near")
     # a stored side is dealt anew for the join, so Spark can split the rows of a large component
     best = stored(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("best")), "best")
     gone = stored(found.join(best, "root").where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))))

@@ -97,3 +97,39 @@ def test_components_of_chains(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0 and simhash.keep_one(df).count() == 0
+
+
+def gram_set(text, k=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i:i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("cold, chunk", [(32, 4096), (1, 4096), (1, 7)])
+def test_similar_texts_equal_all_pairs(spark, monkeypatch, cold, chunk):
+    monkeypatch.setattr(simhash, "COLD", cold)
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rng = random.Random(5)
+    texts = [text_of(rng, rng.choice([0, 1, 4, 5, 90])) for _ in range(12)]
+    for _ in range(70):  # edits of edits, so groups are chains and no set is near all others
+        words = rng.choice(texts).split()
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            if words:
+                words[rng.randrange(len(words))] = "x" + str(rng.random())
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts, 5)) + [(2, None), (3, ""), (4, " \t"), (7, texts[2]), (None, texts[1])]
+    sets = {i: gram_set(t) for i, t in rows if i is not None and (i, t) != (7, texts[2])}
+    edges = {(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8}
+    far = [(a, b) for a, b in edges if bin(plain(dict(rows)[a]) ^ plain(dict(rows)[b])).count("1") > 4]
+    roots = closed({i: i for i in sets}, lambda a, b: (a, b) in edges or (b, a) in edges)
+    assert len(far) > 20  # what four bits would miss
+    df = spark.createDataFrame([(t, i, "s") for i, t in rows if (i, t) != (7, texts[2])], "text string, doc_id long, key string")
+    kept = simhash.keep_one(df, shingle=5, similarity=0.8)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(roots.values()))
+
+
+def test_similar_texts_of_an_empty_table(spark):
+    assert simhash.keep_one(spark.createDataFrame([], "doc_id long, text string"), shingle=5, similarity=0.8).count() == 0
