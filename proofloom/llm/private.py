@@ -116,24 +116,24 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def disclosing(base: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
     """``entity``, ``term``, ``disclosure`` of the pairs at or above the threshold.
 
-    n(e), n(e, t): distinct contexts of the entity, and those with the term, so copies count once; n(t): documents of the whole
-    corpus with the term. disclosure = ln(n(e, t) N / (n(e) n(t))) / ln(N / n(e)).
+    n(e), n(e, t): distinct contexts of the entity, and those with the term; n(t), N: distinct texts of the whole corpus with the
+    term, and all of them; so copies count once everywhere. disclosure = ln(n(e, t) N / (n(e) n(t))) / ln(N / n(e)).
     """
     said = base.select(F.explode("mentions").alias("m")).select("m.entity", "m.context", "m.terms").groupBy("entity", "context").agg(F.first("terms").alias("terms"))
     said = stored(said, "said")
     pairs = stored(said.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support), "pairs")
-    total = base.count()
+    total = base.select("key").distinct().count()
     seen = said.groupBy("entity").agg(F.count(F.lit(1)).alias("seen"))
     # a term passes only if n(t) is at most this; its documents among those with entities are a first part of n(t), so common
     # words fall out here and the corpus is searched for the few others
     most = F.col("both") * F.pow(F.lit(total) / F.col("seen"), 1 - threshold)
-    beside = base.where(F.size("spans") > 0).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("beside"))
+    beside = base.where(F.size("spans") > 0).dropDuplicates(["key"]).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("beside"))
     pairs = stored(pairs.join(seen, "entity").join(beside, "term", "left").where(F.coalesce("beside", F.lit(0)) <= most * (1 + 1e-9)).select("entity", "term", "both", "seen"), "pairs")
     known = stored(pairs.select("term").distinct(), "terms")
     if known.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(column(docs, text_col)), F.lit(TERM), 0))).alias("term"))
-    held = words.join(small(known, 100_000), "term").groupBy("term").agg(F.count(F.lit(1)).alias("held"))
+    words = docs.select(F.xxhash64(column(docs, text_col)).alias("key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(column(docs, text_col)), F.lit(TERM), 0))).alias("term"))
+    held = words.join(small(known, 100_000), "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("held"))
     both, seen_, held_ = F.col("both"), F.col("seen"), F.greatest(F.coalesce(F.col("held"), F.col("both")), F.col("both"))
     rare = F.log(F.lit(total) / seen_)
     ratio = F.when(rare > 0, F.log(both * total / (seen_ * held_)) / rare).otherwise(F.lit(0.0))

@@ -78,3 +78,10 @@ def test_redaction():
 
 def test_empty(spark):
     assert P.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_copies_do_not_hide_a_disclosing_term(spark):
+    docs = corpus()
+    df = spark.createDataFrame(docs + [(1000 + k, docs[0][1]) for k in range(1000)], "doc_id long, text string")
+    for r in P.find(df).where("doc_id = 0 OR doc_id >= 1000").collect():
+        assert [docs[0][1][s.start:s.end].lower() for s in r.spans if s.kind == "term"] == ["nightowl7"]
