@@ -2,7 +2,9 @@
 
 An entity is a patterned value (an address, a number). A term near it discloses it as far as seeing the term raises the chance of
 the entity: pointwise mutual information of entity and term over the information content of the entity, 1 if the term never
-stands without it. Terms above the threshold are spans too, in every document that mentions the entity.
+stands without it. Entities that are mentioned once or twice borrow from what they share with others over the whole corpus:
+their domain or leading digits, and the parts of their name. Terms above the threshold are spans too, in every document that
+mentions the entity.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 #: Terms are runs of letters and digits in lower case, of at least this length.
 TERM, LEAST_LENGTH = r"[\p{L}\p{N}]+", 3
 TERMS = re.compile(TERM)
-#: Terms on each side of an entity that are its context, distinct contexts a pair needs, and the disclosure from which a term goes.
+#: Terms on each side of an entity that are its context, distinct contexts from which a pair's count is taken as it is (smaller
+#: ones are smoothed), and the disclosure from which a term goes.
 WINDOW, SUPPORT, DISCLOSURE = 8, 3, 0.8
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -72,6 +75,20 @@ def _hash(text: str) -> int:
     return h - (h >> 63 << 64)
 
 
+def groups_of(kind: int, value: str) -> list[tuple[str, str]]:
+    """What an entity shares with others: (group, the term it is a name for, or ``""``). Addresses: the domain and each part of name
+    and domain but the last; numbers: their leading half."""
+    value = value.lower()
+    if kind == 0:
+        name, domain = value.rsplit("@", 1)
+        parts = {w for w in re.findall(r"\p{L}+|\p{N}+", name) + TERMS.findall(domain.rpartition(".")[0]) if len(w) >= LEAST_LENGTH}
+        return [(f"@{domain}", ""), *((f"={w}", w) for w in sorted(parts))]
+    if kind == 1:
+        return [(f"{kind}:{value.rpartition('.')[0]}", "")]
+    digits = re.sub("[^0-9]", "", value)
+    return [(f"{kind}:{digits[:len(digits) // 2]}", "")]
+
+
 def contexts(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[dict], list[str]]:
     """Each mention's entity, context (hash of the terms around it) and distinct terms; and all distinct terms of the text.
     Terms inside patterned spans are left out."""
@@ -87,13 +104,16 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[dict],
         while at < len(starts) and starts[at] < a:
             at += 1
         near = terms[max(0, at - WINDOW):at + WINDOW]
-        mentions.append({"entity": _hash(f"{kind}:{text[a:b].lower()}"), "context": _hash(" ".join(near)), "terms": sorted(set(near))})
+        entity = _hash(f"{kind}:{text[a:b].lower()}")
+        groups = [{"id": entity, "part": ""}, *({"id": _hash(g), "part": part} for g, part in groups_of(kind, text[a:b]))]
+        mentions.append({"entity": entity, "context": _hash(" ".join(near)), "terms": sorted(set(near)), "groups": groups})
     return mentions, sorted(set(terms))
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One pass over all texts: spans of every row, and mentions and terms of rows that have spans."""
-    kinds = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("terms", pa.list_(pa.string()))]))
+    kinds = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("terms", pa.list_(pa.string())),
+                               ("groups", pa.list_(pa.struct([("id", pa.int64()), ("part", pa.string())])))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +130,7 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     text = column(docs, text_col)
     slim = docs.select(column(docs, id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    return slim.mapInArrow(run, f"doc_id long, key long, spans {SPANS}, mentions array<struct<entity:long,context:long,terms:array<string>>>, terms array<string>")
+    return slim.mapInArrow(run, f"doc_id long, key long, spans {SPANS}, mentions array<struct<entity:long,context:long,terms:array<string>,groups:array<struct<id:long,part:string>>>>, terms array<string>")
 
 
 def disclosing(base: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
@@ -118,26 +138,45 @@ def disclosing(base: DataFrame, docs: DataFrame, text_col: str = "text", support
 
     n(e), n(e, t): distinct contexts of the entity, and those with the term; n(t), N: distinct texts of the whole corpus with the
     term, and all of them; so copies count once everywhere. disclosure = ln(n(e, t) N / (n(e) n(t))) / ln(N / n(e)).
+
+    The same is estimated over each group g of the entity (domain, leading digits, parts of its name), with n(g) and n(g, t) in
+    place of n(e) and n(e, t) above the bar, for the terms that stand near the entity; the largest value is taken. A pair seen r
+    times, r < ``support``, counts as Good and Turing have it, (r + 1) times the pairs seen r + 1 times over those seen r times in
+    this corpus, so a chance meeting weighs little; a term that is itself a part of the entity's name is no chance meeting and
+    counts in full.
     """
-    said = base.select(F.explode("mentions").alias("m")).select("m.entity", "m.context", "m.terms").groupBy("entity", "context").agg(F.first("terms").alias("terms"))
+    said = base.select(F.explode("mentions").alias("m")).select("m.*").groupBy("entity", "context").agg(F.first("terms").alias("terms"), F.first("groups").alias("groups"))
     said = stored(said, "said")
-    pairs = stored(said.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support), "pairs")
     total = base.select("key").distinct().count()
-    seen = said.groupBy("entity").agg(F.count(F.lit(1)).alias("seen"))
-    # a term passes only if n(t) is at most this; its documents among those with entities are a first part of n(t), so common
-    # words fall out here and the corpus is searched for the few others
-    most = F.col("both") * F.pow(F.lit(total) / F.col("seen"), 1 - threshold)
+    grouped = said.select("entity", "context", "terms", F.explode("groups").alias("g")).select("entity", "context", "terms", F.col("g.id").alias("group"), F.col("g.part").alias("part"))
+    once = stored(grouped.groupBy("group", "context").agg(F.first("part").alias("part"), F.first("terms").alias("terms")), "once")
+    seen = once.groupBy("group").agg(F.count(F.lit(1)).alias("seen"))
+    pairs = once.select("group", "part", F.explode("terms").alias("term")).groupBy("group", "term").agg(F.count(F.lit(1)).alias("both"), F.max(F.col("part") == F.col("term")).alias("named"))
+    pairs = stored(pairs, "pairs")
+    times = dict(pairs.where(~F.col("named") & (F.col("both") <= support)).groupBy("both").count().collect())
+    count = F.col("both").cast("double")
+    for r in range(1, support):
+        smooth = min(float(r), (r + 1) * times.get(r + 1, 0) / times[r]) if times.get(r) else 0.0
+        count = F.when(~F.col("named") & (F.col("both") == r), F.lit(smooth)).otherwise(count)
+    # a term passes only if n(t) is at most this (a group's entity is no rarer than one context); its texts among those with
+    # entities are a first part of n(t), so common words fall out here and the corpus is searched for the few others
+    most = F.col("count") * F.lit(float(total)) / F.col("seen") * F.pow(F.lit(float(max(total, 1))), F.lit(-threshold)) * F.pow(F.col("seen"), F.lit(threshold))
+    pairs = pairs.withColumn("count", count).where("count > 0").join(seen, "group").where(most >= 1 - 1e-9)
     beside = base.where(F.size("spans") > 0).dropDuplicates(["key"]).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("beside"))
-    pairs = stored(pairs.join(seen, "entity").join(beside, "term", "left").where(F.coalesce("beside", F.lit(0)) <= most * (1 + 1e-9)).select("entity", "term", "both", "seen"), "pairs")
+    pairs = stored(pairs.join(beside, "term", "left").where(F.coalesce("beside", F.lit(0)) <= most * (1 + 1e-9)).select("group", "term", "count", "both", "seen"), "pairs")
     known = stored(pairs.select("term").distinct(), "terms")
     if known.isEmpty():
-        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
+        return said.select("entity", F.lit("").alias("term"), F.lit(0.0).alias("disclosure")).limit(0)
     words = docs.select(F.xxhash64(column(docs, text_col)).alias("key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(column(docs, text_col)), F.lit(TERM), 0))).alias("term"))
     held = words.join(small(known, 100_000), "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("held"))
-    both, seen_, held_ = F.col("both"), F.col("seen"), F.greatest(F.coalesce(F.col("held"), F.col("both")), F.col("both"))
-    rare = F.log(F.lit(total) / seen_)
-    ratio = F.when(rare > 0, F.log(both * total / (seen_ * held_)) / rare).otherwise(F.lit(0.0))
-    return pairs.join(held, "term", "left").select("entity", "term", ratio.alias("disclosure")).where(F.col("disclosure") >= threshold)
+    pairs = stored(pairs.join(held, "term", "left"), "told")
+    own = said.groupBy("entity").agg(F.count(F.lit(1)).alias("own"))
+    near = grouped.select("entity", "group", F.explode("terms").alias("term")).join(small(known, 100_000), "term").distinct()
+    held_ = F.greatest(F.coalesce(F.col("held"), F.col("both")), F.col("both"))
+    rare = F.log(F.lit(total) / F.col("own"))
+    ratio = F.when(rare > 0, F.log(F.col("count") * total / (F.col("seen") * held_)) / rare).otherwise(F.lit(0.0))
+    found = near.join(pairs, ["group", "term"]).join(own, "entity").select("entity", "term", ratio.alias("disclosure"))
+    return found.groupBy("entity", "term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:

@@ -85,3 +85,15 @@ def test_copies_do_not_hide_a_disclosing_term(spark):
     df = spark.createDataFrame(docs + [(1000 + k, docs[0][1]) for k in range(1000)], "doc_id long, text string")
     for r in P.find(df).where("doc_id = 0 OR doc_id >= 1000").collect():
         assert [docs[0][1][s.start:s.end].lower() for s in r.spans if s.kind == "term"] == ["nightowl7"]
+
+
+def test_entities_mentioned_once(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    filler = lambda n: " ".join(word() for _ in range(n))
+    docs = [(i, filler(25) + " takes") for i in range(3000)]
+    docs += [(4000, f"{filler(9)} ask Quillworth about it, quillworth@one.example.org {filler(9)}")]  # its own name, mentioned once
+    docs += [(5000 + k, f"{filler(9)} Zephyrdesk takes p{word()}@zephyr-corp.example.com {filler(9)}") for k in range(4)]  # each once, one domain
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    added = {r.doc_id: [dict(docs)[r.doc_id][s.start:s.end] for s in r.spans if s.kind == "term"] for r in P.find(df).collect()}
+    assert {i: x for i, x in added.items() if x} == {4000: ["Quillworth"]} | {5000 + k: ["Zephyrdesk"] for k in range(4)}
