@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofloom.llm import chats, leaks, lines, mixing, pivots, private, quality, repeats, simhash, toxicity
+from proofloom.llm import chats, leaks, lines, mixing, names, pivots, private, quality, repeats, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -167,3 +167,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.coalesce(F.array_size("spans"), F.lit(0)).cast("long").alias("n_spans"), "kept_sha256")
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY folded) AS keep_id, count(*) OVER (PARTITION BY folded) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY folded) AS kept, sha256(folded) AS text_sha256 FROM d
+"""
+
+
+@query("op12_exact_dedup", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.groups(table(spark, sf_dir, "documents"))
