@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofloom.llm import chats, leaks, lines, mixing, names, pivots, private, quality, repeats, simhash, toxicity
+from proofloom.llm import chats, leaks, lines, mixing, names, periods, phrases, pivots, private, quality, repeats, simhash, toxicity
+from proofloom.llm.common import WORD
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,6 +170,31 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.coalesce(F.array_size("spans"), F.lit(0)).cast("long").alias("n_spans"), "kept_sha256")
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, m, unnest(list_transform(range(0, len(w) - m + 1), lambda i: array_to_string(w[i + 1:i + m], ' '))) AS phrase FROM w, range(1, 6) AS s(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT lang, m, phrase, f AS a, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+scored AS (SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, n, 1000 * CAST(a AS HUGEINT) * n // (CAST(x.f AS HUGEINT) * y.f) AS score FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(string_split(c.phrase, ' ')[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(string_split(c.phrase, ' ')[k + 1:], ' ') JOIN totals t ON t.lang = c.lang),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_spans AS (SELECT lang, f, unnest(list_transform(range(0, m - s.o + 1), lambda i: array_to_string(string_split(phrase, ' ')[i + 1:i + s.o], ' '))) AS phrase FROM f, range(2, 5) AS s(o) WHERE s.o < m),
+around AS (SELECT lang, phrase, max(f) AS f FROM inner_spans GROUP BY ALL),
+kept AS (SELECT w.* FROM weakest w LEFT JOIN around o ON o.lang = w.lang AND o.phrase = w.phrase WHERE o.f IS NULL OR 100 * o.f < 100 * w.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
+
+@query("op11_collocations", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 OP12_SQL = r"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY folded) AS keep_id, count(*) OVER (PARTITION BY folded) AS group_size,
@@ -179,3 +205,43 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY folded) AS keep_id, count(*) OVER
 @query("op12_exact_dedup", OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.groups(table(spark, sf_dir, "documents"))
+
+
+#: Equal groups of eight words at a fixed distance, joined into stretches; a stretch inside one of a smaller period is not its own.
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_transform(range(1, len(CAST(doc_id AS VARCHAR)) + 1), lambda x: CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(x AS INT), 1)) AS BIGINT)) AS digits FROM documents),
+c AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n, xor(4294967295, list_reduce(list_concat([4294967295], digits),
+        lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))) AS h FROM d),
+p AS (SELECT *, CASE WHEN n > 0 THEN (h // 10) % n END AS a, CASE WHEN n > 0 THEN 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) END AS p FROM c),
+t AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1]) ELSE w END AS w FROM p),
+words AS (SELECT doc_id, unnest(range(0, n)) AS i, unnest(w) AS word FROM t),
+grams AS (SELECT doc_id, i, CAST(hash(list_aggregate(w[i + 1:i + 8], 'string_agg', ' ')) AS HUGEINT) AS g FROM (SELECT doc_id, w, unnest(range(0, n - 7)) AS i FROM t WHERE n >= 24)),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.g = y.g AND x.i < y.i),
+isle AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM pairs),
+stretch AS (SELECT doc_id, q, min(i) AS s, max(i) - min(i) + q + 8 AS l FROM isle GROUP BY doc_id, q, part),
+runs AS (SELECT * FROM stretch r WHERE l >= greatest(24, 3 * q) AND NOT EXISTS (
+  SELECT 1 FROM stretch o WHERE o.doc_id = r.doc_id AND o.q < r.q AND o.s <= r.s AND o.s + o.l >= r.s + r.l)),
+best AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed,
+         first(s ORDER BY l / q DESC, s, q) AS s, first(l ORDER BY l / q DESC, s, q) AS l, first(q ORDER BY l / q DESC, s, q) AS q FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY i) AS left_over FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY words.doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS period, l * 1000 // q AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(left_over, '')) AS collapsed_sha256
+FROM t LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op13_periodic_runs", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    told = docs.withColumn("g", F.floor(h / 10)).withColumn("w", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})"))))
+    told = told.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    told = told.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    planted = F.transform("w", lambda x, i: F.when(i >= F.col("a"), F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))).otherwise(x))
+    found = periods.runs(told, text=F.when(F.col("n") > 0, F.array_join(planted, " ")).otherwise(F.col("text")))
+    best = periods.strongest(F.col("runs"))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(periods.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
