@@ -26,8 +26,8 @@ KINDS = W.separators(b" \t", b".,;:!?\n\v\f\r")
 SLICE, ROWS = 8 << 20, 400_000
 #: Bits of the map that tells frequent leading pairs: 16 MB, however large the corpus. Pairs that share a bit are kept, never dropped.
 MAP_BITS = 27
-#: A leading pair that opens more pointers than this (or a 2^20th of all pairs) is dealt out by whole suffixes. So at most 2^20 pairs are.
-HOT = 1 << 16
+#: A leading pair that opens more pointers than this (or a 2^20th of all pairs) is routed by its first DEEP words. So at most 2^20 pairs are.
+HOT, DEEP = 1 << 16, 4
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
@@ -46,10 +46,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _pairs(words: W.Words, lang: np.ndarray, langs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose next word is of the same piece, and a 64-bit hash of the two words and the language."""
+def _pairs(words: W.Words, lang: np.ndarray, langs: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose next word is of the same piece, and a 64-bit hash of the two words and the language. ``known``: hashes of the words."""
     at = np.flatnonzero(~words.first[1:])
-    h = _hashes(words.values)[words.codes]
+    h = (_hashes(words.values) if known is None else known)[words.codes]
     return at, _mixed(h[at] * _ODD[0] + h[at + 1] * _ODD[2] + _hashes(langs)[lang[at]]) if len(at) else np.zeros(0, np.uint64)
 
 
@@ -76,11 +76,12 @@ def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pointers(batch: pa.RecordBatch, often: np.ndarray, hot: np.ndarray, longest: int = LONGEST) -> pa.RecordBatch:
     """Distinct suffixes of a slice, up to ``longest`` words of one piece or up to the first infrequent pair, with their counts.
 
-    ``route``: a hash of language and leading pair, of all words where the pair is hot (``spread``). ``often``: the bits of frequent
-    pairs; ``hot``: sorted counters of hot pairs.
+    ``route``: a hash of language and leading pair, of the first DEEP words where the pair is hot (``spread``). ``often``: the bits
+    of frequent pairs; ``hot``: sorted counters of hot pairs.
     """
     words, lang, langs = _cut(batch)
-    at, pair = _pairs(words, lang, langs)
+    known = _hashes(words.values)
+    at, pair = _pairs(words, lang, langs, known)
     bit = _bucket(pair) & ((1 << MAP_BITS) - 1)
     good = (often[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
     at, pair = at[good], pair[good]
@@ -98,12 +99,12 @@ def pointers(batch: pa.RecordBatch, often: np.ndarray, hot: np.ndarray, longest:
     new = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(1) | (tongue[1:] != tongue[:-1]))) if len(rows) else np.zeros(0, np.int64)
     n = np.diff(np.append(new, len(rows)))
     rows, size, tongue, pair = rows[new], size[new], tongue[new], pair[new]
-    bucket, whole = _bucket(pair), pair.copy()
+    bucket, deep = _bucket(pair), pair
     spread = hot[np.minimum(np.searchsorted(hot, bucket), len(hot) - 1)] == bucket if len(hot) else np.zeros(len(bucket), bool)
-    for k in range(2, longest):
-        whole = _mixed(whole * _ODD[0] + rows[:, k].astype(np.uint64) + np.uint64(2))
+    for k in range(2, min(DEEP, longest)):
+        deep = np.where(rows[:, k] >= 0, _mixed(deep * _ODD[0] + known[rows[:, k]]), deep) if len(known) else deep
     text = _joined(rows, size, words.values)
-    return pa.RecordBatch.from_arrays([pa.array(np.where(spread, whole, pair).view(np.int64)), pa.array(spread), langs.take(pa.array(tongue)), text, pa.array(n)], ["route", "spread", "lang", "suffix", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(np.where(spread, deep, pair).view(np.int64)), pa.array(spread), langs.take(pa.array(tongue)), text, pa.array(n)], ["route", "spread", "lang", "suffix", "n"])
 
 
 def _joined(rows: np.ndarray, size: np.ndarray, values: pa.Array) -> pa.Array:
@@ -138,7 +139,8 @@ def quicksort(rows: np.ndarray, n: np.ndarray, least: int) -> list[tuple[int, in
 
 
 def sort_routes(batches: Iterator[pa.RecordBatch], least: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """Suffixes, all of a route in a row, to (lang, phrase, n): whole counts of at least ``least``, or parts of counts where spread."""
+    """Suffixes, all of a route in a row, to (lang, phrase, n): whole counts of at least ``least``, and parts of the counts of phrases
+    shorter than the words they were routed by."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
@@ -161,12 +163,16 @@ def _sorted(table: pa.Table, least: int, longest: int) -> Iterator[pa.RecordBatc
     size = np.diff(words.begins)
     rows = np.full((len(size), longest), -1, np.int64)
     rows[words.text, np.arange(len(words.codes)) - words.begins[words.text]] = words.codes
-    mine = np.flatnonzero(~spread)
-    found = [(mine[r], d - 1, c) for r, d, c in quicksort(np.column_stack([tongue[mine], rows[mine]]), n[mine], least) if d > 2]
+    deep = min(DEEP, longest)
+    found = [(r, d - 1, c) for r, d, c in quicksort(np.column_stack([tongue, rows]), n, least) if d > (deep if spread[r] else 2)]
     row, depth, count = (np.array(x, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-    for d in range(2, longest + 1):
+    for d in range(2, deep):  # what is routed deeper has its shorter phrases in many places: parts of their counts
         more = np.flatnonzero(spread & (size >= d))
-        row, depth, count = np.append(row, more), np.append(depth, np.full(len(more), d)), np.append(count, n[more])
+        more = more[np.lexsort([*rows[more, :d].T, tongue[more]])]
+        key = np.column_stack([tongue[more], rows[more, :d]])
+        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))) if len(more) else more
+        row, depth = np.append(row, more[new]), np.append(depth, np.full(len(new), d))
+        count = np.append(count, np.add.reduceat(n[more], new)) if len(new) else count
     yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(tongue[row])), _joined(rows[row], depth, words.values), pa.array(count)], ["lang", "phrase", "n"])
 
 
