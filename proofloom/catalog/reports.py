@@ -200,26 +200,33 @@ query("M7_analysis_prompt", f"""{_LA_ISSUES}, o AS (SELECT *, row_number() OVER
 _NEW = "doc_id, element_index, substr(content, q % 5 + 1, 2 + q % 6) AS location_text"
 
 
-def _new_issues(spark, d):
-    return zh_elements(spark, d, "q", "k", "pk").filter("k % 3 = 0 AND pk % 2 = 0").selectExpr(
-        "doc_id", "element_index", "substr(content, q % 5 + 1, 2 + q % 6) AS location_text")
-
-
-def _old_issues(spark, d):
-    return zh_elements(spark, d, "q", "k", "pk").filter("k % 3 = 0 AND pk % 2 = 1").selectExpr(
-        "doc_id", "element_index", "substr(content, q % 5 + 1, 2 + q % 6) AS location_text")
+def _model_issues(spark, d, side):
+    """A piece of every element as an issue: those of odd parts are there already (1), those of even parts are new (0)."""
+    return zh_elements(spark, d, "q", "pk").filter(f"pk % 2 = {side}").selectExpr(*[c.strip() for c in _split(_NEW)])
 
 
+_STRIPPED = "regexp_replace(location_text, '^\\s+|\\s+$', '', 'g')"
+_OLD_NEW = f"{ZH_SQL}, i AS (SELECT {_NEW} FROM zh WHERE pk % 2 = 1), nw AS (SELECT {_NEW} FROM zh WHERE pk % 2 = 0)"
 _SIM = """len(list_intersect(list_distinct(string_split(a.t, '')), list_distinct(string_split(b.t, '')))) * 1.0
       / len(list_distinct(list_concat(string_split(a.t, ''), string_split(b.t, '')))) > 0.8"""
 for _name, _cont in (("C18_near_dup_issues", True), ("C18_near_dup_jaccard_only", False)):
     _min = 2 if _cont else 1
-    _txt = "regexp_replace(location_text, '^\\s+|\\s+$', '', 'g')" if _cont else "location_text"
-    query(_name, f"""WITH {ZH_SQL}, i AS (SELECT doc_id, location_text AS loc FROM (SELECT {_NEW} FROM zh WHERE k % 3 = 0 AND pk % 2 = 1)), nw AS (SELECT *, {_txt} AS t FROM (SELECT {_NEW} FROM zh WHERE k % 3 = 0 AND pk % 2 = 0)),
-      b AS (SELECT DISTINCT doc_id, {_txt.replace('location_text', 'loc')} AS t FROM i WHERE length({_txt.replace('location_text', 'loc')}) >= {_min}),
-      na AS (SELECT DISTINCT doc_id, t FROM nw WHERE length(t) >= {_min}),
-      dup AS (SELECT DISTINCT a.doc_id, a.t FROM na a JOIN b ON a.doc_id = b.doc_id AND ({f"contains(a.t, b.t) OR contains(b.t, a.t) OR " if _cont else ""}{_SIM}))
-      SELECT doc_id, element_index, location_text FROM nw WHERE (doc_id, t) NOT IN (SELECT (doc_id, t) FROM dup)""")(
-        lambda spark, d, c=_cont: M.drop_near_duplicates(_new_issues(spark, d), _old_issues(spark, d), containment=c))
-query("G2_merge_model_issues")(lambda spark, d: M.merge_model_issues(
-    _old_issues(spark, d), _new_issues(spark, d), ["element_index", "location_text"]))
+    _txt = _STRIPPED if _cont else "location_text"
+    query(_name, f"""WITH {_OLD_NEW}, n AS (SELECT *, {_txt} AS t FROM nw),
+      b AS (SELECT DISTINCT doc_id, {_txt} AS t FROM i WHERE length({_txt}) >= {_min}),
+      na AS (SELECT DISTINCT doc_id, t FROM n WHERE length(t) >= {_min}),
+      dup AS (SELECT DISTINCT a.doc_id, a.t FROM na a JOIN b ON a.doc_id = b.doc_id AND ({"contains(a.t, b.t) OR contains(b.t, a.t) OR " if _cont else ""}{_SIM}))
+      SELECT doc_id, element_index, location_text FROM n ANTI JOIN dup USING (doc_id, t)""")(
+        lambda spark, d, c=_cont: M.drop_near_duplicates(_model_issues(spark, d, 0), _model_issues(spark, d, 1), containment=c))
+#: One new issue of every document per step, with the list of texts kept so far.
+query("G2_merge_model_issues", f"""WITH RECURSIVE {_OLD_NEW},
+    n AS (SELECT *, {_STRIPPED} AS t, row_number() OVER (PARTITION BY doc_id ORDER BY element_index, location_text) AS r FROM nw),
+    b AS (SELECT doc_id, list({_STRIPPED}) FILTER (length({_STRIPPED}) >= 2) AS texts FROM i GROUP BY 1),
+    w AS (SELECT doc_id, CAST(0 AS BIGINT) AS r, coalesce(texts, []) AS texts, false AS kept FROM (SELECT DISTINCT doc_id FROM n) LEFT JOIN b USING (doc_id)
+      UNION ALL SELECT doc_id, r, CASE WHEN keep AND length(t) >= 2 THEN list_append(texts, t) ELSE texts END, keep FROM (
+        SELECT n.doc_id, n.r, n.t, w.texts, length(n.t) < 2 OR len(list_filter(w.texts, lambda x: contains(x, n.t) OR contains(n.t, x)
+          OR len(list_intersect(list_distinct(string_split(x, '')), list_distinct(string_split(n.t, '')))) * 1.0
+             / len(list_distinct(list_concat(string_split(x, ''), string_split(n.t, '')))) > 0.8)) = 0 AS keep
+        FROM w JOIN n ON n.doc_id = w.doc_id AND n.r = w.r + 1))
+    SELECT doc_id, element_index, location_text FROM i UNION ALL SELECT doc_id, element_index, location_text FROM n JOIN w USING (doc_id, r) WHERE w.kept""")(
+    lambda spark, d: M.merge_model_issues(_model_issues(spark, d, 1), _model_issues(spark, d, 0), ["element_index", "location_text"]))

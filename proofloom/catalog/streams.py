@@ -39,13 +39,8 @@ query("L1_stream_monthly_counters", f"""{LOGS} SELECT user_id, strftime(created_
     lambda spark, d: J.latest_rows(J.monthly_counters(_log_stream(spark, d)), J.work_folder(spark), ["user_id", "period_key"]))
 
 
-def _admitted(spark, d):
-    folder = J.work_folder(spark)
-    J.run_available(J.admit(_log_stream(spark, d), usage_view(spark, d, "profiles")), folder, "append")
-    return spark.read.parquet(f"{folder}/table")
-
-
-query("L2_stream_quota_admission", ORACLE["E18_quota_admission"])(_admitted)
+query("L2_stream_quota_admission", ORACLE["E18_quota_admission"])(
+    lambda spark, d: J.keep_admitted(_log_stream(spark, d), usage_view(spark, d, "profiles"), J.work_folder(spark)))
 query("L3_stream_token_daily", f"""{LOGS} SELECT CAST(created_at AS DATE) AS date, coalesce(purpose, 'unknown') AS purpose, CAST(sum(amount) AS BIGINT) AS total_tokens, count(*) AS total_requests FROM token_logs GROUP BY ALL""")(
     lambda spark, d: J.latest_rows(J.token_daily(_log_stream(spark, d)), J.work_folder(spark), ["date", "purpose"]).drop("active_users"))
 query("L4_stream_activity_feed", f"""WITH {usage_sql('activities')} SELECT * FROM activities QUALIFY row_number() OVER (PARTITION BY team_id ORDER BY created_at DESC, id DESC) <= 100""")(

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofloom.session import stored
+
 BLOCK = 8192
 
 
@@ -18,6 +20,17 @@ def index_block(column: str = "element_index", size: int = BLOCK) -> Column:
     return F.floor(F.col(column) / F.lit(size)).cast("long")
 
 
+def range_blocks(df: DataFrame, keys, order, name: str = "__block", parts: int = 0) -> DataFrame:
+    """``df``, stored, with ``name``: the number of the range of (``keys``, ``order``) a row is in.
+
+    Ranges hold about as many rows each, whatever the keys, so a hot key spans many of them, also where its rows bunch in time.
+    ``parts``: number of ranges, 0 for as many as a shuffle has.
+    """
+    by = [*keys, *order]
+    ranged = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
+    return stored(ranged.withColumn(name, F.spark_partition_id()), "ranges")
+
+
 def _blocked(df: DataFrame, keys, blocks):
     names = [f"__b{i}" for i in range(len(blocks))]
     for name, expr in zip(names, blocks):

@@ -30,19 +30,46 @@ def plain_number(digits: Column) -> Column:
     return F.regexp_replace(F.translate(digits, R.FULLWIDTH_DIGITS, "0123456789"), r"^0+(?=\d)", "")
 
 
-def parse_citation_numbers(text: Column) -> Column:
-    """``1,3-5`` -> ``[1, 3, 4, 5]``; a falling range is empty."""
-    empty = F.array().cast("array<int>")
+#: A cited range of more numbers than this is not written out: its two ends stand for it.
+WRITTEN_RANGE = 10_000
+
+
+def citation_ranges(text: Column) -> Column:
+    """``1,3-5`` -> ``[{1, 1}, {3, 5}]``; a falling range is left out."""
     num = lambda p, i: plain_number(F.regexp_extract(p, r"(?U)^(\d+)[–\-](\d+)", i)).try_cast("int")
 
     def one(p: Column) -> Column:
         part = F.trim(p)
-        is_range = part.rlike(r"(?U)^\d+[–\-]\d+")
-        up = F.when(num(part, 1) <= num(part, 2), F.sequence(num(part, 1), num(part, 2))).otherwise(empty)
-        single = F.array(plain_number(part).try_cast("int"))
-        return F.when(is_range, up).when(part.rlike(r"(?U)^\d+$"), single).otherwise(empty)
+        single = plain_number(part).try_cast("int")
+        ends = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
+        return F.when(part.rlike(r"(?U)^\d+[–\-]\d+"), ends(num(part, 1), num(part, 2))).when(part.rlike(r"(?U)^\d+$"), ends(single, single))
+
+    return F.filter(F.transform(F.split(text, "[,，]", -1), one), lambda r: r["low"] <= r["high"])
+
+
+def parse_citation_numbers(text: Column) -> Column:
+    """``1,3-5`` -> ``[1, 3, 4, 5]``; a falling range is empty, one of more than ``WRITTEN_RANGE`` numbers gives its ends."""
+    short = lambda r: r["high"] - r["low"] < WRITTEN_RANGE
+    return F.flatten(F.transform(citation_ranges(text), lambda r: F.when(
+        short(r), F.sequence(r["low"], F.when(short(r), r["high"]).otherwise(r["low"]))).otherwise(F.array(r["low"], r["high"]))))
+
+
+def range_pieces(low: Column, high: Column) -> Column:
+    """``low..high`` (not negative) as at most 62 aligned blocks of 2^level numbers: ``array<struct<level, block>>``.
+
+    A number is in the range if the block it is in, at one of the levels, is among them: so ranges meet numbers by equality.
+    """
+    empty = F.array().cast("array<struct<level:int,block:int>>")
+    start = F.struct(low.cast("long").alias("a"), (high.cast("long") + 1).alias("b"), empty.alias("out"))
+
+    def step(acc: Column, level: Column) -> Column:
+        a, b = acc["a"], acc["b"]
+        piece = lambda at: F.array(F.struct(level.alias("level"), at.cast("int").alias("block")))
+        left, right = (a < b) & (a % 2 == 1), (a < b) & (b % 2 == 1)
+        out = F.concat(acc["out"], F.when(left, piece(a)).otherwise(empty), F.when(right & ~(left & (a + 1 == b)), piece(b - 1)).otherwise(empty))
+        return F.struct(F.shiftright(a + 1, 1).alias("a"), F.shiftright(b, 1).alias("b"), out.alias("out"))
 
-    return F.flatten(F.transform(F.split(text, "[,，]", -1), one))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(31)), start, step, lambda acc: acc["out"])
 
 
 def fingerprint(text: Column, n: int = 40) -> Column:

@@ -6,17 +6,13 @@ aggregates; only quota admission depends on order.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofloom.functions.ordered import first_per, latest_per, running_sum, top_per
+from proofloom.functions.ordered import latest_per, range_blocks, running_sum, top_per
 from proofloom.functions.scalars import day_key, period_key
 from proofloom.rules import fixed as R
-
-# Log rows of one user and day form one block of ordered computations.
-def _day(column: str = "created_at") -> Column:
-    return F.date_trunc("day", F.col(column))
+from proofloom.session import stored
 
 
 def normalize_usage(raw: DataFrame) -> DataFrame:
@@ -113,54 +109,38 @@ def usage_counters(logs: DataFrame) -> DataFrame:
 
 # --- quota admission ----------------------------------------------------------
 
-def _admit_rest(batches):
-    """Sequential decision over the contested rows of sorted groups."""
-    state_key, left = None, 0
-    for pdf in batches:
-        flags = []
-        for key, amount, start in zip(zip(pdf["user_id"], pdf["period_key"]), pdf["amount"], pdf["__left"]):
-            if key != state_key:
-                state_key, left = key, int(start)
-            ok = amount <= left
-            left -= int(amount) if ok else 0
-            flags.append(ok)
-        yield pdf.assign(accepted=flags)
-
-
-def admit(logs: DataFrame, profiles: DataFrame, rounds: int = 2) -> DataFrame:
-    """Accept a log row only while the month's quota covers it; rejected rows do not count.
-
-    A running sum settles most rows in parallel: until a user's first overflow
-    every row is in, and from there on rows larger than what is left are out.
-    That step repeats for ``rounds``; the few rows still open are decided in
-    order, one pass over sorted partitions.
+def admit(logs: DataFrame, profiles: DataFrame, ranges: int = 0, spent: DataFrame | None = None) -> DataFrame:
+    """Accept a log row only while the month's quota covers it; rejected rows do not count. Amounts are not negative.
+
+    Let ``unit`` be the largest power of two that is not above what is left. Until what is left falls below it, all smaller rows
+    are in, so a running sum tells where that happens; of the others the first that still fits brings it about. Rows up to there
+    are decided at once, and what is left has at most half as many units. So there are as many rounds as the quota has binary
+    digits, whatever the amounts, and each is a running sum over ranges of rows: a hot user and month spans many tasks.
+    ``spent``: user_id, period_key, used: tokens used before the first row.
     """
-    base = logs.join(profiles.select(F.col("id").alias("user_id"), "token_quota"), "user_id")
-    base = base.withColumn("period_key", period_key(F.col("created_at")))
-    keys, order, blocks = ["user_id", "period_key"], ["created_at", "id"], [_day()]
-    open_rows = base.withColumn("__left", F.col("token_quota"))
-    columns = [*logs.columns, "period_key", "accepted"]
-    done = []
-    for _ in range(rounds):
-        fits = open_rows.filter(F.col("amount") <= F.col("__left"))
-        done.append(open_rows.filter(F.col("amount") > F.col("__left")).withColumn("accepted", F.lit(False)).select(columns))
-        summed = running_sum(fits, keys, order, blocks, __sum=F.col("amount"))
-        over = summed.filter(F.col("__sum") > F.col("__left")).groupBy(*keys).agg(F.min(F.struct(*order)).alias("__first_over"))
-        marked = summed.join(over, keys, "left")
-        before = F.col("__first_over").isNull() | (F.struct(*order) < F.col("__first_over"))
-        taken = marked.filter(before)
-        done.append(taken.withColumn("accepted", F.lit(True)).select(columns))
-        spent = taken.groupBy(*keys).agg(F.sum("amount").alias("__spent"))
-        rest = marked.filter(~before).join(spent, keys, "left")
-        open_rows = rest.withColumn("__left", F.col("__left") - F.coalesce("__spent", F.lit(0))).select(*open_rows.columns)
-    last = open_rows.select(*logs.columns, "period_key", "__left")
-    last = last.repartition(*keys).sortWithinPartitions(*keys, *order)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in last.schema.fields) + ", accepted boolean"
-    done.append(last.mapInPandas(_admit_rest, schema).select(columns))
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    keys, order, block = ["user_id", "period_key"], ["created_at", "id"], [F.col("__block")]
+    base = logs.join(profiles.select(F.col("id").alias("user_id"), F.col("token_quota").alias("__left")), "user_id")
+    base = base.withColumn("period_key", period_key(F.col("created_at"))).withColumn("__amount", F.coalesce("amount", F.lit(0)))
+    if spent is not None:
+        base = base.join(spent, keys, "left").withColumn("__left", F.col("__left") - F.coalesce("used", F.lit(0))).drop("used")
+    amount, left, place = F.col("__amount"), F.col("__left"), F.struct(*order)
+    unit = F.when(left > 0, F.expr("shiftleft(1L, length(bin(__left)) - 1)")).otherwise(1)
+    small, rest = amount < unit, left - F.col("__sum")
+    columns = [*logs.columns, "period_key"]
+    out, open_rows = None, range_blocks(base, keys, order, parts=ranges)
+    while True:
+        sums = stored(running_sum(open_rows.filter(amount <= left), keys, order, block, __sum=F.when(small, amount)), "admission")
+        rejected = open_rows.filter(amount > left).select(*columns, F.lit(False).alias("accepted"))
+        out = rejected if out is None else out.unionByName(rejected)
+        if sums.isEmpty():
+            return out
+        ends = (left > 0) & F.when(small, rest < unit).otherwise(amount <= rest)
+        after = F.when(small, rest).otherwise(rest - amount)
+        end = stored(sums.filter(ends).groupBy(*keys).agg(F.min(F.struct(*order, after.alias("left"))).alias("__end")), "admission-ends")
+        marked, last = sums.join(end, keys, "left"), F.struct(*[F.col("__end")[c].alias(c) for c in order])
+        decided = marked.filter(F.col("__end").isNull() | (place <= last))
+        out = out.unionByName(decided.select(*columns, (small | F.coalesce(place == last, F.lit(False))).alias("accepted")))
+        open_rows = marked.filter(place > last).withColumn("__left", F.col("__end.left")).select(*open_rows.columns)
 
 
 # --- recency -------------------------------------------------------------------

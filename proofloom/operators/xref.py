@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofloom.functions.ordered import first_per, index_block, last_seen, numbered, running_sum
-from proofloom.functions.scalars import cn_num_to_int, fingerprint, int_to_cn_num, parse_citation_numbers, plain_number
+from proofloom.functions.scalars import citation_ranges, cn_num_to_int, fingerprint, int_to_cn_num, parse_citation_numbers, plain_number, range_pieces
 from proofloom.functions.spans import clip, let, spans, strip
 from proofloom.operators.issues import element, flag, issue_rows
 from proofloom.rules import fixed as R
@@ -301,17 +301,20 @@ def body_citations(elements: DataFrame) -> DataFrame:
     """``[n]`` written by hand before the bibliography, with the entries found."""
     body = elements.filter(~F.col("element_type").isin("header", "footer"))
     cites = body.select("doc_id", "element_index", "content", F.explode(spans(F.col("content"), R.CITATION_PATTERN)).alias("s"))
+    inner = F.regexp_extract("s.hit", R.CITATION_PATTERN, 1)
     cites = cites.select(
         "doc_id", "element_index", F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"),
-        F.col("s.hit").alias("citation"),
-        parse_citation_numbers(F.regexp_extract("s.hit", R.CITATION_PATTERN, 1)).alias("numbers"),
+        F.col("s.hit").alias("citation"), parse_citation_numbers(inner).alias("numbers"), citation_ranges(inner).alias("ranges"),
         fingerprint(F.col("content")).alias("fingerprint"),
         strip(clip(F.col("content"), F.col("s.start") - 10, F.col("s.end") + 10)).alias("location_text"))
     cites = cites.join(bibliography_start(elements), "doc_id").filter("element_index < bib_start")
-    place = ["doc_id", "element_index", "start_pos"]
-    each = cites.select(*place, F.posexplode("numbers").alias("n", "ref_number"))
-    found = each.join(bibliography_entries(elements), ["doc_id", "ref_number"]).groupBy(*place).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("n", "ref_index"))), lambda x: x["ref_index"]).alias("ref_indices"))
+    place, key = ["doc_id", "element_index", "start_pos"], ["doc_id", "level", "block"]
+    # A range meets the entries in it by its aligned blocks, so its length does not matter.
+    asked = cites.select(*place, F.posexplode("ranges").alias("n", "r")).select(*place, "n", F.inline(range_pieces(F.col("r.low"), F.col("r.high"))))
+    entries = bibliography_entries(elements).select("doc_id", "ref_number", "ref_index", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("level"))
+    entries = entries.withColumn("block", F.expr("CAST(shiftright(CAST(ref_number AS BIGINT), level) AS INT)"))
+    found = asked.join(entries, key).groupBy(*place).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("n", "ref_number", "ref_index"))), lambda x: x["ref_index"]).alias("ref_indices"))
     return cites.join(found, place, "left").withColumn("fixable", F.col("ref_indices").isNotNull())
 
 

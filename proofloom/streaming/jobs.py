@@ -1,8 +1,8 @@
 """The usage log, activity feed and document checks as streams.
 
 Aggregates carry a watermark, so state of closed days and months is dropped.
-Quota admission keeps one number per user and month.  Feeds and incremental
-checks run the batch operators on each micro-batch.
+Quota admission, feeds and incremental checks run the batch operators on each
+micro-batch and keep what the next one needs in versioned tables.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from proofloom.functions.ordered import latest_per
 from proofloom.functions.scalars import next_reset, period_key
 from proofloom.operators import incremental
-from proofloom.operators.usage import activity_feed
-from proofloom.session import checkpoint_dir
+from proofloom.operators.usage import activity_feed, admit
+from proofloom.session import checkpoint_dir, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LATE = "7 days"
@@ -109,44 +109,44 @@ def monthly_counters(logs: DataFrame, late: str = LATE) -> DataFrame:
 
 # --- quota ---------------------------------------------------------------------
 
-class QuotaGate(StatefulProcessor):
-    """Accepts an event while the month's quota covers it.
+#: Batches between full versions of the used amounts; those in between hold the changed keys only.
+FULL_EVERY = 32
 
-    Events of one micro-batch are taken in time order; the batch size limit of
-    the source bounds how many one key can have at once.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.used = handle.getValueState("used", T.StructType([T.StructField("n", T.LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        used = self.used.get()[0] if self.used.exists() else 0
-        pdf = pd.concat(list(rows)).sort_values(["created_at", "id"])
-        accepted = []
-        for amount, quota in zip(pdf["amount"], pdf["token_quota"]):
-            ok = used + amount <= quota
-            used += int(amount) if ok else 0
-            accepted.append(ok)
-        self.used.update((used,))
-        self.handle.registerTimer(int(pdf["reset_ms"].iloc[0]))
-        yield pd.DataFrame({"id": pdf["id"].to_numpy(), "user_id": key[0], "period_key": key[1], "accepted": accepted})
-
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
-        self.used.clear()
-        return iter(())
+def keep_admitted(logs: DataFrame, profiles: DataFrame, folder: str, late: str = LATE) -> DataFrame:
+    """Admit each micro-batch against what its users have used before; ``profiles`` is a static table. Returns the decisions so far.
 
-    def close(self) -> None:
-        pass
+    A batch is decided by the batch operator, so a hot user and month spans many tasks. Used amounts per user and month stand in
+    versions named by the batch: one with all open months every ``FULL_EVERY`` batches, the changed ones in between. A restarted
+    stream goes on from them, and a batch that runs again gives the same versions and decisions. Rows more than ``late`` older
+    than the newest row of the batches before are left out, and months that ended before that are not carried on.
+    """
+    spark, path = logs.sparkSession, f"{folder}/used"
+    empty = spark.createDataFrame([], "user_id long, period_key string, used long, seen timestamp, v int")
+    empty.drop("v").write.mode("ignore").parquet(f"{path}/v=-1")
 
+    def used_before(batch_id: int) -> DataFrame:
+        base = (batch_id - 1) // FULL_EVERY * FULL_EVERY
+        rows = spark.read.schema(empty.schema).parquet(path).where(F.col("v").between(min(base, -1) if base == 0 else base, batch_id - 1))
+        return latest_per(rows, ["user_id", "period_key"], ["v"])
 
-def admit(logs: DataFrame, profiles: DataFrame, late: str = LATE) -> DataFrame:
-    """Stream twin of quota admission; ``profiles`` is a static table."""
-    quota = profiles.select(F.col("id").alias("user_id"), "token_quota")
-    rows = logs.withWatermark("created_at", late).join(quota, "user_id").withColumn("period_key", period_key(F.col("created_at"))).withColumn(
-        "reset_ms", F.unix_millis(next_reset(F.col("created_at")).cast("timestamp")))
-    return rows.groupBy("user_id", "period_key").transformWithStateInPandas(
-        QuotaGate(), "id long, user_id long, period_key string, accepted boolean", "Append", "EventTime")
+    def save(batch: DataFrame, batch_id: int) -> None:
+        known = stored(used_before(batch_id), "used")
+        seen = known.agg(F.max("seen")).first()[0]
+        rows = batch if seen is None else batch.where(F.col("created_at") >= F.lit(seen) - F.expr(f"INTERVAL {late}"))
+        admitted = stored(admit(rows, profiles, spent=known.select("user_id", "period_key", "used")), "admitted")
+        admitted.select("id", "user_id", "period_key", "accepted").write.mode("overwrite").parquet(f"{folder}/table/batch={batch_id}")
+        newest = admitted.agg(F.max("created_at")).first()[0]
+        newest = max((t for t in (seen, newest) if t is not None), default=None)
+        taken = admitted.groupBy("user_id", "period_key").agg(F.sum(F.when(F.col("accepted"), F.col("amount")).otherwise(0)).alias("taken"))
+        now = known.join(taken, ["user_id", "period_key"], "full" if batch_id % FULL_EVERY == 0 else "right").select(
+            "user_id", "period_key", (F.coalesce("used", F.lit(0)) + F.coalesce("taken", F.lit(0))).alias("used"), F.lit(newest).cast("timestamp").alias("seen"))
+        if seen is not None:
+            now = now.where(F.col("period_key") >= period_key(F.lit(seen) - F.expr(f"INTERVAL {late}")))
+        now.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+
+    run_available(logs, folder, "append", save)
+    return spark.read.parquet(f"{folder}/table").drop("batch")
 
 
 # --- feeds and documents ---------------------------------------------------------
