@@ -28,6 +28,8 @@ SLICE, ROWS = 8 << 20, 400_000
 MAP_BITS = 27
 #: A leading pair that opens more pointers than this (or a 2^20th of all pairs) is routed by its first DEEP words. So at most 2^20 pairs are.
 HOT, DEEP = 1 << 16, 4
+#: Routes for each shuffle partition.
+ROUTES = 8
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
@@ -73,10 +75,11 @@ def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n)], ["bucket", "n"])
 
 
-def pointers(batch: pa.RecordBatch, often: np.ndarray, hot: np.ndarray, longest: int = LONGEST) -> pa.RecordBatch:
-    """Distinct suffixes of a slice, up to ``longest`` words of one piece or up to the first infrequent pair, with their counts.
+def pointers(batch: pa.RecordBatch, often: np.ndarray, hot: np.ndarray, longest: int = LONGEST, routes: int = 64) -> pa.RecordBatch:
+    """Distinct suffixes of a slice, up to ``longest`` words of one piece or up to the first infrequent pair, with their counts, in
+    one packet for each route, language and kind.
 
-    ``route``: a hash of language and leading pair, of the first DEEP words where the pair is hot (``spread``). ``often``: the bits
+    ``route``: by a hash of language and leading pair, of the first DEEP words where the pair is hot (``spread``). ``often``: the bits
     of frequent pairs; ``hot``: sorted counters of hot pairs.
     """
     words, lang, langs = _cut(batch)
@@ -103,8 +106,14 @@ def pointers(batch: pa.RecordBatch, often: np.ndarray, hot: np.ndarray, longest:
     spread = hot[np.minimum(np.searchsorted(hot, bucket), len(hot) - 1)] == bucket if len(hot) else np.zeros(len(bucket), bool)
     for k in range(2, min(DEEP, longest)):
         deep = np.where(rows[:, k] >= 0, _mixed(deep * _ODD[0] + known[rows[:, k]]), deep) if len(known) else deep
-    text = _joined(rows, size, words.values)
-    return pa.RecordBatch.from_arrays([pa.array(np.where(spread, deep, pair).view(np.int64)), pa.array(spread), langs.take(pa.array(tongue)), text, pa.array(n)], ["route", "spread", "lang", "suffix", "n"])
+    route = (np.where(spread, deep, pair) % np.uint64(routes)).astype(np.int64)
+    order = np.lexsort([tongue, spread, route])  # stable: suffixes stay in order
+    route, spread, tongue = route[order], spread[order], tongue[order]
+    new = np.flatnonzero(np.append(True, (np.diff(route) != 0) | (spread[1:] != spread[:-1]) | (np.diff(tongue) != 0))) if len(route) else order
+    bounds = pa.array(np.append(new, len(route)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([
+        pa.array(route[new]), pa.array(spread[new]), langs.take(pa.array(tongue[new])),
+        pa.ListArray.from_arrays(bounds, _joined(rows[order], size[order], words.values)), pa.ListArray.from_arrays(bounds, pa.array(n[order]))], ["route", "spread", "lang", "suffixes", "n"])
 
 
 def _joined(rows: np.ndarray, size: np.ndarray, values: pa.Array) -> pa.Array:
@@ -139,27 +148,28 @@ def quicksort(rows: np.ndarray, n: np.ndarray, least: int) -> list[tuple[int, in
 
 
 def sort_routes(batches: Iterator[pa.RecordBatch], least: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """Suffixes, all of a route in a row, to (lang, phrase, n): whole counts of at least ``least``, and parts of the counts of phrases
+    """Packets, all of a route in a row, to (lang, phrase, n): whole counts of at least ``least``, and parts of the counts of phrases
     shorter than the words they were routed by."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(len(b) for b in held) >= ROWS:
+        if sum(len(b.column("n").flatten()) for b in held) >= ROWS:
             rows = pa.Table.from_batches(held).combine_chunks()
             route = rows.column("route").to_numpy()
             whole = int(np.searchsorted(route, route[-1]))  # the last route may go on
             held = rows.slice(whole).to_batches()
             if whole:
-                yield from _sorted(rows.slice(0, whole), least, longest)
+                yield _sorted(rows.slice(0, whole), least, longest)
     if held:
-        yield from _sorted(pa.Table.from_batches(held), least, longest)
+        yield _sorted(pa.Table.from_batches(held), least, longest)
 
 
-def _sorted(table: pa.Table, least: int, longest: int) -> Iterator[pa.RecordBatch]:
-    table = table.combine_chunks()
-    words = W.cut(table.column("suffix").combine_chunks().cast(pa.binary()), W.separators(b" "))
-    langs = table.column("lang").combine_chunks().dictionary_encode()
-    tongue, n, spread = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64), table.column("n").to_numpy(), table.column("spread").to_numpy()
+def _sorted(table: pa.Table, least: int, longest: int) -> pa.RecordBatch:
+    suffixes, packets = table.column("suffixes").combine_chunks(), table.column("n").combine_chunks()
+    words, n = W.cut(suffixes.flatten().cast(pa.binary()), W.separators(b" ")), packets.flatten().to_numpy()
+    langs, each = table.column("lang").combine_chunks().dictionary_encode(), pc.list_value_length(packets).to_numpy()
+    tongue = np.repeat(langs.indices.to_numpy(zero_copy_only=False).astype(np.int64), each)
+    spread = np.repeat(table.column("spread").to_numpy(), each)
     size = np.diff(words.begins)
     rows = np.full((len(size), longest), -1, np.int64)
     rows[words.text, np.arange(len(words.codes)) - words.begins[words.text]] = words.codes
@@ -173,7 +183,7 @@ def _sorted(table: pa.Table, least: int, longest: int) -> Iterator[pa.RecordBatc
         new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))) if len(more) else more
         row, depth = np.append(row, more[new]), np.append(depth, np.full(len(new), d))
         count = np.append(count, np.add.reduceat(n[more], new)) if len(new) else count
-    yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(tongue[row])), _joined(rows[row], depth, words.values), pa.array(count)], ["lang", "phrase", "n"])
+    return pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(tongue[row])), _joined(rows[row], depth, words.values), pa.array(count)], ["lang", "phrase", "n"])
 
 
 def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -189,16 +199,16 @@ def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", long
         often[r.part << 12:(r.part + 1) << 12] = np.frombuffer(r.bits, np.uint8)
     total = pairs.agg(F.sum("n")).first()[0] or 0
     hot = np.sort(np.array([r.bucket for r in pairs.where(F.col("n") > max(HOT, total >> 20)).select("bucket").collect()], np.int64))
-    told = spark.sparkContext.broadcast((often, hot))
+    told, routes = spark.sparkContext.broadcast((often, hot)), ROUTES * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.slices(batches, 1, SLICE):
-            yield pointers(part, *told.value, longest)
+            yield pointers(part, *told.value, longest, routes)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from sort_routes(batches, least, longest)
 
-    suffixes = slim.mapInArrow(cut, "route long, spread boolean, lang string, suffix string, n long").repartition("route").sortWithinPartitions("route")
+    suffixes = slim.mapInArrow(cut, "route long, spread boolean, lang string, suffixes array<string>, n array<long>").repartition("route").sortWithinPartitions("route")
     found = suffixes.mapInArrow(sort, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     single = words.where(F.col("f") >= least).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f")
     sizes = F.size(F.split("phrase", " ")).alias("size")

@@ -94,7 +94,7 @@ def test_without_pruning_and_in_small_batches(monkeypatch):
     data = rows()
     batch = pa.RecordBatch.from_arrays([pa.array([l or "und" for l, _ in data]), pa.array([(t or "").encode() for _, t in data], pa.binary())], ["lang", "text"])
     for hot in (np.zeros(0, np.int64), np.unique(P._bucket(P._pairs(*P._cut(batch))[1]))[::2]):
-        found = pa.Table.from_batches([P.pointers(batch, np.full(1 << (P.MAP_BITS - 3), 255, np.uint8), hot)]).sort_by("route")
+        found = pa.Table.from_batches([P.pointers(batch, np.full(1 << (P.MAP_BITS - 3), 255, np.uint8), hot, routes=40)]).sort_by("route")
         got = Counter()
         for out in P.sort_routes(iter(found.to_batches(max_chunksize=7)), 9, 5):
             for lang, phrase, n in zip(*(c.to_pylist() for c in out.columns)):
