@@ -1,9 +1,8 @@
 """Structural role of each element: cover, contents, headings, bibliography, body.
 
 The role of an element depends on what came before it.  The cover can only
-touch the first elements of a document, so those few are folded in order; past
-them only two yes/no states remain (inside the contents, inside the
-bibliography) and each is the latest event that set or cleared it.
+touch the first elements of a document; past them only two yes/no states remain
+(inside the contents, inside the bibliography).
 """
 
 from __future__ import annotations
@@ -11,12 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofloom.functions.ordered import index_block, last_seen
+from proofloom.functions.ordered import index_block
 from proofloom.functions.spans import let, strip
 from proofloom.rules import fixed as R
-
-# The cover can reach three times its boundary at most.
-HEAD = R.COVER_LIMIT * 3
+from proofloom.session import stored
 
 
 def views(elements: DataFrame) -> DataFrame:
@@ -110,61 +107,68 @@ def _marks(v: DataFrame) -> DataFrame:
                     goes_on.alias("goes_on"), classes.alias("cls"))
 
 
-_ROLE = "struct<role:string,confidence:double,reason:string>"
+#: Elements per block of the state fold.
+BLOCK = 256
+#: Outcomes past the four classes of an element.
+_COVER, _TOC = 4, 5
 
 
-def _step(s: Column, x: Column) -> Column:
-    """One element of the opening fold."""
-    cover = s["c"] & x["goes_on"]
-    toc = ~cover & s["t"] & x["filled"] & ~x["is_h"] & x["toc_entry"]
-    leaves = x["filled"] & ((x["is_h"] & ~x["toc_heading"]) | ~x["toc_entry"])
+def _outcome(s: Column, x: Column) -> Column:
+    """Which class an element gets in a state: 0-3, cover continuation or inside the contents."""
     place = F.when(s["r"], 2).otherwise(0) + F.when(s["p"], 1).otherwise(0)
-    role = F.when(cover, _cls("cover", 0.78, "cover_continuation")).when(toc, _cls("toc", 0.88, "in_toc_section")).otherwise(x["cls"][place])
+    return F.when(s["c"] & x["goes_on"], _COVER).when(s["t"] & x["filled"] & ~x["is_h"] & x["toc_entry"], _TOC).otherwise(place)
 
-    def update(r: Column) -> Column:
-        heading = r["role"] == "heading"
-        t = (heading & x["toc_heading"]) | (s["t"] & (cover | toc | ~leaves))
-        ref = F.when(heading, x["ref_heading"]).otherwise(s["r"])
-        is_cover = r["role"] == "cover"
-        row = F.struct(x["idx"].alias("idx"), r.alias("result"), t.alias("t"), ref.alias("r"))
-        return F.struct(is_cover.alias("p"), F.when(x["filled"], is_cover).otherwise(s["c"]).alias("c"), t.alias("t"), ref.alias("r"),
-                        F.concat(s["out"], F.array(row)).alias("out"))
 
-    return let(role, update)
+def _moved(s: Column, x: Column, k: Column) -> Column:
+    """The state after an element with outcome ``k``: the last was cover, the cover goes on, inside contents, inside bibliography."""
+    heading, is_cover = (k < 4) & F.get(x["headings"], k), (k == _COVER) | ((k < 4) & F.coalesce(F.get(x["covers"], k), F.lit(False)))
+    leaves = x["filled"] & ((x["is_h"] & ~x["toc_heading"]) | ~x["toc_entry"])
+    heading = F.coalesce(heading, F.lit(False))
+    return F.struct(is_cover.alias("p"), F.when(x["filled"], is_cover).otherwise(s["c"]).alias("c"),
+                    ((heading & x["toc_heading"]) | (s["t"] & ((k >= 4) | ~leaves))).alias("t"),
+                    F.when(heading, x["ref_heading"]).otherwise(s["r"]).alias("r"))
+
+
+def _state(t: Column, r: Column) -> Column:
+    no = F.lit(False)
+    return F.struct(no.alias("p"), no.alias("c"), t.alias("t"), r.alias("r"))
+
+
+def _exit(xs: Column, start: Column) -> Column:
+    """The state at the end of a block."""
+    return F.aggregate(xs, start, lambda s, x: let(_outcome(s, x), lambda k: _moved(s, x, k)))
+
+
+def _outcomes(xs: Column, start: Column) -> Column:
+    """The outcome of each element of a block."""
+    begin = F.struct(start.alias("s"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(xs, begin, lambda a, x: let(_outcome(a["s"], x), lambda k: F.struct(_moved(a["s"], x, k).alias("s"), F.concat(a["out"], F.array(k)).alias("out"))), lambda a: a["out"])
 
 
 def classify(elements: DataFrame) -> DataFrame:
-    """Role, confidence, reason, exclusion flags, heading level and section kind per element."""
-    v = views(elements)
-    marks = _marks(v.join(baseline(v), "doc_id"))
-    facts = ["filled", "is_h", "toc_heading", "ref_heading", "toc_entry", "goes_on", "cls"]
+    """Role, confidence, reason, exclusion flags, heading level and section kind per element.
 
-    opening = marks.filter(F.col("idx") < HEAD).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", *facts))).alias("xs"))
-    no = F.lit(False)
-    start = F.struct(no.alias("p"), no.alias("c"), no.alias("t"), no.alias("r"),
-                     F.array().cast(f"array<struct<idx:int,result:{_ROLE},t:boolean,r:boolean>>").alias("out"))
-    head = opening.select("doc_id", F.inline(F.aggregate("xs", start, _step, lambda s: s["out"])))
-
-    # Past the opening: the last opening row carries the states, later rows set or clear them.
-    # The last opening row is the last that exists: positions may be missing.
-    seed = head.groupBy("doc_id").agg(F.max_by(F.struct("t", "r"), "idx").alias("s")).select(
-        "doc_id", F.lit(HEAD - 1).cast("int").alias("idx"), F.col("s.t").alias("t0"), F.col("s.r").alias("r0"))
-    tail = marks.filter(F.col("idx") >= HEAD).select("doc_id", "idx", *[f for f in facts if f != "goes_on"])
-    rows = tail.join(seed, ["doc_id", "idx"], "full")
-    leaves = F.col("filled") & ((F.col("is_h") & ~F.col("toc_heading")) | ~F.col("toc_entry"))
-    enters = F.col("is_h") & F.col("toc_heading") & (F.col("cls")[0]["role"] == "heading")
-    toc_event = F.coalesce("t0", F.when(enters, True).when(leaves, False))
-    order, block = ["idx"], [index_block("idx")]
-    rows = last_seen(rows, ["doc_id"], order, block, include_current=False, in_toc=toc_event)
-    as_toc = F.coalesce("in_toc", no) & F.col("filled") & ~F.col("is_h") & F.col("toc_entry")
-    plain_heading = ~as_toc & (F.col("cls")[0]["role"] == "heading")
-    ref_heading = ~as_toc & (F.col("cls")[2]["role"] == "heading")
-    ref_event = F.coalesce("r0", F.when(plain_heading & F.col("ref_heading"), True).when(ref_heading & ~F.col("ref_heading"), False))
-    rows = last_seen(rows, ["doc_id"], order, block, include_current=False, in_ref=ref_event).filter(F.col("cls").isNotNull())
-    late = rows.select("doc_id", "idx", F.when(as_toc, _cls("toc", 0.88, "in_toc_section")).otherwise(
-        F.col("cls")[F.when(F.coalesce("in_ref", no), 2).otherwise(0)]).alias("result"))
-    roles = head.select("doc_id", "idx", "result").unionByName(late)
-    return _described(roles.join(v.select("doc_id", "idx", "text", "hint"), ["doc_id", "idx"]))
+    Each element moves a small automaton. Blocks of elements are functions of the state they are entered in: past the opening two
+    flags are left, so four states. These functions are folded over the blocks of a document, and then every block on its own.
+    """
+    v = stored(views(elements), "views")
+    marks = _marks(v.join(baseline(v), "doc_id"))
+    each = F.struct("idx", "text", "hint", "filled", "is_h", "toc_heading", "ref_heading", "toc_entry", "goes_on", "cls",
+                    F.transform("cls", lambda c: c["role"] == "heading").alias("headings"), F.transform("cls", lambda c: c["role"] == "cover").alias("covers"))
+    blocks = stored(marks.groupBy("doc_id", index_block("idx", BLOCK).alias("block")).agg(F.sort_array(F.collect_list(each)).alias("xs")), "blocks")
+    exits = F.array(*[_exit(F.col("xs"), _state(F.lit(t), F.lit(r))) for r in (False, True) for t in (False, True)])
+    place = lambda s: F.when(s["t"], 1).otherwise(0) + F.when(s["r"], 2).otherwise(0)
+    each_block = F.struct("block", F.transform(exits, place).alias("to"))
+    long = blocks.filter("block > 0").select("doc_id").distinct()
+    walked = blocks.join(long, "doc_id", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_list(each_block)).alias("bs"))
+    begin = F.struct(F.lit(0).alias("s"), F.array().cast("array<struct<block:bigint,entry:int>>").alias("out"))
+    entries = F.aggregate("bs", begin, lambda a, b: F.struct(
+        F.get(b["to"], a["s"]).alias("s"), F.concat(a["out"], F.array(F.struct(b["block"].alias("block"), a["s"].alias("entry")))).alias("out")), lambda a: a["out"])
+    entered = blocks.join(walked.select("doc_id", F.inline(entries)), ["doc_id", "block"], "left")
+    entry = let(F.coalesce("entry", F.lit(0)), lambda e: _state(e % 2 == 1, e >= 2))
+    rows = entered.select("doc_id", F.inline(F.arrays_zip("xs", _outcomes(F.col("xs"), entry).alias("k")))).select("doc_id", "xs.*", "k")
+    result = F.when(F.col("k") == _COVER, _cls("cover", 0.78, "cover_continuation")).when(F.col("k") == _TOC, _cls("toc", 0.88, "in_toc_section")).otherwise(F.get("cls", F.col("k")))
+    return _described(rows.select("doc_id", "idx", "text", "hint", result.alias("result")))
 
 
 def heading_level(role: Column, hint: Column, text: Column) -> Column:

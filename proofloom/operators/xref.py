@@ -14,6 +14,7 @@ from proofloom.functions.scalars import citation_ranges, cn_num_to_int, fingerpr
 from proofloom.functions.spans import clip, let, spans, strip
 from proofloom.operators.issues import element, flag, issue_rows
 from proofloom.rules import fixed as R
+from proofloom.session import stored
 
 KEY = ["doc_id", "target_type", "number"]
 
@@ -109,32 +110,42 @@ def bibliography_state(elements: DataFrame) -> DataFrame:
     return out.select(*elements.columns, F.col("__section.start").alias("section_start"))
 
 
-def targets(elements: DataFrame) -> DataFrame:
-    """Everything that can be referred to, at most one per element."""
-    e = element()
-    rows = without_excluded(elements).filter(F.length("content") > 0).select(
-        "doc_id", "element_index", "element_type", "content")
-    rows = bibliography_state(rows)
-    t, in_bib = strip(F.col("content")), F.col("section_start").isNotNull()
-    plain = rows.filter(~in_bib).select("doc_id", "element_index", F.inline(_read_target(e.text, e.type)))
+def _events(elements: DataFrame) -> DataFrame:
+    """What the target rules read in each element, stored: ``heading`` (starts a section, a bibliography or another), ``plain`` (a
+    target outside bibliographies) and ``entry`` (number and title of a bibliography entry). Elements with none of them are left out."""
+    e, t, regex = element(), strip(F.col("content")), R.TARGET_PATTERNS["reference"][0]
+    rows = without_excluded(elements).filter(F.length("content") > 0)
+
+    def entry(text: Column) -> Column:
+        written = text.rlike(regex)
+        return F.when(F.length(text) > 0, F.struct(
+            F.when(written, plain_number(F.regexp_extract(text, regex, 1))).alias("number"),
+            F.substring(F.when(written, strip(F.regexp_extract(text, regex, 2))).otherwise(text), 1, 120).alias("title")))
+
+    heading = F.when(e.type == "heading", F.struct(F.when(t.rlike(R.BIBLIOGRAPHY_HEADING), F.col("element_index")).alias("start")))
+    rows = rows.select("doc_id", "element_index", heading.alias("heading"), F.get(_read_target(e.text, e.type), F.lit(0)).alias("plain"),
+                       F.when(e.type.isin("paragraph", "reference"), let(t, entry)).alias("entry"))
+    return stored(rows.filter("heading IS NOT NULL OR plain IS NOT NULL OR entry IS NOT NULL"), "events")
 
+
+def targets(elements: DataFrame) -> DataFrame:
+    """Everything that can be referred to, at most one per element. A stored table."""
+    key, order, block = ["doc_id"], ["element_index"], [index_block()]
+    rows = last_seen(_events(elements), key, order, block, __section=F.col("heading"))
+    rows = rows.withColumn("section_start", F.col("__section.start"))
+    in_bib = F.col("section_start").isNotNull()
+    plain = rows.filter(~in_bib & F.col("plain").isNotNull()).select("doc_id", "element_index", "plain.*")
     # Inside the bibliography a written [N] wins, other entries are counted in order.
-    entries = rows.filter(in_bib & e.type.isin("paragraph", "reference") & (F.length(t) > 0)).select(
-        "doc_id", "element_index", "section_start", t.alias("text"))
-    regex = R.TARGET_PATTERNS["reference"][0]
-    written = F.col("text").rlike(regex)
-    entries = running_sum(entries, ["doc_id", "section_start"], ["element_index"], [index_block()],
-                          position=F.when(written, 0).otherwise(1))
-    number = F.when(written, plain_number(F.regexp_extract("text", regex, 1))).otherwise(F.col("position").cast("string"))
-    title = F.when(written, strip(F.regexp_extract("text", regex, 2))).otherwise(F.col("text"))
+    entries = rows.filter(in_bib & F.col("entry").isNotNull()).select("doc_id", "element_index", "section_start", "entry.*")
+    entries = running_sum(entries, ["doc_id", "section_start"], order, block, position=F.when(F.col("number").isNull(), 1).otherwise(0))
     listed = entries.select(
-        "doc_id", "element_index", F.lit("reference").alias("target_type"), F.substring(title, 1, 120).alias("title"),
-        number.alias("one"), F.lit(None).cast("string").alias("two"))
-    return _named_targets(plain.unionByName(listed))
+        "doc_id", "element_index", F.lit("reference").alias("target_type"), "title",
+        F.coalesce("number", F.col("position").cast("string")).alias("one"), F.lit(None).cast("string").alias("two"))
+    return stored(_named_targets(plain.unionByName(listed)), "targets")
 
 
 def points(elements: DataFrame, exclude_self: bool = False) -> DataFrame:
-    """Every reference token with ``scan_index``, its place in reading order."""
+    """Every reference token with ``scan_index``, its place in reading order. A stored table."""
     def hits(no: int, kind: str, regex: str) -> Column:
         def one(s: Column) -> Column:
             part = lambda i: F.regexp_extract(s["hit"], regex, i)
@@ -167,7 +178,8 @@ def points(elements: DataFrame, exclude_self: bool = False) -> DataFrame:
     if exclude_self:
         own = targets(elements).select(*KEY, "element_index")
         rows = rows.join(own, [*KEY, "element_index"], "left_anti")
-    return numbered(rows, ["doc_id"], ["element_index", "start_pos", "pattern_no", "sub_pos"], [index_block()], "scan_index")
+    found = numbered(stored(rows, "tokens"), ["doc_id"], ["element_index", "start_pos", "pattern_no", "sub_pos"], [index_block()], "scan_index")
+    return stored(found, "points")
 
 
 def first_targets(targets_: DataFrame) -> DataFrame:
@@ -208,7 +220,8 @@ def duplicates(targets_: DataFrame) -> DataFrame:
 
 
 def matches(targets_: DataFrame, points_: DataFrame) -> DataFrame:
-    return (matched(targets_, points_).unionByName(unreferenced(targets_, points_)).unionByName(duplicates(targets_)))
+    """Points with their targets, targets without a point, and repeated targets. A stored table."""
+    return stored(matched(targets_, points_).unionByName(unreferenced(targets_, points_)).unionByName(duplicates(targets_)), "matches")
 
 
 def in_scan_order(matches_: DataFrame) -> DataFrame:
