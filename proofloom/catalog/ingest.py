@@ -75,7 +75,42 @@ def _md_docs(spark, d):
         f"array_join(transform(transform(split(text, '\\n', -1), x -> replace(trim(x), '|', '/')), (t, i) -> {_MD}), '\\n')").alias("text"))
 
 
-query("A5_segment_markdown")(lambda spark, d: G.segment_markdown(_md_docs(spark, d)))
+def _clean_sql(x):
+    for pattern in (r"\*\*\*(.+?)\*\*\*", r"\*\*(.+?)\*\*", r"\*(.+?)\*", r"__(.+?)__", r"_(.+?)_", r"`(.+?)`", r"\[([^\]]+)\]\([^)]+\)", r"!\[([^\]]*)\]\([^)]+\)"):
+        x = f"regexp_replace({x}, '{pattern}', '\\1', 'g')"
+    return _trim_sql(x)
+
+
+def _trim_sql(x):
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+#: The automaton of the lines as one letter per line, upper case where a block begins; then blocks, elements and items.
+A5_SQL = f"""WITH {LATIN_SQL}, m AS (SELECT doc_id, element_index AS i, {_MD.replace("CASE i % 13", "CASE element_index % 13").replace("|| i ||", "|| element_index ||")} AS line FROM (SELECT *, replace(trim(content), '|', '/') AS t FROM la)),
+    b AS (SELECT *, {_trim_sql("line")} AS bare, coalesce(regexp_matches({_trim_sql("lead(line) OVER (PARTITION BY doc_id ORDER BY i)")}, '^\\|[\\s\\-:|]+\\|$'), false) AS rule,
+      regexp_matches(line, '^\\s*([0-9]+\\.\\s|[-*+]\\s)') AS item, regexp_matches(line, '^\\s*[0-9]+\\.\\s') AS ordered FROM m),
+    f AS (SELECT *, CASE WHEN starts_with(line, '#') THEN 'h' WHEN starts_with(bare, '```') THEN 'c' WHEN contains(line, '|') AND rule THEN 't' WHEN item THEN 'l'
+        WHEN regexp_matches(bare, '^!\\[[^\\]]*\\]\\([^)]+\\)') THEN 'i' WHEN starts_with(line, '>') THEN 'q' WHEN regexp_matches(bare, '^(-{{3,}}|\\*{{3,}}|_{{3,}})\\s*$') THEN 'r' ELSE 'p' END
+      || CAST(starts_with(bare, '```') AS INT) || CAST(contains(line, '|') AS INT) || CAST(bare = '' AS INT) || CAST(item AS INT)
+      || CAST(NOT (starts_with(line, '#') OR ordered OR (regexp_matches(bare, '^(```|\\||>|- |\\* |\\+ )') AND NOT regexp_matches(line, '^\\s*[-*+]\\s'))) AS INT) AS x FROM b),
+    w AS (SELECT doc_id, list_reduce(list_concat(['-'], list(x ORDER BY i)), lambda acc, x: acc || CASE
+        WHEN lower(right(acc, 1)) = 'c' THEN CASE WHEN x[2] = '1' THEN 'f' ELSE 'c' END WHEN lower(right(acc, 1)) = 't' AND x[3] = '1' THEN 't' WHEN x[4] = '1' THEN 'B'
+        WHEN lower(right(acc, 1)) = 'l' AND x[5] = '1' THEN 'l' WHEN lower(right(acc, 1)) = 'p' AND x[6] = '1' THEN 'p' ELSE upper(x[1]) END) AS s FROM f GROUP BY 1),
+    l AS (SELECT doc_id, i, line, bare, item, ordered, substr(s, i + 2, 1) AS k FROM b JOIN w USING (doc_id)),
+    n AS (SELECT *, CAST(sum(CASE WHEN k = upper(k) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS INT) AS block FROM l),
+    g AS (SELECT doc_id, block, lower(first(k ORDER BY i)) AS k, first(line ORDER BY i) AS head, first(bare ORDER BY i) AS bare, min(i) AS i0, string_agg(bare, chr(10) ORDER BY i) AS paragraph,
+      coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (k = 'c'), '') AS code FROM n GROUP BY ALL),
+    e AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS INT) AS ix FROM g WHERE k IN ('h', 'l', 'q', 'p') OR (k = 'c' AND {_trim_sql("code")} <> ''))
+    SELECT doc_id, ix AS element_index, CAST(NULL AS INT) AS parent_index, CAST(NULL AS INT) AS child_index,
+      CASE k WHEN 'h' THEN 'heading' WHEN 'c' THEN 'code_block' WHEN 'l' THEN 'list' ELSE 'paragraph' END AS element_type,
+      CAST(CASE WHEN k = 'h' THEN length(regexp_extract(head, '^(#{{1,6}})\\s+.+$', 1)) ELSE 0 END AS INT) AS level,
+      CASE k WHEN 'h' THEN CASE WHEN regexp_matches(head, '^#{{1,6}}\\s+.+$') THEN {_clean_sql("regexp_replace(head, '^#{1,6}\\s+', '')")} ELSE bare END
+        WHEN 'c' THEN code WHEN 'l' THEN '' WHEN 'q' THEN {_trim_sql("regexp_replace(head, '^>\\s*', '')")} ELSE {_clean_sql("paragraph")} END AS content,
+      CASE WHEN k = 'l' THEN CASE WHEN regexp_matches(head, '^\\s*[0-9]+\\.\\s') THEN 'decimal' ELSE 'bullet' END END AS numbering_type,
+      CASE WHEN k = 'c' THEN {_trim_sql("substr(bare, 4)")} END AS language, k = 'q' AS blockquote FROM e
+    UNION ALL SELECT n.doc_id, NULL, ix, CAST(i - i0 AS INT), 'list_item', 0, {_clean_sql("regexp_replace(line, '^\\s*([0-9]+\\.\\s|[-*+]\\s)', '')")}, NULL, NULL, false
+    FROM n JOIN e USING (doc_id, block) WHERE e.k = 'l'"""
+query("A5_segment_markdown", A5_SQL)(lambda spark, d: G.markdown_elements(_md_docs(spark, d)))
 query("A6_segment_md_table", f"""WITH {LATIN_SQL}, k AS (SELECT doc_id, element_index AS i, trim(content) AS t,
       max(element_index) OVER (PARTITION BY doc_id) AS last FROM la),
     h AS (SELECT doc_id, i FROM k WHERE i % 13 = 8 AND last > i)

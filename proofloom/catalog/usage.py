@@ -171,7 +171,7 @@ _REDEEM = f"""WITH {usage_sql('codes', 'attempts')}, a AS (SELECT attempts.*, pl
 
 
 def _redeem(spark, d):
-    return T.redeem(attempts(spark, d), codes(spark, d), _RO, F.date_trunc("month", F.col("ts")))
+    return T.redeem(attempts(spark, d), codes(spark, d), _RO)
 
 
 query("E23_redeem_codes", f"{_REDEEM} SELECT attempt_id, sk, code, outcome, CASE WHEN outcome = 'OK' THEN ts + duration_days * INTERVAL 1 DAY END AS period_end FROM o")(
@@ -182,11 +182,10 @@ query("E23_redeemed_profiles", f"""{_REDEEM} SELECT user_id, plan_tier, ts AS pe
 
 _REQ = ("o_orderkey AS id, o_orderdate AS ts, CAST(o_orderkey % 27 AS BIGINT) AS team_id, CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 5 ELSE CAST(o_orderkey % 27 AS BIGINT) * 3 END AS actor_id, "
         "' USER' || (o_custkey + CASE WHEN o_orderkey % 11 = 0 THEN 100000000 ELSE 0 END) || '@example.com ' AS email, CASE WHEN o_orderkey % 2 = 0 THEN 'Owner' END AS role")
-_MEM = f"mem AS (SELECT * FROM members WHERE user_id % 2 = 0)"
-query("E24_member_invites", f"""WITH {usage_sql('teams', 'members', 'profiles')}, {_MEM}, r AS (SELECT {_REQ} FROM orders),
-    h AS (SELECT team_id, count(*) AS held FROM mem GROUP BY 1),
+query("E24_member_invites", f"""WITH {usage_sql('teams', 'members', 'profiles')}, r AS (SELECT {_REQ} FROM orders),
+    h AS (SELECT team_id, count(*) AS held FROM members GROUP BY 1),
     x AS (SELECT r.*, t.owner_user_id, t.seat_limit, u.id AS target_id, m.user_id IS NOT NULL AS is_member, coalesce(held, 0) AS held FROM r LEFT JOIN teams t ON t.id = r.team_id
-      LEFT JOIN profiles u ON lower(u.email) = lower(trim(r.email)) LEFT JOIN mem m ON m.team_id = r.team_id AND m.user_id = u.id LEFT JOIN h ON h.team_id = r.team_id),
+      LEFT JOIN profiles u ON lower(u.email) = lower(trim(r.email)) LEFT JOIN members m ON m.team_id = r.team_id AND m.user_id = u.id LEFT JOIN h ON h.team_id = r.team_id),
     y AS (SELECT *, CASE WHEN actor_id IS NULL THEN 'NOT_AUTHENTICATED' WHEN owner_user_id IS NULL THEN 'TEAM_NOT_FOUND' WHEN owner_user_id <> actor_id THEN 'TEAM_OWNER_REQUIRED'
       WHEN target_id IS NULL THEN 'USER_NOT_FOUND' WHEN is_member THEN 'TEAM_MEMBER_EXISTS' END AS early FROM x),
     z AS (SELECT *, row_number() OVER (PARTITION BY team_id, target_id ORDER BY ts, id) AS nth FROM y WHERE early IS NULL),
@@ -195,7 +194,7 @@ query("E24_member_invites", f"""WITH {usage_sql('teams', 'members', 'profiles')}
     SELECT id, CASE WHEN nth = 1 AND k <= seat_limit - held THEN 'OK' WHEN g.team_id IS NOT NULL THEN 'TEAM_MEMBER_EXISTS' ELSE 'TEAM_SEAT_LIMIT_REACHED' END AS outcome FROM q LEFT JOIN g USING (team_id, target_id)
     UNION ALL SELECT id, early FROM y WHERE early IS NOT NULL""")(
     lambda spark, d: T.invite(table(spark, d, "orders").selectExpr(*[c.strip() for c in _split(_REQ)]), teams(spark, d), profiles(spark, d),
-                              members(spark, d).filter("user_id % 2 = 0"), ["ts", "id"], F.date_trunc("month", F.col("ts"))).select("id", "outcome"))
+                              members(spark, d), ["ts", "id"]).select("id", "outcome"))
 
 
 query("E25_accept_invites", f"""WITH {usage_sql('members')} SELECT team_id, user_id, CASE WHEN status = 'pending' AND user_id % 2 = 0 THEN 'active' ELSE status END AS status,

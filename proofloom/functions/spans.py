@@ -25,6 +25,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def scan(items: Column, state: Column, out_type: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """Fold an array in order and return what each item gives: ``step(state, item)`` is (next state, output).
+
+    Items are taken in runs of 64 and the outputs of a run are appended at once, so long arrays are not copied item by item.
+    """
+    def one(acc: Column, item: Column) -> Column:
+        after, given = step(acc["s"], item)
+        return F.struct(after.alias("s"), F.concat(acc["out"], F.array(given)).alias("out"))
+
+    def run(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["s"].alias("s"), F.array().cast(f"array<{out_type}>").alias("out")), one)
+        return let(inner, lambda r: F.struct(r["s"].alias("s"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def parts(xs: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _STEP).cast("int")), lambda k: F.slice(xs, k * _STEP + 1, F.lit(_STEP)))
+        begin = F.struct(state.alias("s"), F.array().cast(f"array<array<{out_type}>>").alias("out"))
+        return F.when(F.size(xs) > 0, F.flatten(F.aggregate(runs, begin, run, lambda a: a["out"]))).otherwise(F.array().cast(f"array<{out_type}>"))
+
+    return let(items, parts)
+
+
 def _prefix_sum(lens: Column, i: Column) -> Column:
     """Sum of ``lens[0..i-1]``; whole steps first so long arrays stay cheap."""
     zero = F.lit(0)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofloom.functions.ordered import first_per, latest_per, running_sum, top_per
+from proofloom.functions.ordered import first_per, latest_per, range_blocks, running_sum, top_per
+from proofloom.session import stored
 
 
 def admin_role(claims: Column) -> Column:
@@ -44,17 +45,18 @@ def seat_occupancy(teams: DataFrame, members: DataFrame) -> DataFrame:
         (F.coalesce("members", F.lit(0)) >= F.coalesce("seat_limit", F.lit(0))).alias("full"))
 
 
-def redeem(attempts: DataFrame, codes: DataFrame, order: list[str], block: Column) -> tuple[DataFrame, DataFrame]:
+def redeem(attempts: DataFrame, codes: DataFrame, order: list[str], ranges: int = 0) -> tuple[DataFrame, DataFrame]:
     """Outcome of each redemption attempt in order, and the plan each user ends up with.
 
     ``k``-th valid attempt on a code succeeds while ``k`` fits the redemptions
-    left.  Attempts are counted by blocks, so one popular code is no hot task.
+    left.  Attempts are counted in ranges of about equal size (``ranges`` of them,
+    0: as a shuffle has), so one popular code of one day is many tasks.
     """
-    a = attempts.join(codes, "code", "left")
+    a = range_blocks(attempts.join(codes, "code", "left"), ["code"], order, parts=ranges)
     known, ts = F.col("max_redemptions").isNotNull(), F.col("ts")
     expired = F.coalesce(F.col("expires_at") < ts, F.lit(False))
     a = a.withColumn("__valid", known & ~expired)
-    a = running_sum(a, ["code"], order, [block], __k=F.col("__valid").cast("int"))
+    a = stored(running_sum(a, ["code"], order, [F.col("__block")], __k=F.col("__valid").cast("int")), "attempts")
     ok = F.col("__valid") & (F.col("__k") <= F.col("max_redemptions") - F.coalesce("redeemed_count", F.lit(0)))
     outcome = F.when(~known, "CODE_NOT_FOUND").when(expired, "CODE_EXPIRED").when(ok, "OK").otherwise("CODE_EXHAUSTED")
     end = F.col("ts") + F.make_interval(days=F.col("duration_days"))
@@ -64,14 +66,15 @@ def redeem(attempts: DataFrame, codes: DataFrame, order: list[str], block: Colum
         F.struct("plan_tier", "period_start", "period_end"),
         F.struct("period_start", *[c for c in order if c != "ts"])).alias("p")).select(
         "user_id", "p.*", F.lit("active").alias("plan_status"), F.lit("activation_code").alias("plan_source"))
-    return a.drop("__valid", "__k"), last
+    return a.drop("__valid", "__k", "__block"), last
 
 
-def invite(requests: DataFrame, teams: DataFrame, users: DataFrame, members: DataFrame, order: list[str], block: Column) -> DataFrame:
+def invite(requests: DataFrame, teams: DataFrame, users: DataFrame, members: DataFrame, order: list[str], ranges: int = 0) -> DataFrame:
     """Ordered checks of invite requests (team_id, actor_id, email, role).
 
     A seat is taken by each earlier accepted request, so requests that pass the
-    other checks are counted per team; of two for the same user the first counts.
+    other checks are counted per team, in ranges of about equal size as in
+    :func:`redeem`; of two for the same user the first counts.
     """
     email = F.lower(F.trim(F.col("email")))
     by_mail = first_per(users.select(F.lower("email").alias("__mail"), F.col("id").alias("target_id")), ["__mail"], ["target_id"])
@@ -84,12 +87,12 @@ def invite(requests: DataFrame, teams: DataFrame, users: DataFrame, members: Dat
         F.when(F.col("actor_id").isNull(), "NOT_AUTHENTICATED").when(F.col("owner_user_id").isNull(), "TEAM_NOT_FOUND")
         .when(F.col("owner_user_id") != F.col("actor_id"), "TEAM_OWNER_REQUIRED").when(F.col("target_id").isNull(), "USER_NOT_FOUND")
         .when(F.col("__member"), "TEAM_MEMBER_EXISTS"))
-    r = r.withColumn("__early", early)
+    r = range_blocks(r.withColumn("__early", early), ["team_id"], order, parts=ranges)
     passed = r.filter(F.col("__early").isNull())
     first = passed.groupBy("team_id", "target_id").agg(F.min(F.struct(*order)).alias("__first"))
     passed = passed.join(first, ["team_id", "target_id"])
     is_first = F.struct(*order) == F.col("__first")
-    passed = running_sum(passed, ["team_id"], order, [block], __k=is_first.cast("int"))
+    passed = stored(running_sum(passed, ["team_id"], order, [F.col("__block")], __k=is_first.cast("int")), "invites")
     seats = F.coalesce("seat_limit", F.lit(0)) - F.coalesce("__held", F.lit(0))
     # A repeat finds a member only when its first request got a seat; seats never come back.
     got = passed.filter(is_first & (F.col("__k") <= seats)).select("team_id", "target_id", F.lit(True).alias("__got"))

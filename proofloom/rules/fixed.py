@@ -645,3 +645,14 @@ FIGURE_NUMBER_TEXT = r"图序号[：:\s]*([^。，\n]+)"
 TABLE_NUMBER_TEXT = r"表序号[：:\s]*([^。，\n]+)"
 MONEY_UNIT_TEXT = r"金额单位[：:\s]*([^。，\n]+)"
 FORBIDDEN_TEXT = r"禁止使用[^。]*[：:]([^。]+)"
+
+# --- fixed values: Markdown line marks ---
+MD_LIST = r"(?U)^\s*(\d+\.\s|[-*+]\s)"
+MD_BULLET = r"(?U)^\s*[-*+]\s"
+MD_ORDERED = r"(?U)^\s*\d+\.\s"
+MD_TABLE_RULE = r"(?U)^\|[\s\-:|]+\|$"
+MD_IMAGE = r"^!\[[^\]]*\]\([^)]+\)"
+MD_IMAGE_PARTS = r"!\[([^\]]*)\]\(([^)]+)\)"
+MD_RULER = r"(?U)^(-{3,}|\*{3,}|_{3,})\s*$"
+MD_HEADING = r"(?U)^(#{1,6})\s+.+$"
+MD_MARK = r"^(```|\||>|- |\* |\+ )"

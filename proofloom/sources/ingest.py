@@ -6,15 +6,12 @@ row and explodes once: no shuffle, and a large collection only means more rows.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from proofloom.functions.ordered import running_sum
-from proofloom.functions.spans import let, strip
+from proofloom.functions.spans import let, scan, strip
+from proofloom.rules import fixed as R
 from proofloom.rules.fixed import MAX_FILE_MB, SUPPORTED_FORMATS
 from proofloom.schemas import JSON_ELEMENTS
 
@@ -107,96 +104,114 @@ def clean_markdown(text: Column) -> Column:
     return strip(text)
 
 
-_LIST = re.compile(r"^\s*(\d+\.\s|[-*+]\s)")
-_TABLE_RULE = re.compile(r"^\|[\s\-:|]+\|$")
-_IMAGE = re.compile(r"!\[[^\]]*\]\([^)]+\)")
-_RULER = re.compile(r"^(-{3,}|\*{3,}|_{3,})\s*$")
-
-
-def _block_kind(line: str, nxt: str | None, kind: str) -> tuple[str, bool]:
-    """(kind, starts a new block) of a line, given the kind of the open block."""
-    bare = line.strip()
-    if kind == "code":
-        return ("fence" if bare.startswith("```") else "code"), False
-    if kind == "table" and "|" in line:
-        return "table", False
-    if not bare:
-        return "blank", True
-    if kind == "list" and _LIST.match(line):
-        return "list", False
-    goes_on = not line.startswith("#") and not re.match(r"^\s*\d+\.\s", line) and not (
-        bare.startswith(("```", "|", ">", "- ", "* ", "+ ")) and not re.match(r"^\s*[-*+]\s", line))
-    if kind == "paragraph" and goes_on:
-        return "paragraph", False
-    if line.startswith("#"):
-        return "heading", True
-    if bare.startswith("```"):
-        return "code", True
-    if "|" in line and nxt is not None and _TABLE_RULE.match(nxt.strip()):
-        return "table", True
-    if _LIST.match(line):
-        return "list", True
-    if _IMAGE.match(bare):
-        return "image", True
-    if line.startswith(">"):
-        return "quote", True
-    return ("ruler", True) if _RULER.match(bare) else ("paragraph", True)
-
-
-_BLOCKS = T.ArrayType(T.StructType([T.StructField("block", T.IntegerType()), T.StructField("kind", T.StringType())]))
-
-
-@F.pandas_udf(_BLOCKS)
-def _line_blocks(lines: pd.Series) -> pd.Series:
-    """Block number and kind for each line of a document; one pass, small state."""
-    out = []
-    for doc in lines:
-        marks, block, kind = [], 0, ""
-        for i, line in enumerate(doc if doc is not None else []):
-            new, fresh = _block_kind(line, doc[i + 1] if i + 1 < len(doc) else None, kind)
-            block += fresh
-            marks.append({"block": block, "kind": new})
-            # A closing fence ends the code block; headings, images and rules stand alone.
-            kind = new if new in ("code", "table", "list", "paragraph") else ""
-        out.append(marks)
-    return pd.Series(out)
+def _line_facts(lines: Column) -> Column:
+    """What each line is on its own: the block it would open, and whether it goes on with an open one."""
+    def facts(line: Column, i: Column) -> Column:
+        def of(bare: Column) -> Column:
+            item, ordered = line.rlike(R.MD_LIST), line.rlike(R.MD_ORDERED)
+            pipe, fence = F.contains(line, F.lit("|")), F.startswith(bare, F.lit("```"))
+            rule_next = F.coalesce(strip(F.get(lines, i + 1)).rlike(R.MD_TABLE_RULE), F.lit(False))
+            own = (F.when(F.startswith(line, F.lit("#")), "heading").when(fence, "code").when(pipe & rule_next, "table").when(item, "list")
+                   .when(bare.rlike(R.MD_IMAGE), "image").when(F.startswith(line, F.lit(">")), "quote").when(bare.rlike(R.MD_RULER), "ruler").otherwise("paragraph"))
+            stops = F.startswith(line, F.lit("#")) | ordered | (bare.rlike(R.MD_MARK) & ~line.rlike(R.MD_BULLET))
+            return F.struct(own.alias("own"), (F.length(bare) == 0).alias("blank"), fence.alias("fence"), pipe.alias("pipe"), item.alias("item"), (~stops).alias("goes_on"))
+
+        return let(strip(line), of)
+
+    return F.transform(lines, facts)
+
+
+def _line_kinds(lines: Column) -> Column:
+    """``array<struct<kind, fresh>>``: the kind of block each line is in, and whether it opens it; an automaton over the lines."""
+    def step(open_: Column, x: Column) -> tuple[Column, Column]:
+        kind = (F.when((open_ == "code") & x["fence"], "fence").when(open_ == "code", "code").when((open_ == "table") & x["pipe"], "table")
+                .when(x["blank"], "blank").when((open_ == "list") & x["item"], "list").when((open_ == "paragraph") & x["goes_on"], "paragraph").otherwise(x["own"]))
+        joins = (open_ == "code") | ((open_ == "table") & x["pipe"]) | (~x["blank"] & (((open_ == "list") & x["item"]) | ((open_ == "paragraph") & x["goes_on"])))
+        # a closing fence ends the code block; headings, images and rules stand alone
+        return F.when(kind.isin("code", "table", "list", "paragraph"), kind).otherwise(""), F.struct(kind.alias("kind"), (~joins).alias("fresh"))
+
+    return scan(_line_facts(lines), F.lit(""), "struct<kind:string,fresh:boolean>", step)
+
+
+def _markdown_blocks(docs: DataFrame, column: str) -> DataFrame:
+    """(doc_id, blocks): ``block``, ``kind``, ``line_no``, ``lines`` and ``closed`` of each block, blank lines included; cut inside the row."""
+    def cut(lines: Column, kinds: Column, at: Column) -> Column:
+        return F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda a, k: let(F.get(at, k + 1), lambda end: F.struct(
+            (k + 1).alias("block"), F.get(kinds, a)["kind"].alias("kind"), a.alias("line_no"), F.slice(lines, a + 1, end - a).alias("lines"),
+            (F.get(kinds, end - 1)["kind"] == "fence").alias("closed"))))
+
+    def begun(lines: Column, kinds: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(kinds) - 1), lambda i: F.get(kinds, i)["fresh"])
+        return let(F.concat(starts, F.array(F.size(kinds))), lambda at: cut(lines, kinds, at))
+
+    # bound step by step: a column used inside a lambda would be computed again for every line
+    blocks = let(F.split(F.coalesce(F.col(column), F.lit("")), "\n", -1), lambda lines: let(_line_kinds(lines), lambda kinds: begun(lines, kinds)))
+    return docs.select("doc_id", blocks.alias("blocks"))
 
 
 def markdown_lines(docs: DataFrame, column: str = "text") -> DataFrame:
     """Every line with the block it belongs to."""
-    lines = docs.select("doc_id", F.split(F.col(column), "\n", -1).alias("lines"))
-    marked = lines.select("doc_id", F.arrays_zip("lines", _line_blocks("lines").alias("marks")).alias("z"))
-    return marked.select("doc_id", F.posexplode("z").alias("line_no", "l")).select(
-        "doc_id", "line_no", F.col("l.lines").alias("line"), F.col("l.marks.block").alias("block"), F.col("l.marks.kind").alias("kind"))
+    blocks = _markdown_blocks(docs, column).select("doc_id", F.inline("blocks"))
+    rows = blocks.select("doc_id", "block", "kind", "closed", "line_no", F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
+    kind = F.when(F.col("closed") & (F.col("i") == F.col("n") - 1), "fence").otherwise(F.col("kind"))
+    return rows.select("doc_id", (F.col("line_no") + F.col("i")).alias("line_no"), "line", "block", kind.alias("kind"))
+
+
+def _content(kind: Column, lines: Column, closed: Column) -> Column:
+    """Text of a block that is not a list."""
+    code = F.array_join(F.slice(lines, F.lit(2), F.size(lines) - F.when(closed, 2).otherwise(1)), "\n")
+    first = F.get(lines, F.lit(0))
+    return (F.when(kind == "heading", F.when(first.rlike(R.MD_HEADING), clean_markdown(F.regexp_replace(first, r"(?U)^#{1,6}\s+", ""))).otherwise(strip(first)))
+            .when(kind == "quote", strip(F.regexp_replace(first, r"(?U)^>\s*", ""))).when(kind == "image", F.regexp_extract(first, R.MD_IMAGE_PARTS, 1))
+            .when(kind == "code", code).when(kind == "paragraph", clean_markdown(F.array_join(F.transform(lines, strip), "\n"))))
+
+
+def _filled(b: Column) -> Column:
+    """A code block with nothing but white space is no element."""
+    return (b["kind"] != "code") | (F.length(strip(_content(b["kind"], b["lines"], b["closed"]))) > 0)
+
+
+def _item(line: Column) -> Column:
+    return clean_markdown(F.regexp_replace(line, R.MD_LIST, ""))
+
+
+def markdown_elements(docs: DataFrame, column: str = "text") -> DataFrame:
+    """The element tree of Markdown documents: one row per element and per list item, made inside the row of the document.
+
+    ``element_index`` counts the elements of a document. List items have null there, ``parent_index`` of their list and
+    ``child_index``. ``numbering_type`` is that of a list's first item, ``language`` that of a code block, ``blockquote`` marks
+    quotes. Tables and images are kept apart: :func:`markdown_cells`, :func:`segment_markdown`.
+    """
+    blocks = F.filter("blocks", lambda b: b["kind"].isin("heading", "code", "list", "quote", "paragraph") & _filled(b))
+    rows = _markdown_blocks(docs, column).select("doc_id", F.posexplode(blocks).alias("at", "b"))
+    kind, lines, first, none = F.col("b.kind"), F.col("b.lines"), F.get("b.lines", F.lit(0)), F.lit(None)
+    is_list = kind == "list"
+
+    def row(index, parent, child, type_, level, content, numbering, language, quote) -> Column:
+        return F.struct(index.cast("int").alias("element_index"), parent.cast("int").alias("parent_index"), child.cast("int").alias("child_index"), type_.alias("element_type"),
+                        level.alias("level"), content.alias("content"), numbering.cast("string").alias("numbering_type"), language.cast("string").alias("language"), quote.alias("blockquote"))
+
+    name = F.when(kind == "code", "code_block").when(kind == "quote", "paragraph").otherwise(kind)
+    top = row(F.col("at"), none, none, name, F.when(kind == "heading", F.length(F.regexp_extract(first, R.MD_HEADING, 1))).otherwise(0),
+              F.when(is_list, "").otherwise(_content(kind, lines, F.col("b.closed"))), F.when(is_list, F.when(first.rlike(R.MD_ORDERED), "decimal").otherwise("bullet")),
+              F.when(kind == "code", strip(F.substring(strip(first), 4, 1 << 30))), kind == "quote")
+    items = F.transform(lines, lambda line, k: row(none, F.col("at"), k, F.lit("list_item"), F.lit(0), _item(line), none, none, F.lit(False)))
+    return rows.select("doc_id", F.inline(F.when(is_list, F.concat(F.array(top), items)).otherwise(F.array(top))))
 
 
 def segment_markdown(docs: DataFrame, column: str = "text") -> DataFrame:
-    """Blocks of a Markdown document, list items as children of their list."""
-    rows = markdown_lines(docs, column).filter(~F.col("kind").isin("blank", "fence", "ruler", "table"))
-    content = F.when(F.col("kind").isin("paragraph", "quote"), strip(F.col("line"))).otherwise(F.col("line"))
-    # The opening fence line of a code block only carries the language.
-    opens = (F.col("kind") == "code") & (F.col("line_no") == F.col("first_line"))
-    first = rows.groupBy("doc_id", "block").agg(F.min("line_no").alias("first_line"))
-    rows = rows.withColumn("content", content).join(first, ["doc_id", "block"])
-    items = rows.filter("kind = 'list'").select(
-        "doc_id", "block", F.col("line_no").alias("part"), F.lit("list_item").alias("element_type"), F.lit(0).alias("level"),
-        clean_markdown(F.regexp_replace("line", r"(?U)^\s*(\d+\.\s|[-*+]\s)", "")).alias("content"),
-        F.when(F.col("line").rlike(r"(?U)^\s*\d+\.\s"), "decimal").otherwise("bullet").alias("numbering_type"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~opens, F.struct("line_no", "content")))), lambda x: x["content"]), "\n")
-    blocks = rows.filter("kind <> 'list'").groupBy("doc_id", "block", "kind").agg(text.alias("text"))
-    hashes = F.regexp_extract("text", r"(?U)^(#{1,6})\s+.+$", 1)
-    kind = F.col("kind")
-    blocks = blocks.filter((kind != "code") | (F.length(strip(F.col("text"))) > 0)).select(
-        "doc_id", "block", F.lit(-1).alias("part"),
-        F.when(kind == "heading", "heading").when(kind == "code", "code_block").when(kind == "image", "image").otherwise("paragraph").alias("element_type"),
-        F.when((kind == "heading") & (F.length(hashes) > 0), F.length(hashes)).otherwise(0).alias("level"),
-        F.when((kind == "heading") & (F.length(hashes) > 0), clean_markdown(F.regexp_replace("text", r"(?U)^#{1,6}\s+", "")))
-        .when(kind == "heading", strip(F.col("text")))
-        .when(kind == "quote", strip(F.regexp_replace("text", r"(?U)^>\s*", "")))
-        .when(kind == "image", F.regexp_extract("text", r"!\[([^\]]*)\]\(([^)]+)\)", 1))
-        .when(kind == "code", F.col("text")).otherwise(clean_markdown(F.col("text"))).alias("content"),
-        F.lit(None).cast("string").alias("numbering_type"))
-    return blocks.unionByName(items)
+    """Blocks and images of Markdown documents in order, list items in the place of their list."""
+    blocks = F.filter("blocks", lambda b: ~b["kind"].isin("blank", "ruler", "table") & _filled(b))
+    rows = _markdown_blocks(docs, column).select("doc_id", F.inline(blocks))
+    kind, lines, first = F.col("kind"), F.col("lines"), F.get("lines", F.lit(0))
+    name = F.when(kind == "code", "code_block").when(kind.isin("heading", "image"), kind).otherwise("paragraph")
+
+    def row(part, type_, level, content, numbering) -> Column:
+        return F.struct(part.alias("part"), type_.alias("element_type"), level.alias("level"), content.alias("content"), numbering.cast("string").alias("numbering_type"))
+
+    block = row(F.lit(-1), name, F.when(kind == "heading", F.length(F.regexp_extract(first, R.MD_HEADING, 1))).otherwise(0), _content(kind, lines, F.col("closed")), F.lit(None))
+    items = F.transform(lines, lambda line, k: row(F.col("line_no") + k, F.lit("list_item"), F.lit(0), _item(line), F.when(line.rlike(R.MD_ORDERED), "decimal").otherwise("bullet")))
+    return rows.select("doc_id", "block", F.inline(F.when(kind == "list", items).otherwise(F.array(block))))
 
 
 def markdown_cells(docs: DataFrame, column: str = "text") -> DataFrame:
