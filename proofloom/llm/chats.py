@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from proofloom.llm.common import column
 
 TURNS = "array<struct<role:string,text:string>>"
+#: Column of the texts that a record refers to.
+TEXTS = "record_texts"
 #: The template: marks of a turn, in ChatML's form.
 BEGIN, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
 #: Strings that steer some chat model; inside texts and roles each is written as a backslash and its letter, a backslash as \e.
@@ -84,6 +86,9 @@ def canonical(records: DataFrame, record_col: str = "record", mappings: tuple[Ma
 
     Records that are null, no JSON, or of a layout without a mapping have null turns. An empty list of messages has no fields
     below it and so no mapping; give it turns of its own. Existing columns layout and turns are replaced.
+
+    Texts may stand beside the record, since JSON parsers bound the length of a string: where ``records`` has a column
+    ``record_texts``, an array of texts, the text ``#k`` of a turn is a reference to its k-th entry (from 0).
     """
     parsed = records.withColumn("__record", F.try_parse_json(column(records, record_col)))
     printed = parsed.withColumn("__print", fingerprint(shape(F.col("__record"))))
@@ -91,6 +96,9 @@ def canonical(records: DataFrame, record_col: str = "record", mappings: tuple[Ma
     for m in mappings:
         known = F.col("__print") == fingerprint(F.lit(m.shape))
         layout, turns = F.when(known, m.name).otherwise(layout), F.when(known, m.turns(F.col("__record"))).otherwise(turns)
+    if dict(records.dtypes).get(TEXTS) == "array<string>":
+        told = lambda t: F.coalesce(F.get(TEXTS, F.substring(t["text"], 2, 10).try_cast("int")), F.lit(""))
+        turns = F.transform(turns, lambda t: F.struct(t["role"].alias("role"), told(t).alias("text")))
     return printed.withColumns({"layout": layout, "turns": turns}).drop("__record", "__print")
 
 
@@ -141,7 +149,7 @@ def loss_text(segments: Column) -> Column:
 
 
 def records_of(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Turn rows as one JSON record per conversation: ``conv_id``, ``record``.
+    """Turn rows as one JSON record per conversation: ``conv_id``, ``record`` and ``record_texts``, to which its texts refer.
 
     Turns are ordered by turn, then role, then text (null first); null roles and texts are empty; repeated rows stay. The pair
     of user and assistant, with or without a system turn before it, is written as a prompt record, other chats as messages.
@@ -149,8 +157,9 @@ def records_of(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     said = F.struct(column(rows, turn_col).cast("long").alias("turn"), F.coalesce(column(rows, role_col), F.lit("")).alias("role"), F.coalesce(column(rows, text_col), F.lit("")).alias("text"))
     chats = rows.groupBy(column(rows, conv_col).cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(said)).alias("t"))
     order = F.array_join(F.transform("t", lambda x: x["role"]), "\n")
-    text = lambda k: F.col("t")[k]["text"]
+    text = lambda k: F.lit(f"#{k}")
+    told = F.transform("t", lambda x, k: F.struct(x["role"].alias("role"), F.concat(F.lit("#"), k.cast("string")).alias("content")))
     record = (F.when((F.size("t") == 2) & (order == "user\nassistant"), F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("response"))))
               .when((F.size("t") == 3) & (order == "system\nuser\nassistant"), F.to_json(F.struct(text(0).alias("system"), text(1).alias("prompt"), text(2).alias("response"))))
-              .otherwise(F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages")))))
-    return chats.select("conv_id", record.alias("record"))
+              .otherwise(F.to_json(F.struct(told.alias("messages")))))
+    return chats.select("conv_id", record.alias("record"), F.transform("t", lambda x: x["text"]).alias(TEXTS))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofloom.llm.common import column, small, stored
+from proofloom.llm.common import column, small, stored, unused
 
 #: A line on so many distinct sites is boilerplate.
 SITES = 10
@@ -62,14 +62,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_
     A null text stays null with 0 lines; an empty text has one, blank line; a null site is a site of its own; null ids come
     last; rows equal in id and text get equal results, so both keep a first occurrence. An empty table gives an empty result.
     """
-    gone = stored(removals(docs, id_col, text_col, site_col, sites, keep_first).withColumnsRenamed({"doc_id": "__id", "key": "__key", "gone": "__gone"}), "gone")
-    n, lines = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()
+    id_, key, out, parts = (unused(docs, name) for name in ("id", "key", "gone", "parts"))
+    gone = stored(removals(docs, id_col, text_col, site_col, sites, keep_first).withColumnsRenamed({"doc_id": id_, "key": key, "gone": out}), "gone")
+    n, lines = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(out)), F.lit(0))).first()
     gone = F.broadcast(gone) if n <= BROADCAST_DOCS and lines <= BROADCAST_LINES else gone
     text = column(docs, text_col)
-    joined = docs.join(gone, column(docs, id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__key")), "left")
-    parts = F.split(column(docs, text_col), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__gone")
-    kept = F.when(F.col("__gone").isNull(), F.col("`" + text_col + "`")).otherwise(F.array_join(F.transform(left, lambda k: F.get("__parts", k)), "\n"))
-    counted = joined.withColumn("__parts", parts)
-    return counted.withColumns({text_col: kept, "n_lines": F.coalesce(F.array_size("__parts"), F.lit(0)).cast("long"),
-                                "n_removed": F.coalesce(F.array_size("__gone"), F.lit(0)).cast("long")}).drop("__parts", "__gone", "__id", "__key")
+    joined = docs.join(gone, column(docs, id_col).cast("long").eqNullSafe(gone[id_]) & (F.xxhash64(text) == gone[key]), "left")
+    counted = joined.withColumn(parts, F.split(text, "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), out)
+    kept = F.when(F.col(out).isNull(), F.col("`" + text_col + "`")).otherwise(F.array_join(F.transform(left, lambda k: F.get(parts, k)), "\n"))
+    return counted.withColumns({text_col: kept, "n_lines": F.coalesce(F.array_size(parts), F.lit(0)).cast("long"),
+                                "n_removed": F.coalesce(F.array_size(out), F.lit(0)).cast("long")}).drop(parts, out, id_, key)

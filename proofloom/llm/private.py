@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from proofloom.llm.common import column, small, stored
+from proofloom.llm.common import column, small, stored, unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Fixed patterns. A run of digits can only begin a match at its first digit, which keeps long runs linear.
@@ -233,12 +233,13 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """``docs`` with the text redacted and its ``spans`` (an existing column of this name is replaced). A null text stays null."""
-    found = find(docs, id_col, text_col, **kwargs).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__key"])
+    id_, key, marks = (unused(docs, name) for name in ("id", "key", "marks"))
+    found = find(docs, id_col, text_col, **kwargs).where(F.size("spans") > 0).select(F.col("doc_id").alias(id_), F.col("key").alias(key), F.col("spans").alias(marks)).dropDuplicates([id_, key])
     text = column(docs, text_col)
-    joined = docs.drop("spans").join(found, column(docs, id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__key")), "left")
+    joined = docs.drop("spans").join(found, column(docs, id_col).cast("long").eqNullSafe(found[id_]) & (F.xxhash64(text) == found[key]), "left")
 
     @F.pandas_udf("string")
     def hide(texts, spans):
         return texts.combine(spans, lambda t, s: t if t is None or s is None or not len(s) else redacted(t, [(x["kind"], x["start"], x["end"]) for x in s]))
 
-    return joined.withColumn(text_col, hide(F.col("`" + text_col + "`"), F.col("__spans"))).withColumn("spans", F.coalesce("__spans", F.array().cast(SPANS))).drop("__id", "__key", "__spans")
+    return joined.withColumn(text_col, hide(F.col("`" + text_col + "`"), F.col(marks))).withColumn("spans", F.coalesce(marks, F.array().cast(SPANS))).drop(id_, key, marks)

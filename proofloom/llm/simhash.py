@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from proofloom.llm.common import column, components, small, stored
+from proofloom.llm.common import column, components, small, stored, unused
 
 BITS = 64
 SEED = 42
@@ -269,4 +269,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     left = docs.join(small(gone), column(docs, id_col).cast("long").eqNullSafe(gone["__id"]) & (key == gone["__key"]), "left_anti")
     if found.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
         return left
-    return left.withColumn("__key", key).dropDuplicates([id_col, "__key"]).drop("__key")
+    mark = unused(docs, "key")
+    return left.withColumn(mark, key).dropDuplicates([id_col, mark]).drop(mark)

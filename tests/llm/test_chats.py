@@ -54,3 +54,20 @@ def test_round_trip(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chats.rendered(chats.canonical(chats.records_of(df))).count() == 0
+
+
+def test_texts_beyond_a_parsers_bound(spark):
+    """A text of 21 million characters comes back whole, in a prompt record and in messages."""
+    rows = spark.range(5).selectExpr("id div 2 AS conv_id", "id % 2 AS turn", "CASE WHEN id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role",
+                                     "CASE WHEN id IN (1, 4) THEN repeat('[INST] é', 2625000) ELSE '#0' END AS text")
+    done = chats.rendered(chats.canonical(chats.records_of(rows)))
+    got = done.select("conv_id", chats.read_back(F.col("formatted")).alias("t"), "layout").select("conv_id", "layout", F.transform("t", lambda x: F.sha2(x["text"], 256)).alias("h"), F.length(F.col("t")[F.size("t") - 1]["text"]).alias("n"))
+    want = {0: ("prompt response", 21_000_000), 1: ("prompt response", 2), 2: ("messages", 21_000_000)}
+    assert {r.conv_id: (r.layout, r.n) for r in got.collect()} == want
+    long = spark.range(1).select(F.sha2(F.expr("repeat('[INST] é', 2625000)"), 256)).first()[0]
+    assert [r.h[-1] for r in got.orderBy("conv_id").collect()][::2] == [long, long]
+
+
+def test_a_column_of_texts_that_is_no_reference(spark):
+    df = spark.createDataFrame([('{"prompt": "#0", "response": "r"}', "x")], "record string, record_texts string")
+    assert [tuple(t) for t in chats.canonical(df).first().turns] == [("user", "#0"), ("assistant", "r")]

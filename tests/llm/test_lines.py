@@ -52,3 +52,12 @@ def test_without_broadcast(spark, monkeypatch):
 
 def test_empty(spark):
     assert lines.dedup(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    names = ["id", "key", "gone", "parts", "_id", "__id", "__key", "__gone", "__parts", "n_lines"]
+    rows = [(k, f"same line\nown {k}", f"s{k}", *range(len(names))) for k in range(12)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *(f"`{n}` long" for n in names)]))
+    got = lines.dedup(df)
+    assert got.columns == [*df.columns, "n_removed"] and sorted(r.n_removed for r in got.collect()) == [0] + [1] * 11
+    assert got.select(*names[:-1]).distinct().collect() == [tuple(range(len(names) - 1))]
