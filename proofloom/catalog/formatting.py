@@ -140,6 +140,11 @@ query("D27_first_style_sample", f"""WITH {ZH_SQL}, {_PARA_SQL}, f AS (SELECT *,
     SELECT template_id, slot || 'Font' AS key, coalesce(cn_font, en_font) AS value FROM g UNION ALL SELECT template_id, 'westFont', en_font FROM g WHERE slot = 'body'
     UNION ALL SELECT template_id, 'align', alignment FROM g WHERE slot = 'body'""")(
     lambda spark, d: M.first_style_sample(_paragraphs(spark, d)).filter("key LIKE '%Font' OR key = 'align'"))
+_EMU = ("CAST(floor(p_partkey / 3) AS BIGINT) AS template_id, CAST(p_partkey % 3 AS INT) AS section_index, p_size * 100000 AS top, p_size * 36000 AS bottom, "
+        "CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size * 54321 END AS left, 360000 AS right")
+query("D27_section_margins", f"""WITH s AS (SELECT {_EMU.replace('AS left', 'AS "left"').replace('AS right', 'AS "right"')} FROM part), f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY template_id ORDER BY section_index) = 1)
+    SELECT template_id, 'margin' || k AS key, CAST(round(v / 360000.0, 2) AS DOUBLE)::VARCHAR AS value FROM (SELECT template_id, unnest(['Top', 'Bottom', 'Left', 'Right']) AS k, unnest([top, bottom, "left", "right"]) AS v FROM f) WHERE v IS NOT NULL""")(
+    lambda spark, d: M.first_section_margins(table(spark, d, "part").selectExpr(*[c.strip() for c in _split(_EMU)])))
 query("H12_merge_style_rules", f"WITH {ZH_SQL} SELECT doc_id, element_index, coalesce(nullif(font_name_cn, ''), font_name_en) AS font, CASE WHEN q % 2 = 0 THEN 20.0 ELSE font_size_pt END AS size FROM zh")(
     lambda spark, d: zh_elements(spark, d, "q").select("doc_id", "element_index", *M.merge_styles(
         {"font": F.col("font.font_name_en"), "size": F.col("font.font_size_pt")}, {"font": F.nullif("font.font_name_cn", F.lit("")), "size": F.when(F.col("q") % 2 == 0, 20.0)})))
@@ -173,6 +178,12 @@ query("H8_fill_style_defaults", f"""WITH t AS (SELECT {_TPL} FROM part), w AS (S
     lambda spark, d: M.fill_defaults(table(spark, d, "part").selectExpr(*[c.strip() for c in _split(_TPL)])))
 _TEXT = ("'纸张A4，上边距' || p_size || 'cm，左右：' || (p_size + 1) || 'cm。标题（黑体，二号，居中）。一级标题：楷体，' || p_size || 'pt，加粗。正文：宋体，小四。行距：' || (p_size % 3 + 1) || '倍。' "
          "|| CASE WHEN p_size % 2 = 0 THEN '金额单位：万元。请注意千位分隔。' ELSE '图序号：图' || p_size || '，引用规范。' END")
+_HEAD = "'页眉：' || CASE p_size % 3 WHEN 0 THEN '年度报告' WHEN 1 THEN '楷体，' || p_size || '号' ELSE '某校论文 Arial, ' || p_size || '.5pt，居中' END || '。'"
+query("H9_header_rules", f"""WITH r AS (SELECT p_partkey AS rule_text_id, p_size AS z, {_HEAD} AS t FROM part)
+    SELECT rule_text_id, 'header' AS slot, 'header_text' AS attr, substr(t, 4, length(t) - 4) AS value FROM r
+    UNION ALL SELECT rule_text_id, 'header', 'header_font', CASE z % 3 WHEN 1 THEN '楷体' ELSE 'Arial' END FROM r WHERE z % 3 > 0
+    UNION ALL SELECT rule_text_id, 'header', 'header_size_pt', z || CASE z % 3 WHEN 1 THEN '.0' ELSE '.5' END FROM r WHERE z % 3 > 0""")(
+    lambda spark, d: M.rules_from_text(table(spark, d, "part").selectExpr("p_partkey AS rule_text_id", f"{_HEAD} AS text")).filter("slot = 'header'"))
 query("H9_extract_rules_from_text", """WITH r AS (SELECT p_partkey AS rule_text_id, p_size AS z FROM part)
     SELECT rule_text_id, 'page' AS slot, 'margin_top_cm' AS attr, z || '.0' AS value FROM r UNION ALL SELECT rule_text_id, 'page', 'margin_left_cm', (z + 1) || '.0' FROM r
     UNION ALL SELECT rule_text_id, 'page', 'margin_right_cm', (z + 1) || '.0' FROM r UNION ALL SELECT rule_text_id, 'page', 'paper_size', 'A4' FROM r

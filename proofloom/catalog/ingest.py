@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from proofloom.catalog import sqlgen as S
 from proofloom.catalog.registry import query
-from proofloom.catalog.views import LATIN_SQL, ZH_SQL, latin_elements, table, zh_elements
+from proofloom.catalog.views import LATIN_SQL, ZH_SQL, latin_elements, table, usage_sql, usage_view, zh_elements
 from proofloom.operators import elements as E
+from proofloom.operators import plans as P
 from proofloom.sources import ingest as G
 
 # --- structured JSON: each document's lines as front-end elements, built in the row ---------
@@ -205,6 +206,16 @@ query("A12_tabular_to_table", f"""WITH c AS ({" UNION ALL ".join(f"SELECT {_CELL
         "CAST(floor(p_partkey / 10) AS BIGINT) AS doc_id", "1 AS table_index", "CAST(p_partkey % 10 AS INT) AS row",
         f"stack(3, {', '.join(f'{i}, {c}' for i, c in enumerate(_CELLS[1]))}) AS (col, content)")))
 
+def _cells(spark, d):
+    return table(spark, d, "part").selectExpr(
+        "CAST(floor(p_partkey / 10) AS BIGINT) AS doc_id", "1 AS table_index", "CAST(p_partkey % 10 AS INT) AS row",
+        f"stack(3, {', '.join(f'{i}, {c}' for i, c in enumerate(_CELLS[1]))}) AS (col, content)")
+
+
+query("A12_table_rows", f"""WITH c AS ({" UNION ALL ".join(f"SELECT {_CELLS[0]}, {i} AS col, {c} AS content FROM part" for i, c in enumerate(_CELLS[1]))}),
+    r AS (SELECT doc_id, table_index, row FROM c GROUP BY ALL HAVING bool_or(trim(coalesce(content, '')) <> ''))
+    SELECT doc_id, table_index, row, col, trim(coalesce(content, '')) AS content, row = 1 AS is_header FROM c JOIN r USING (doc_id, table_index, row)""")(
+    lambda spark, d: G.rows_from_cells(_cells(spark, d)))
 query("A13_decode_bytes", f"WITH {ZH_SQL} SELECT doc_id, element_index, content AS text FROM zh")(
     lambda spark, d: zh_elements(spark, d).select("doc_id", "element_index", G.decode_bytes(F.when(
         (F.col("element_index") % 3 == 0) & (F.length("content") >= 8), F.encode("content", "GBK")).when((F.col("element_index") % 3 == 1) & (F.length("content") >= 8), F.encode("content", "GB18030")).otherwise(
@@ -223,6 +234,13 @@ query("A14_route_by_format", f"""WITH {_FILE_SQL}, x AS (SELECT *, lower(regexp_
     SELECT doc_id, extension, CASE extension WHEN '.docx' THEN 'docx' WHEN '.md' THEN 'md' WHEN '.txt' THEN 'txt' WHEN '.pdf' THEN 'pdf' END AS format,
       CASE WHEN extension NOT IN ('.docx', '.md', '.txt', '.pdf') THEN 'UNSUPPORTED_FORMAT' WHEN length > 104857600 THEN 'FILE_TOO_LARGE' WHEN length = 0 THEN 'EMPTY_RESULT' END AS reject_code FROM x""")(
     lambda spark, d: G.route_files(_files(spark, d)).select("doc_id", "extension", "format", "reject_code"))
+_OWNER = "1 + doc_id % 150"
+query("A14_route_by_plan", f"""WITH {_FILE_SQL}, {usage_sql("profiles")}, x AS (SELECT *, {_OWNER} AS user_id, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS extension FROM f),
+    p AS (SELECT id AS user_id, CASE lower(trim(plan_tier)) WHEN 'pro' THEN 30 WHEN 'team' THEN 100 WHEN 'enterprise' THEN NULL ELSE 5 END AS mb FROM profiles)
+    SELECT doc_id, user_id, CASE WHEN extension NOT IN ('.docx', '.md', '.txt', '.pdf') THEN 'UNSUPPORTED_FORMAT' WHEN length > 104857600 THEN 'FILE_TOO_LARGE'
+      WHEN length > mb * 1048576 THEN 'FILE_TOO_LARGE_FOR_PLAN' WHEN length = 0 THEN 'EMPTY_RESULT' END AS reject_code FROM x LEFT JOIN p USING (user_id)""")(
+    lambda spark, d: G.route_for_plan(_files(spark, d).withColumn("user_id", F.expr(_OWNER)), usage_view(spark, d, "profiles").select(
+        F.col("id").alias("user_id"), P.normalize_tier(F.col("plan_tier")).alias("tier")).withColumn("file_size_mb", P.file_size_limit(F.col("tier")))).select("doc_id", "user_id", "reject_code"))
 query("D25_storage_size", f"WITH {_FILE_SQL} SELECT regexp_extract(path, '^([^/]+/[^/]+/)', 1) AS area, CAST(sum(length) AS BIGINT) AS bytes, count(*) AS files FROM f GROUP BY 1")(
     lambda spark, d: G.area_sizes(_files(spark, d), depth=2))
 

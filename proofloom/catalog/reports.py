@@ -10,12 +10,14 @@ from proofloom.catalog.registry import ORACLE, query
 from proofloom.catalog.views import LATIN_SQL, ZH_SQL, _split, latin_elements, table, zh_elements
 from proofloom.functions.scalars import fingerprint
 from proofloom.operators import detectors as D
+from proofloom.operators import elements as E
 from proofloom.operators import fixes as X
 from proofloom.operators import issues as I
 from proofloom.operators import models as M
 from proofloom.plans import qa
 from proofloom.rules import fixed as R
 from proofloom.sources.lexicon import builtin_lexicon
+from proofloom.streaming.jobs import work_folder
 
 _LATIN_RULES = (D.repeat_punctuation, D.bracket_pair)
 
@@ -106,6 +108,39 @@ query("M9_batch_job_log", f"""{_LA_ISSUES}, {_DOCN}, j AS (SELECT job_id, count(
     lambda spark, d: qa.job_log(_batch(spark, d)[1], F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-02").cast("timestamp")).select(
         "job_id", "step", "status", "summary"))
 
+_FAILED = "SELECT job_id, 'broken file ' || job_id AS error FROM j WHERE job_id % 5 = 0"
+_JOBS = f"""{_LA_ISSUES}, {_DOCN}, j AS (SELECT job_id, count(*) AS n, CAST(sum(issues) AS BIGINT) AS k FROM p GROUP BY 1), x AS ({_FAILED}),
+    e AS (SELECT job_id, error IS NOT NULL AS failed, '正在批量检查 ' || n || ' 份文档' AS runs, '开始批量检查 ' || n || ' 份文档' AS begins,
+      CASE WHEN error IS NOT NULL THEN '批量检查失败：' || error ELSE '批量检查完成，共 ' || n || ' 份文档，发现 ' || k || ' 条问题' END AS ends FROM j LEFT JOIN x USING (job_id))"""
+
+
+def _job_log(spark, d):
+    jobs = _batch(spark, d)[1]
+    failures = jobs.filter("job_id % 5 = 0").select("job_id", F.concat(F.lit("broken file "), F.col("job_id").cast("string")).alias("error"))
+    return qa.job_log(jobs, F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-02").cast("timestamp"), failures), jobs
+
+
+query("M9_failed_jobs", f"""{_JOBS} SELECT job_id, 0 AS step, 'queued' AS status, '' AS summary FROM e UNION ALL SELECT job_id, 1, 'running', runs FROM e
+    UNION ALL SELECT job_id, 2, CASE WHEN failed THEN 'failed' ELSE 'completed' END, ends FROM e""")(lambda spark, d: _job_log(spark, d)[0].select("job_id", "step", "status", "summary"))
+query("M9_job_activities", f"""{_JOBS} SELECT job_id AS batch_job_id, 'batch_qa_started' AS event_type, 'running' AS status, begins AS summary FROM e
+    UNION ALL SELECT job_id, CASE WHEN failed THEN 'batch_qa_failed' ELSE 'batch_qa_completed' END, CASE WHEN failed THEN 'failed' ELSE 'completed' END, ends FROM e""")(
+    lambda spark, d: qa.job_activities(*_job_log(spark, d)).drop("created_at"))
+
+
+def _sunk(spark, d):
+    """The issues of three batches of documents, one of them written twice, read back."""
+    path, issues = work_folder(spark), _latin_issues(spark, d)
+    for batch in (0, 1, 2, 1):
+        E.write_batch(issues.filter(F.pmod("doc_id", F.lit(3)) == batch), path, batch)
+    return spark.read.parquet(path)
+
+
+query("A20_issue_sink", f"""{_LA_ISSUES} SELECT doc_id, CAST(doc_id % 3 AS INT) AS batch, element_index, s AS start_pos, rule_id, regexp_replace(loc, '^\\s+|\\s+$', '', 'g') AS location_text,
+    sug AS suggestion, title, 'format' AS category FROM i""")(
+    lambda spark, d: _sunk(spark, d).select("doc_id", "batch", "element_index", "start_pos", "rule_id", "location_text", "suggestion", "title", "category"))
+query("A20_issue_stats", f"{_LA_ISSUES} SELECT doc_id, count(*) AS total, 0 AS errors, count(*) AS warnings, 0 AS infos FROM i GROUP BY 1")(
+    lambda spark, d: E.issue_stats(_sunk(spark, d)))
+
 # --- fixes -----------------------------------------------------------------------------------
 
 query("C13_accept_suggestions", f"""WITH {ZH_SQL} SELECT doc_id, element_index,

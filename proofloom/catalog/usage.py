@@ -203,10 +203,32 @@ query("E25_accept_invites", f"""WITH {usage_sql('members')} SELECT team_id, user
 query("E25_cancel_invites", f"""WITH {usage_sql('members')} SELECT team_id, user_id, status FROM members WHERE NOT (status = 'pending' AND invite_email IS NOT NULL AND user_id % 5 = 0)""")(
     lambda spark, d: (lambda m: T.cancel_invites(m, m.filter("user_id % 5 = 0 AND invite_email IS NOT NULL").select("team_id", F.concat(F.lit(" "), F.upper("invite_email")).alias("email"))).select(
         "team_id", "user_id", "status"))(members(spark, d)))
+_ACC = "o_orderkey AS id, o_orderdate AS ts, CAST(o_orderkey % 27 AS BIGINT) AS team_id, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_custkey END AS user_id"
+_ACCEPTED = f"""WITH {usage_sql('teams', 'members', 'profiles')}, r AS (SELECT {_ACC} FROM orders),
+    x AS (SELECT r.*, t.id IS NOT NULL AS known, m.user_id IS NOT NULL AS pending FROM r LEFT JOIN teams t ON t.id = r.team_id LEFT JOIN members m ON m.team_id = r.team_id AND m.user_id = r.user_id AND m.status = 'pending'),
+    y AS (SELECT *, row_number() OVER (PARTITION BY team_id, user_id, pending ORDER BY ts, id) AS nth FROM x),
+    o AS (SELECT *, CASE WHEN user_id IS NULL THEN 'NOT_AUTHENTICATED' WHEN NOT known THEN 'TEAM_NOT_FOUND' WHEN pending AND nth = 1 THEN 'OK' ELSE 'TEAM_INVITE_NOT_FOUND' END AS outcome FROM y)"""
+
+
+def _accepted(spark, d):
+    return T.accept_requests(table(spark, d, "orders").selectExpr(*[c.strip() for c in _split(_ACC)]), teams(spark, d), members(spark, d), ["ts", "id"])
+
+
+query("E25_accept_outcomes", f"{_ACCEPTED} SELECT id, outcome FROM o")(lambda spark, d: _accepted(spark, d).select("id", "outcome"))
+query("E25_accepted_profiles", f"""{_ACCEPTED}, w AS (SELECT user_id, arg_max(team_id, (ts, id)) AS joined FROM o WHERE outcome = 'OK' GROUP BY 1)
+    SELECT p.id, coalesce(joined, team_id) AS team_id, CASE WHEN joined IS NOT NULL THEN 'team' ELSE plan_tier END AS plan_tier, CASE WHEN joined IS NOT NULL THEN 'active' ELSE plan_status END AS plan_status,
+      CASE WHEN joined IS NOT NULL THEN 'team_invite' END AS plan_source FROM profiles p LEFT JOIN w ON w.user_id = p.id""")(
+    lambda spark, d: T.joined_profiles(profiles(spark, d), _accepted(spark, d), ["ts", "id"]).select("id", "team_id", "plan_tier", "plan_status", "plan_source"))
 _WS = "o_orderkey AS team_id, 'team ' || o_orderkey AS name, o_custkey AS user_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 9 - 2 AS INT) END AS seat_limit, o_orderdate AS ts"
 query("E26_create_workspaces", """SELECT o_orderkey AS id, o_custkey AS owner_user_id, CASE WHEN o_orderkey % 3 = 0 THEN 5 ELSE greatest(CAST(o_orderkey % 9 - 2 AS INT), 1) END AS seat_limit, 'owner' AS role FROM orders""")(
     lambda spark, d: (lambda t, o: t.join(o, (t["id"] == o["team_id"]) & (t["owner_user_id"] == o["user_id"])).select("id", "owner_user_id", "seat_limit", "role"))(
         *T.create_workspaces(table(spark, d, "orders").selectExpr(*[c.strip() for c in _split(_WS)]))))
+_WS_NULL = _WS.replace("o_custkey AS user_id", "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_custkey END AS user_id")
+query("E26_workspace_outcomes", "SELECT o_orderkey AS team_id, CASE WHEN o_orderkey % 11 = 0 THEN 'NOT_AUTHENTICATED' ELSE 'OK' END AS outcome FROM orders")(
+    lambda spark, d: T.workspace_outcomes(table(spark, d, "orders").selectExpr(*[c.strip() for c in _split(_WS_NULL)])).select("team_id", "outcome"))
+query("E26_workspace_profiles", f"""WITH {usage_sql('profiles')}, w AS (SELECT o_custkey AS id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS made FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY 1)
+    SELECT p.id, coalesce(made, team_id) AS team_id FROM profiles p LEFT JOIN w USING (id)""")(
+    lambda spark, d: T.workspace_profiles(profiles(spark, d), table(spark, d, "orders").selectExpr(*[c.strip() for c in _split(_WS_NULL)]), ["ts", "team_id"]).select("id", "team_id"))
 query("E27_invite_backfill", f"""WITH {usage_sql('members', 'profiles')} SELECT m.team_id, user_id, 'active' AS status, joined_at AS accepted_at, coalesce(invite_email, lower(email)) AS invite_email
     FROM members m JOIN profiles p ON p.id = user_id""")(
     lambda spark, d: T.backfill_invites(members(spark, d).withColumn("accepted_at", F.lit(None).cast("timestamp")), profiles(spark, d)).drop("joined_at"))
@@ -218,3 +240,12 @@ query("C20_team_workspace", f"""WITH {usage_sql('teams', 'members', 'activities'
     lambda spark, d: T.workspaces(teams(spark, d), members(spark, d), activities(spark, d), jobs(spark, d)).select(
         "team_id", "name", "members", "pending_invites", F.array_join(F.col("activity_ids").cast("array<string>"), ",").alias("activity_ids"),
         F.array_join(F.col("job_ids").cast("array<string>"), ",").alias("job_ids")))
+query("C20_workspace_members", f"""WITH {usage_sql('members', 'profiles')} SELECT m.team_id, user_id, email, role, status FROM members m LEFT JOIN profiles p ON p.id = user_id""")(
+    lambda spark, d: T.workspace_members(members(spark, d), profiles(spark, d)))
+_SAVES = "CAST(s_nationkey AS BIGINT) AS team_id, '{\"size\": ' || s_suppkey || '}' AS rules_json, s_suppkey AS updated_by"
+query("C20_team_rules", f"SELECT * FROM (SELECT {_SAVES} FROM supplier) QUALIFY row_number() OVER (PARTITION BY team_id ORDER BY updated_by DESC) = 1")(
+    lambda spark, d: T.team_rules(table(spark, d, "supplier").selectExpr(*[c.strip() for c in _split(_SAVES)]), ["updated_by"]))
+query("C20_pending_invitations", f"""WITH {usage_sql('members', 'teams')} SELECT m.team_id, user_id, name AS team_name, owner_user_id, seat_limit, row_number() OVER (PARTITION BY user_id ORDER BY joined_at, m.team_id) AS rank
+    FROM members m LEFT JOIN teams t ON t.id = m.team_id WHERE status = 'pending'""")(
+    lambda spark, d: T.pending_invitations(members(spark, d).withColumn("invited_at", F.col("joined_at")), teams(spark, d)).select(
+        "team_id", "user_id", "team_name", "owner_user_id", "seat_limit", "rank"))

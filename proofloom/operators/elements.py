@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofloom.functions.spans import strip
+
 from proofloom.functions.ordered import latest_per
 from proofloom.schemas import DOCUMENT
 from proofloom.session import stored
@@ -95,3 +97,20 @@ def find_template(catalog: DataFrame, name: str) -> DataFrame:
 def write_issues(issues: DataFrame, path: str, mode: str = "append") -> None:
     """Issue table partitioned by category; JSON columns stay nested."""
     issues.write.mode(mode).partitionBy("category").parquet(path)
+
+
+#: What a reader of the issue table sees of each issue.
+FLAT = ["doc_id", "issue_id", "category", "severity", "title", "description", "suggestion", "confidence", "location_text", "element_index",
+        "start_pos", "end_pos", "rule_id", "checker"]
+
+
+def write_batch(issues: DataFrame, path: str, batch: int) -> None:
+    """The flat issues of one batch of documents, in the partition of that batch: a batch written again replaces itself, never doubles,
+    and batches side by side do not touch each other."""
+    flat = issues.select(*[c for c in FLAT if c in issues.columns]).withColumn("location_text", strip(F.coalesce("location_text", F.lit(""))))
+    flat.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def issue_stats(issues: DataFrame) -> DataFrame:
+    """Issues, errors, warnings and infos per document."""
+    return issues.groupBy("doc_id").agg(F.count("*").alias("total"), *[F.count_if(F.col("severity") == s).alias(s + "s") for s in ("error", "warning", "info")])

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofloom.functions.ordered import index_block, last_seen, top_per
+from proofloom.functions.ordered import first_per, index_block, last_seen, top_per
 from proofloom.functions.scalars import cn_size_to_pt, fingerprint, lookup, parse_alignment, parse_line_spacing
 from proofloom.functions.spans import let, strip
 from proofloom.operators.elements import ancestors
@@ -280,6 +280,14 @@ def first_style_sample(paragraphs: DataFrame, limit: int = 300) -> DataFrame:
     return first.select("template_id", F.inline(F.filter(pairs, lambda kv: kv["value"].isNotNull())))
 
 
+def first_section_margins(sections: DataFrame) -> DataFrame:
+    """Margins of the first section of each template in centimetres -> rule rows (template_id, section_index, top, bottom, left, right; lengths in EMU)."""
+    first = first_per(sections, ["template_id"], ["section_index"])
+    cm = lambda side: F.round(F.col(side) / R.EMU_PER_CM, 2).cast("string")
+    pairs = F.array(*[F.struct(F.lit("margin" + side.capitalize()).alias("key"), cm(side).alias("value")) for side in ("top", "bottom", "left", "right")])
+    return first.select("template_id", F.inline(F.filter(pairs, lambda kv: kv["value"].isNotNull())))
+
+
 # --- rules from text -----------------------------------------------------------
 
 
@@ -321,6 +329,13 @@ def _described_style(slot: str, desc: Column) -> list[Column]:
             row("alignment", F.when(F.contains(desc, F.lit("居中")), "center")), row("italic", on("斜体"))]
 
 
+def _header(desc: Column) -> list[Column]:
+    """Text of the page header and the font and size named in it."""
+    row = lambda attr, value: F.struct(F.lit("header").alias("slot"), F.lit(attr).alias("attr"), value.cast("string").alias("value"))
+    part = lambda i: F.when(desc.rlike(R.HEADER_FONT), F.regexp_extract(desc, R.HEADER_FONT, i))
+    return [row("header_text", desc), row("header_font", part(1)), row("header_size_pt", cn_size_to_pt(part(2)))]
+
+
 def rules_from_text(docs: DataFrame, column: str = "text") -> DataFrame:
     """Requirement texts to rule rows (rule_text_id, slot, attr, value)."""
     def read(t: Column) -> Column:
@@ -335,7 +350,7 @@ def rules_from_text(docs: DataFrame, column: str = "text") -> DataFrame:
         times, exact, loose = (_found(t, p) for p in (R.LINE_SPACING_TIMES, R.LINE_SPACING_EXACT, R.LINE_SPACING_LOOSE))
         value = F.coalesce(times, exact, loose).try_cast("double")
         kind = F.when(times.isNull() & exact.isNotNull(), "exact").when(value == 1.5, "one_point_five").when(value.isNotNull(), "multiple")
-        out += [row("body", "line_spacing_type", kind), row("body", "line_spacing_value", value), row("header", "header_text", _found(t, R.HEADER_TEXT))]
+        out += [row("body", "line_spacing_type", kind), row("body", "line_spacing_value", value), *_header(_found(t, R.HEADER_TEXT))]
         for slot, patterns in R.NUMBERING_TEXT.items():
             out.append(row("numbering", slot, _found(t, *patterns)))
         out += [row("xref", "enabled", F.when(F.contains(t, F.lit("引用")), "true")), row("xref", "figure_pattern", _found(t, R.FIGURE_NUMBER_TEXT)),

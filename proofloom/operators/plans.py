@@ -74,6 +74,11 @@ def quota_gate(usage_name: str) -> Column:
     return F.when(F.col(limit).isNull() | (F.col(used) < F.col(limit)), "OK").otherwise("QUOTA_EXCEEDED")
 
 
+def file_size_limit(tier: Column) -> Column:
+    """Megabytes a plan allows per file, null for no limit."""
+    return _plan_value(tier, 2)
+
+
 def file_size_gate(size: Column, limit_mb: Column = None) -> Column:
     limit = F.col("file_size_mb") if limit_mb is None else limit_mb
     return F.when(limit.isNull() | (size <= limit * F.lit(1024 * 1024).cast("bigint")), "OK").otherwise("FILE_TOO_LARGE_FOR_PLAN")

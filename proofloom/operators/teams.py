@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofloom.functions.ordered import first_per, latest_per, range_blocks, running_sum, top_per
@@ -113,6 +113,29 @@ def accept_invites(members: DataFrame, accepts: DataFrame, now: Column) -> DataF
         "status", F.when(go, "active").otherwise(F.col("status"))).drop("__hit")
 
 
+def accept_requests(requests: DataFrame, teams: DataFrame, members: DataFrame, order: list[str]) -> DataFrame:
+    """Outcome of each request (team_id, user_id) to accept an invite: the first for a pending membership takes it."""
+    known = teams.select(F.col("id").alias("team_id"), F.lit(True).alias("__team"))
+    pending = members.filter("status = 'pending'").select("team_id", "user_id", F.lit(True).alias("__pending")).distinct()
+    r = requests.join(known, "team_id", "left").join(pending, ["team_id", "user_id"], "left")
+    first = r.filter("__pending").groupBy("team_id", "user_id").agg(F.min(F.struct(*order)).alias("__first"))
+    r = r.join(first, ["team_id", "user_id"], "left")
+    outcome = (F.when(F.col("user_id").isNull(), "NOT_AUTHENTICATED").when(F.col("__team").isNull(), "TEAM_NOT_FOUND")
+               .when(F.col("__first") == F.struct(*order), "OK").otherwise("TEAM_INVITE_NOT_FOUND"))
+    return r.select(*requests.columns, outcome.alias("outcome"))
+
+
+def joined_profiles(profiles: DataFrame, accepted: DataFrame, order: list[str]) -> DataFrame:
+    """Profiles after accepted invites (rows of :func:`accept_requests`): the last team joined, and its plan."""
+    last = accepted.filter("outcome = 'OK'").groupBy(F.col("user_id").alias("id")).agg(F.max_by("team_id", F.struct(*order)).alias("__team"))
+    got, plan = F.col("__team").isNotNull(), {"plan_tier": "team", "plan_status": "active", "plan_source": "team_invite"}
+    p = profiles if "plan_source" in profiles.columns else profiles.withColumn("plan_source", F.lit(None).cast("string"))
+    p = p.join(last, "id", "left").withColumn("team_id", F.coalesce("__team", "team_id"))
+    for name, value in plan.items():
+        p = p.withColumn(name, F.when(got, value).otherwise(F.col(name)))
+    return p.drop("__team")
+
+
 def cancel_invites(members: DataFrame, cancels: DataFrame) -> DataFrame:
     """Drop pending memberships matched by team and e-mail."""
     gone = cancels.select("team_id", F.lower(F.trim("email")).alias("__mail")).distinct()
@@ -128,6 +151,17 @@ def create_workspaces(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return teams, owners
 
 
+def workspace_outcomes(requests: DataFrame) -> DataFrame:
+    """Outcome per request: only a signed-in user gets a workspace."""
+    return requests.withColumn("outcome", F.when(F.col("user_id").isNull(), "NOT_AUTHENTICATED").otherwise("OK"))
+
+
+def workspace_profiles(profiles: DataFrame, requests: DataFrame, order: list[str]) -> DataFrame:
+    """Profiles after :func:`create_workspaces`: each user is in the last workspace they made."""
+    last = requests.filter("user_id IS NOT NULL").groupBy(F.col("user_id").alias("id")).agg(F.max_by("team_id", F.struct(*order)).alias("__team"))
+    return profiles.join(last, "id", "left").withColumn("team_id", F.coalesce("__team", "team_id")).drop("__team")
+
+
 def backfill_invites(members: DataFrame, users: DataFrame) -> DataFrame:
     """Fill status, acceptance time and e-mail where one of them is missing."""
     u = users.select(F.col("id").alias("user_id"), F.lower(F.trim("email")).alias("__mail"))
@@ -153,3 +187,20 @@ def workspaces(teams: DataFrame, members: DataFrame, activities: DataFrame, jobs
 
     out = teams.withColumnRenamed("id", "team_id").join(m, "team_id", "left")
     return out.join(ids(activities, "activity_ids"), "team_id", "left").join(ids(jobs, "job_ids"), "team_id", "left")
+
+
+def workspace_members(members: DataFrame, users: DataFrame) -> DataFrame:
+    """Member rows of every workspace with the members' mail."""
+    return members.join(users.select(F.col("id").alias("user_id"), "email"), "user_id", "left").select("team_id", "user_id", "email", "role", "status")
+
+
+def team_rules(saves: DataFrame, order: list[str]) -> DataFrame:
+    """The rules each team has after all saves (team_id, rules_json, updated_by): a later save replaces an earlier one."""
+    return latest_per(saves, ["team_id"], order)
+
+
+def pending_invitations(members: DataFrame, teams: DataFrame) -> DataFrame:
+    """Pending memberships of each user in the order of invitation, with the team they are to."""
+    t = teams.select(F.col("id").alias("team_id"), F.col("name").alias("team_name"), "owner_user_id", "seat_limit")
+    rows = members.filter("status = 'pending'").join(t, "team_id", "left")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("invited_at", "team_id")))

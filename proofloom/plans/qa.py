@@ -75,11 +75,21 @@ def batch_summary(issues: DataFrame, documents: DataFrame) -> tuple[DataFrame, D
     return per_doc, per_job
 
 
-def job_log(per_job: DataFrame, started, finished) -> DataFrame:
-    """State rows of a finished batch run (queued, running, completed)."""
-    states = F.array(*[F.struct(F.lit(s).alias("status"), t.alias("updated_at"), text.alias("summary")) for s, t, text in (
-        ("queued", started, F.lit("")),
-        ("running", started, F.concat(F.lit("正在批量检查 "), F.col("documents").cast("string"), F.lit(" 份文档"))),
-        ("completed", finished, F.concat(F.lit("批量检查完成，共 "), F.col("documents").cast("string"), F.lit(" 份文档，发现 "),
-                                        F.col("issues").cast("string"), F.lit(" 条问题"))))])
-    return per_job.select("job_id", F.posexplode(states).alias("step", "s")).select("job_id", "step", "s.*")
+def job_log(per_job: DataFrame, started, finished, failures: DataFrame | None = None) -> DataFrame:
+    """State rows of a batch run: queued, running, then completed or, for jobs in ``failures`` (job_id, error), failed."""
+    jobs = per_job.withColumn("error", F.lit(None).cast("string")) if failures is None else per_job.join(failures.select("job_id", "error"), "job_id", "left")
+    count, failed = F.col("documents").cast("string"), F.col("error").isNotNull()
+    done = F.concat(F.lit("批量检查完成，共 "), count, F.lit(" 份文档，发现 "), F.col("issues").cast("string"), F.lit(" 条问题"))
+    states = F.array(*[F.struct(s.alias("status"), t.alias("updated_at"), text.alias("summary")) for s, t, text in (
+        (F.lit("queued"), started, F.lit("")),
+        (F.lit("running"), started, F.concat(F.lit("正在批量检查 "), count, F.lit(" 份文档"))),
+        (F.when(failed, "failed").otherwise("completed"), finished, F.when(failed, F.concat(F.lit("批量检查失败："), "error")).otherwise(done)))])
+    return jobs.select("job_id", F.posexplode(states).alias("step", "s")).select("job_id", "step", "s.*")
+
+
+def job_activities(log: DataFrame, per_job: DataFrame) -> DataFrame:
+    """Team activities that go with the rows of :func:`job_log`: a run starts, and ends or fails."""
+    kind = F.when(F.col("status") == "running", "batch_qa_started").when(F.col("status") == "completed", "batch_qa_completed").when(F.col("status") == "failed", "batch_qa_failed")
+    rows = log.withColumn("event_type", kind).filter("event_type IS NOT NULL").join(per_job.select("job_id", "documents"), "job_id")
+    text = F.when(F.col("status") == "running", F.concat(F.lit("开始批量检查 "), F.col("documents").cast("string"), F.lit(" 份文档"))).otherwise(F.col("summary"))
+    return rows.select(F.col("job_id").alias("batch_job_id"), "event_type", "status", text.alias("summary"), F.col("updated_at").alias("created_at"))

@@ -635,6 +635,8 @@ LINE_SPACING_TIMES = r"(?U)行距[：:\s]*(\d+(?:\.\d+)?)\s*倍"
 LINE_SPACING_EXACT = r"(?U)行距[：:\s]*固定值\s*(\d+(?:\.\d+)?)\s*磅"
 LINE_SPACING_LOOSE = r"(?U)(\d+(?:\.\d+)?)\s*倍行距"
 HEADER_TEXT = r"页眉[：:\s]*([^。\n]+)"
+HEADER_FONT = r"(?U)([\u4e00-\u9fff\w]+)[，,]\s*(\d+(?:\.\d+)?)[号pt磅]"
+EMU_PER_CM = 360000
 NUMBERING_TEXT = {
     "heading1": ['第一层.{0,30}?[“"「]([一二三四五六七八九十、]+)[”"」]', r"第一层[^。]*?用([^。，；\n]+)字标注"],
     "heading2": ['第二层.{0,30}?[“"「]([^”"」]+)[”"」]', r"第二层[^。]*?用([^。，；\n]+)字标注"],

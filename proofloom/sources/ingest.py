@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from proofloom.functions.ordered import running_sum
 from proofloom.functions.spans import let, scan, strip
+from proofloom.operators.plans import file_size_gate
 from proofloom.rules import fixed as R
 from proofloom.rules.fixed import MAX_FILE_MB, SUPPORTED_FORMATS
 from proofloom.schemas import JSON_ELEMENTS
@@ -341,15 +342,26 @@ def merge_page_lines(lines: DataFrame) -> DataFrame:
         "doc_id", "page", "first_line", "k.element_type", "k.level", "content")
 
 
+def tables_kept(cells: DataFrame) -> DataFrame:
+    """Rows with any content, and how many cells they have."""
+    filled = F.length(F.coalesce(strip(F.col("content")), F.lit(""))) > 0
+    return cells.groupBy("doc_id", "table_index", "row").agg(F.bool_or(filled).alias("keep"), F.count("*").alias("n_cells")).filter("keep")
+
+
 def tables_from_cells(cells: DataFrame) -> DataFrame:
     """Size, header row and caption per table; rows without any content drop out."""
-    filled = F.length(F.coalesce(strip(F.col("content")), F.lit(""))) > 0
-    rows = cells.groupBy("doc_id", "table_index", "row").agg(F.bool_or(filled).alias("keep"), F.count("*").alias("n_cells")).filter("keep")
-    return rows.groupBy("doc_id", "table_index").agg(
+    return tables_kept(cells).groupBy("doc_id", "table_index").agg(
         F.count("*").alias("num_rows"), F.max("n_cells").alias("num_cols"), F.min("row").alias("header_row")
     ).withColumn("caption", F.concat(F.lit("表"), F.col("doc_id").cast("string"), F.lit("-"), F.col("table_index").cast("string")))
 
 
+def rows_from_cells(cells: DataFrame) -> DataFrame:
+    """The cells of the kept rows, trimmed; those of a sheet's row ``1`` are headers."""
+    kept = tables_kept(cells)
+    return cells.join(kept, ["doc_id", "table_index", "row"], "left_semi").select(
+        "doc_id", "table_index", "row", "col", F.coalesce(strip(F.col("content")), F.lit("")).alias("content"), (F.col("row") == 1).alias("is_header"))
+
+
 # --- files -------------------------------------------------------------------
 
 def decode_bytes(content: Column) -> Column:
@@ -371,6 +383,15 @@ def route_files(files: DataFrame, path: str = "path", size: str = "length", empt
     return files.withColumn("extension", ext).withColumn("format", fmt).withColumn("reject_code", code)
 
 
+def route_for_plan(files: DataFrame, entitlements: DataFrame, path: str = "path", size: str = "length") -> DataFrame:
+    """:func:`route_files` with the size limit of the owner's plan (``user_id`` of the file, ``file_size_mb`` of the plan, null: none)."""
+    limits = entitlements.select("user_id", "file_size_mb", "tier")
+    routed = route_files(files, path, size).join(limits, "user_id", "left")
+    over = file_size_gate(F.col(size)) != "OK"
+    keeps = F.coalesce(F.col("reject_code"), F.lit("EMPTY_RESULT")) != "EMPTY_RESULT"  # checked before the plan
+    return routed.withColumn("reject_code", F.when(keeps, F.col("reject_code")).when(over, F.lit("FILE_TOO_LARGE_FOR_PLAN")).otherwise(F.col("reject_code")))
+
+
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """Text files of unknown encoding as one row per file."""
     files = route_files(spark.read.format("binaryFile").load(path))
