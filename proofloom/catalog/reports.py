@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from proofloom.catalog import sqlgen as S
-from proofloom.catalog import text as _text  # noqa: F401  (its twins are composed below)
+from proofloom.catalog import consistency as _consistency  # noqa: F401  (the twins of these are composed below)
+from proofloom.catalog import text as _text  # noqa: F401
+from proofloom.catalog import xref as _xref  # noqa: F401
 from proofloom.catalog.registry import ORACLE, query
 from proofloom.catalog.views import LATIN_SQL, ZH_SQL, _split, latin_elements, table, zh_elements
 from proofloom.functions.scalars import fingerprint
@@ -79,8 +81,24 @@ query("B6_issue_selectors", f"{_ZH_ISSUES} SELECT doc_id, rule_id, element_index
     lambda spark, d: I.pending(I.of_severity(I.of_category(_zh_issues(spark, d), "format"), "warning")).select("doc_id", "rule_id", "element_index", "location_text"))
 query("B7_min_confidence", f"{_ZH_ISSUES} SELECT doc_id, rule_id, element_index, loc AS location_text FROM i WHERE rule_id = 'format.repeat_punctuation'")(
     lambda spark, d: I.confident(_zh_issues(spark, d), 0.9).select("doc_id", "rule_id", "element_index", "location_text"))
-query("G1_merge_reports")(lambda spark, d: qa.check(
-    zh_elements(spark, d), lexicon=builtin_lexicon(spark)).groupBy(
+# The whole check, logic included: the twins of all rules, equal issues of a document counted once.
+_MORE_TWINS = {
+    "consistency.number_format": ("I13_number_format", "suggestion"), "consistency.date_format": ("I14_date_format", "suggestion"), "consistency.proper_noun": ("I15_proper_noun", "suggestion"),
+    "consistency.term_alias": ("I16_term_alias", "suggestion"), "consistency.unit_alias": ("I17_unit_alias", "suggestion"), "logic.contradiction.marker_opposite": ("I18_contradiction", "''"),
+    "logic.timeline.backward": ("I19_timeline", "''"), "logic.structure.empty_section": ("I20_empty_section", "''"), "logic.causality.incomplete": ("I21_causality", "''"),
+    "logic.conclusion.no_evidence": ("I22_conclusion", "''"), "logic.argument.no_evidence": ("I23_argument", "''"), "logic.conditional.incomplete": ("I24_conditional", "''"),
+    "xref.plain_text_citation": ("I27_plain_text_citation", "title"),
+}
+_ALL_CATEGORIES = ("typo", "consistency", "crossref", "format", "logic_rules")
+_ALL_ISSUES = " UNION ALL ".join(
+    [f"SELECT doc_id, '{rule}' AS rule_id, location_text AS loc, suggestion AS sug, '{R.ISSUE_TEXTS[rule][0]}' AS category, {"'warning'" if rule == "typo.common_dict" else "severity"} AS severity FROM ({ORACLE[name]})"
+     for rule, name in _RULE_TWINS.items()]
+    + [f"SELECT doc_id, '{rule}', location_text, {sug}, '{R.ISSUE_TEXTS[rule][0]}', '{R.ISSUE_TEXTS[rule][1]}' FROM ({ORACLE[name]})" for rule, (name, sug) in _MORE_TWINS.items()]
+    + [f"SELECT doc_id, rule_id, location_text, '', 'reference', severity FROM ({ORACLE['I26_xref_issues']})",
+       f"SELECT c.doc_id, rule_id, substr(content, 1, 60), '', 'logic', 'info' FROM ({ORACLE['I25_comparison']}) c JOIN (WITH {ZH_SQL} SELECT * FROM zh) z ON z.doc_id = c.doc_id AND z.element_index = c.element_index"])
+query("G1_merge_reports", f"""WITH a AS ({_ALL_ISSUES}), i AS (SELECT DISTINCT doc_id, rule_id, category, severity, regexp_replace(loc, '^\\s+|\\s+$', '', 'g') AS loc, sug FROM a)
+    SELECT category, rule_id, severity, count(*) AS n, count(DISTINCT doc_id) AS docs FROM i GROUP BY ALL""")(lambda spark, d: qa.check(
+    zh_elements(spark, d), _ALL_CATEGORIES, lexicon=builtin_lexicon(spark)).groupBy(
     "category", "rule_id", "severity").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")))
 query("M1_user_checker", f"{_LA_ISSUES} SELECT rule_id, count(*) AS n FROM i GROUP BY 1")(
     lambda spark, d: qa.check(latin_elements(spark, d), (), extra={"mine": lambda e: D.detect(e, *_LATIN_RULES)}).groupBy("rule_id").agg(F.count("*").alias("n")))
@@ -187,7 +205,16 @@ query("E16_pack_chunks", _pack_sql(ZH_SQL, "zh", 200).replace("w.element_index =
     lambda spark, d: M.pack_chunks(zh_elements(spark, d), 200, block=16))
 query("E16_pack_chunks_latin", _pack_sql(LATIN_SQL, "la", 800).replace("w.element_index = chunk_start AND r > 1", "w.element_index = chunk_start AND w.r > 1"))(
     lambda spark, d: M.pack_chunks(latin_elements(spark, d), 800))
-query("E17_split_long_text")(lambda spark, d: M.split_long_text(table(spark, d, "documents")))
+_SQL_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+#: One piece of every document per step: back to the last paragraph end within reach, else the first sentence end, else the size.
+query("E17_split_long_text", f"""WITH RECURSIVE t AS (SELECT doc_id, text, length(text) AS n FROM documents),
+    w AS (SELECT doc_id, CAST(0 AS BIGINT) AS start, -1 AS chunk_id, '' AS chunk FROM t
+      UNION ALL SELECT doc_id, stop, chunk_id + 1, CASE WHEN start = 0 AND n <= {R.CHUNK_CHARS} THEN text WHEN stop = n AND rest THEN substr(text, start + 1) ELSE {_SQL_STRIP.format("substr(text, start + 1, stop - start)")} END FROM (
+        SELECT *, start + {R.CHUNK_CHARS} >= n AS rest, CASE WHEN start + {R.CHUNK_CHARS} >= n THEN n WHEN p > 0 THEN low + length(seg) - p + 1 WHEN e IS NOT NULL THEN low + e ELSE start + {R.CHUNK_CHARS} END AS stop FROM (
+          SELECT *, strpos(reverse(seg), chr(10) || chr(10)) AS p, least({", ".join(f"nullif(strpos(near, {c}), 0)" for c in ("'。'", "'！'", "'？'", "chr(10)"))}) AS e FROM (
+            SELECT t.doc_id, w.start, w.chunk_id, text, n, w.start + {R.CHUNK_CHARS - 199} AS low, substr(text, w.start + {R.CHUNK_CHARS - 198}, least(w.start + {R.CHUNK_CHARS + 2}, n) - (w.start + {R.CHUNK_CHARS - 199})) AS seg,
+              substr(text, w.start + {R.CHUNK_CHARS - 198}, 200) AS near FROM w JOIN t USING (doc_id) WHERE w.start < n OR w.chunk_id < 0))))
+    SELECT doc_id, chunk_id, chunk FROM w WHERE chunk_id >= 0""")(lambda spark, d: M.split_long_text(table(spark, d, "documents")))
 _PROMPTS = {"typo": "请检查错别字：\n{text}\n只返回 JSON", "logic": "请检查逻辑：{text}"}
 query("M4_build_prompts", """WITH c AS (SELECT conv_id AS doc_id, CAST(turn AS INT) AS chunk_start, text AS chunk FROM conversations)
     SELECT doc_id, chunk_start, 'typo' AS task, '请检查错别字：' || chr(10) || chunk || chr(10) || '只返回 JSON' AS prompt FROM c

@@ -42,7 +42,24 @@ query("L1_stream_monthly_counters", f"""{LOGS} SELECT user_id, strftime(created_
 query("L2_stream_quota_admission", ORACLE["E18_quota_admission"])(
     lambda spark, d: J.keep_admitted(_log_stream(spark, d), usage_view(spark, d, "profiles"), J.work_folder(spark)))
 query("L3_stream_token_daily", f"""{LOGS} SELECT CAST(created_at AS DATE) AS date, coalesce(purpose, 'unknown') AS purpose, CAST(sum(amount) AS BIGINT) AS total_tokens, count(*) AS total_requests FROM token_logs GROUP BY ALL""")(
-    lambda spark, d: J.latest_rows(J.token_daily(_log_stream(spark, d)), J.work_folder(spark), ["date", "purpose"]).drop("active_users"))
+    lambda spark, d: J.latest_rows(J.token_daily(_log_stream(spark, d)), J.work_folder(spark), ["date", "purpose"]).drop("active_users", "users"))
+
+
+def _users(spark, d):
+    """Stored days of the stream, and how many users each group of keys has beside the exact number."""
+    days = J.latest_rows(J.token_daily(_log_stream(spark, d)), J.work_folder(spark), ["date", "purpose"])
+    logs = usage_view(spark, d, "token_logs").select(F.col("created_at").cast("date").alias("date"), F.coalesce("purpose", F.lit("unknown")).alias("purpose"), "user_id")
+    out = None
+    for keys in (["date", "purpose"], ["purpose"], ["date"]):
+        exact = logs.groupBy(*keys).agg(F.countDistinct("user_id").alias("exact"))
+        near = J.users_over(days, *keys).join(exact, keys, "full").select(*[F.col(k) if k in keys else F.lit(None).cast("date" if k == "date" else "string").alias(k) for k in ("date", "purpose")],
+                                                                          "exact", (F.abs(F.col("active_users") - F.col("exact")) <= F.greatest(F.lit(1), 0.05 * F.col("exact"))).alias("within"))
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
+query("L3_stream_active_users", f"""{LOGS}, t AS (SELECT CAST(created_at AS DATE) AS date, coalesce(purpose, 'unknown') AS purpose, user_id FROM token_logs)
+    SELECT date, purpose, count(DISTINCT user_id) AS exact, true AS within FROM t GROUP BY GROUPING SETS ((date, purpose), (purpose), (date))""")(_users)
 query("L4_stream_activity_feed", f"""WITH {usage_sql('activities')} SELECT * FROM activities QUALIFY row_number() OVER (PARTITION BY team_id ORDER BY created_at DESC, id DESC) <= 100""")(
     lambda spark, d: J.keep_feed(_stream(spark, d, "events").selectExpr(*[f"{e} AS {n}" for n, e in _ACTIVITY.items()]), J.work_folder(spark)))
 _HITS = f"SELECT doc_id, element_index, s AS start_pos, hit AS location_text FROM ({S.hits('{src}', _MARKS).replace('{{src}}', '{src}')})"

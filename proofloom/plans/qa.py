@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from proofloom.operators import consistency, detectors, xref
 from proofloom.operators.issues import deduplicate, ignore
+from proofloom.session import stored
 from proofloom.sources.lexicon import typo_issues
 
 Checker = Callable[[DataFrame], DataFrame]
@@ -62,8 +63,9 @@ def merge(reports: list[DataFrame]) -> DataFrame:
 
 def check(elements: DataFrame, categories=DEFAULT_CATEGORIES, lexicon: DataFrame | None = None,
           extra: dict[str, Checker] | None = None, ignore_rules=(), ignore_text=()) -> DataFrame:
-    """All issues of a corpus of elements."""
+    """All issues of a corpus of elements; where several checkers read them, they read one stored table."""
     chosen = checkers(categories, lexicon, extra)
+    elements = stored(elements, "elements") if len(chosen) > 2 else elements
     return merge([ignore(run(elements), ignore_rules, ignore_text) for run in chosen.values()])
 
 
