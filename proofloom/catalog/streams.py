@@ -70,3 +70,24 @@ query("L6_stream_incremental_recheck", f"""WITH {LATIN_SQL}, ed AS (SELECT doc_i
     ch AS (SELECT ed.* FROM ed JOIN n ON n.doc_id = ed.doc_id AND n.chunk_no = floor(element_index / 20) JOIN o ON o.doc_id = n.doc_id AND o.chunk_no = n.chunk_no WHERE n.content_hash <> o.content_hash) """ + _HITS.replace("{src}", "ch"))(
     lambda spark, d: J.recheck(_doc_stream(spark, d).withColumn("content", F.expr(_EDIT)), C.chunk_hashes(latin_elements(spark, d), 20),
                                lambda e: D.detect(e, D.repeat_punctuation).select("doc_id", "element_index", "start_pos", "location_text"), J.work_folder(spark), 20))
+_EVENTS = {"job_id": "CAST(floor(o_orderkey / 32) AS BIGINT)", "id": "o_orderkey", "at": "o_orderdate", "kind": "CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'P' THEN 'failed' ELSE 'document' END",
+           "issues": "CAST(floor(o_totalprice) % 7 AS BIGINT)", "error": "'order ' || o_orderkey"}
+
+
+def _job_states(spark, d):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.ROCKSDB)
+    folder = J.work_folder(spark)
+    events = _stream(spark, d, "orders").selectExpr(*[f"{e} AS {n}" for n, e in _EVENTS.items()]).withColumn("at", F.col("at").cast("timestamp"))
+    J.run_available(J.track_jobs(events, "90 days 1 hour"), folder, "append")
+    return spark.read.parquet(f"{folder}/table")
+
+
+query("M9_stream_jobs", f"""WITH e AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _EVENTS.items()).replace(' AS at,', ' AS happened,')} FROM orders),
+    r AS (SELECT *, row_number() OVER w AS r, count(CASE WHEN kind <> 'document' THEN 1 END) OVER w AS ends, count(CASE WHEN kind = 'document' THEN 1 END) OVER w AS docs,
+      CAST(coalesce(sum(CASE WHEN kind = 'document' THEN issues END) OVER w, 0) AS BIGINT) AS found FROM e WINDOW w AS (PARTITION BY job_id ORDER BY happened, id ROWS UNBOUNDED PRECEDING)),
+    t AS (SELECT job_id, max(docs) AS docs, max(found) AS found, max(happened) AS last FROM r GROUP BY 1 HAVING max(ends) = 0)
+    SELECT job_id, 'running' AS status, 'batch_qa_started' AS event_type, 0 AS documents, 0 AS issues, '开始批量检查' AS summary FROM r WHERE r = 1
+    UNION ALL SELECT job_id, CASE kind WHEN 'finished' THEN 'completed' ELSE 'failed' END, CASE kind WHEN 'finished' THEN 'batch_qa_completed' ELSE 'batch_qa_failed' END, docs, found,
+      CASE kind WHEN 'finished' THEN '批量检查完成，共 ' || docs || ' 份文档，发现 ' || found || ' 条问题' ELSE '批量检查失败：' || error END FROM r WHERE ends = 1 AND kind <> 'document'
+    UNION ALL SELECT job_id, 'timed_out', 'batch_qa_failed', docs, found, '批量检查失败：timeout' FROM t WHERE last + INTERVAL 90 DAY + INTERVAL 1 HOUR <= (SELECT max(happened) FROM e) - INTERVAL 7 DAY""")(
+    lambda spark, d: _job_states(spark, d).drop("updated_at"))

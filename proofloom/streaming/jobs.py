@@ -94,7 +94,7 @@ class MonthlyCounter(StatefulProcessor):
         self.handle = handle
         self.count = handle.getValueState("count", T.StructType([T.StructField("n", T.LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, reset = (self.count.get()[0] if self.count.exists() else 0), 0
         for pdf in rows:
             n += len(pdf)
@@ -103,7 +103,7 @@ class MonthlyCounter(StatefulProcessor):
         self.handle.registerTimer(reset)
         yield pd.DataFrame({"user_id": [key[0]], "period_key": [key[1]], "n": [n]})
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.count.clear()
         return iter(())
 
@@ -160,6 +160,71 @@ def keep_admitted(logs: DataFrame, profiles: DataFrame, folder: str, late: str =
     return spark.read.parquet(f"{folder}/table").drop("batch")
 
 
+# --- batch jobs ------------------------------------------------------------------
+
+class JobTracker(StatefulProcessor):
+    """State of a batch job from the events of its documents: running, then completed, failed or, without an event for
+    ``timeout``, timed out. The first end counts; a closed job is forgotten ``keep`` later."""
+
+    def __init__(self, timeout_ms: int, keep_ms: int) -> None:
+        self.timeout_ms, self.keep_ms = timeout_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", T.StructType([T.StructField(n, T.LongType()) for n in ("closed", "documents", "issues", "timer")]))
+
+    def _row(self, key, status: str, documents: int, issues: int, at: int, error=None) -> dict:
+        return {"job_id": key[0], "status": status, "documents": documents, "issues": issues, "error": error, "at_ms": at}
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        closed, documents, issues, timer = self.job.get() if self.job.exists() else (0, 0, 0, 0)
+        out = []
+        if not closed:
+            events = pd.concat(list(rows)).sort_values(["at_ms", "id"])  # the events of one job in one batch
+            for event in events.itertuples():
+                if not timer:
+                    out.append(self._row(key, "running", 0, 0, event.at_ms))
+                    timer = 1
+                if event.kind == "document":
+                    documents, issues = documents + 1, issues + int(event.issues)
+                else:
+                    closed = 1
+                    out.append(self._row(key, "completed" if event.kind == "finished" else "failed", documents, issues, event.at_ms, event.error if event.kind == "failed" else None))
+                    break
+            if timer > 1:
+                self.handle.deleteTimer(timer)
+            timer = int(event.at_ms) + (self.keep_ms if closed else self.timeout_ms)
+            self.handle.registerTimer(timer)
+            self.job.update((closed, documents, issues, timer))
+        yield pd.DataFrame(out, columns=["job_id", "status", "documents", "issues", "error", "at_ms"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        closed, documents, issues, timer = self.job.get()
+        if closed:
+            self.job.clear()
+            return
+        later = timer + self.keep_ms
+        self.handle.registerTimer(later)
+        self.job.update((1, documents, issues, later))
+        yield pd.DataFrame([self._row(key, "timed_out", documents, issues, timer)])
+
+    def close(self) -> None:
+        pass
+
+
+def track_jobs(events: DataFrame, timeout: str, late: str = LATE) -> DataFrame:
+    """State rows with their activity from a stream of events (job_id, id, at, kind: document, finished or failed, issues, error)."""
+    timeout_ms, keep_ms = (int(pd.Timedelta(t).total_seconds() * 1000) for t in (timeout, late))
+    rows = events.withWatermark("at", late).withColumn("at_ms", F.unix_millis("at"))
+    states = rows.groupBy("job_id").transformWithStateInPandas(
+        JobTracker(timeout_ms, keep_ms), "job_id long, status string, documents long, issues long, error string, at_ms long", "Append", "EventTime")
+    status = F.col("status")
+    text = (F.when(status == "running", "开始批量检查").when(status == "completed", F.concat(F.lit("批量检查完成，共 "), F.col("documents").cast("string"), F.lit(" 份文档，发现 "), F.col("issues").cast("string"), F.lit(" 条问题")))
+            .otherwise(F.concat(F.lit("批量检查失败："), F.coalesce("error", F.lit("timeout")))))
+    kind = F.when(status == "running", "batch_qa_started").when(status == "completed", "batch_qa_completed").otherwise("batch_qa_failed")
+    return states.select("job_id", "status", "documents", "issues", text.alias("summary"), kind.alias("event_type"), F.timestamp_millis("at_ms").alias("updated_at"))
+
+
 # --- feeds and documents ---------------------------------------------------------
 
 def keep_feed(activities: DataFrame, folder: str, n: int = 100) -> DataFrame:
