@@ -117,12 +117,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
             within = least <= (reach * (1 + SLACK) + SLACK * np.sqrt(base))[:, None]
             yield send(pdf, within & (np.arange(len(rings))[None, :] != least.argmin(1)[:, None]))
 
-    blocks = {tuple(n): int(p) for n, p in zip(numbers, parts)}
-    split = F.lit(1)
-    for (pivot, ring), n in blocks.items():
-        if n > 1:
-            split = F.when((F.col("pivot") == int(pivot)) & (F.col("ring") == int(ring)), n).otherwise(split)
-    searched = ringed.withColumn("part", F.pmod(F.xxhash64("v"), split).cast("int")).withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
+    if not len(directory):
+        return quant.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    sized = quant.sparkSession.createDataFrame([(int(p), int(r), int(n)) for (p, r), n in zip(numbers, parts)], "pivot int, ring int, parts int")
+    cut = ringed.join(F.broadcast(sized), ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).drop("parts")
     where = ["pivot", "ring", "part", "batch"]
 
     def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -142,14 +140,15 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     def answers(asked: DataFrame) -> DataFrame:
+        """Scores of the asked parts; a part is sent only to the batches of queries that ask for it."""
+        asked = stored(asked, "asked")
+        searched = cut.join(stored(asked.select(*where).distinct(), "wanted"), ["pivot", "ring", "part"])
         return asked.groupBy(*where).cogroup(searched.groupBy(*where)).applyInPandas(search, "query_id long, vec_id long, score long")
 
     def best(found: DataFrame) -> DataFrame:
         order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    if not len(directory):
-        return quant.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     early = stored(answers(queries.mapInPandas(first_ring, schema)), "early")
     kth = best(early).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("kth"))
     open_queries = queries.join(kth, queries["vec_id"] == kth["query_id"], "left").select("vec_id", "v", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf"))).alias("kth"))

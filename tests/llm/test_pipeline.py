@@ -84,3 +84,25 @@ def test_mix_counts_all_that_is_left(steps):
         assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", steps[4][r.doc_id].text)) and 0 <= r.taken <= 3 * r.size
         taken[r.source], goal[r.source] = taken.get(r.source, 0) + r.taken, r.target
     assert all(abs(taken[s] - goal[s]) < 1 for s in goal)
+
+
+def test_near_duplicates_by_all_pairs_of_shingle_sets(steps):
+    """One document of each group linked by five-word shingle sets with a Jaccard similarity of 0.8 stays, the one with the smallest id."""
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+        return {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
+
+    sets = {i: shingles(r.text) for i, r in steps[2].items()}
+    ids, root = sorted(sets), {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert set(steps[3]) == {find(i) for i in ids} and len(steps[3]) < len(ids)

@@ -48,3 +48,13 @@ def test_long_components_are_exact(spark):
     df = spark.createDataFrame([(0, [big, 1.0]), (1, [big, 1.0]), (2, [big, 0.0])], "vec_id long, embedding array<double>")
     got = pivots.top_k(df, F.col("vec_id") == 0, scale=1).collect()
     assert [(r.vec_id, r.score) for r in got] == [(1, 2**63 - 1), (2, 2**63 - 1)] and pivots._products(__import__("numpy").array([[big, 1.0]]), __import__("numpy").array([[2.0, 3.0]]))[0, 0] == 2**41 + 3
+
+
+def test_every_annulus_in_parts(spark, monkeypatch):
+    """All 64 x 16 annuli hold more vectors than a part may."""
+    monkeypatch.setattr(pivots, "BLOCK", 1)
+    rng = random.Random(12)
+    rows = [(i, [float(rng.randrange(-40, 40)) / 64 for _ in range(4)]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = pivots.top_k(df, F.col("vec_id") % 800 == 0)
+    assert sorted(map(tuple, got.collect())) == sorted(plain(rows, 5, 800))
