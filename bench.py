@@ -21,7 +21,8 @@ from proofloom.sources.lexicon import builtin_lexicon  # noqa: E402
 
 HEADLINE = [
     "D1_qa_report", "I13_number_format", "I19_timeline", "C4_citation_ref_join", "A8_segment_html_qa", "D20_admin_token_daily",
-    "E23_redeem_codes", "K7_plan_audit", "D22_chunk_hash",
+    "E23_redeem_codes", "K7_plan_audit", "D22_chunk_hash", "E18_quota_admission", "C18_near_dup_issues", "E16_pack_chunks", "A5_segment_markdown",
+    "E12_structure_classify", "I26_xref_issues", "D12_xref_summary", "C5_adoptable_refs", "G1_merge_reports",
 ]
 
 

@@ -32,14 +32,22 @@ def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str | Non
     return spark.conf.get("spark.checkpoint.dir", None) or default
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Driver and executors are one process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under ``spark.checkpoint.dir`` and read it back: computed once, lineage cut, safe when executors are lost.
 
-    Where that setting is missing (tests, one machine) a temporary folder is set for the session.
+    Where that setting is missing a temporary folder is set for the session, but only if all of Spark runs on this machine.
     """
     spark = df.sparkSession
     base = checkpoint_dir(spark)
     if not base:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="proofloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -21,7 +21,7 @@ from proofloom.functions.ordered import latest_per
 from proofloom.functions.scalars import next_reset, period_key
 from proofloom.operators import incremental
 from proofloom.operators.usage import activity_feed, admit
-from proofloom.session import checkpoint_dir, stored
+from proofloom.session import checkpoint_dir, is_local, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LATE = "7 days"
@@ -33,7 +33,7 @@ def work_folder(spark: SparkSession) -> str:
     """A fresh folder under the shared checkpoint folder; a temporary one only where all of Spark runs on this machine."""
     base = checkpoint_dir(spark)
     if base is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="proofloom-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
