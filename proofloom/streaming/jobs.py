@@ -7,7 +7,6 @@ micro-batch and keep what the next one needs in versioned tables.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,7 +20,7 @@ from proofloom.functions.ordered import latest_per
 from proofloom.functions.scalars import next_reset, period_key
 from proofloom.operators import incremental
 from proofloom.operators.usage import activity_feed, admit
-from proofloom.session import checkpoint_dir, is_local, stored
+from proofloom.session import shared_folder, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LATE = "7 days"
@@ -30,13 +29,8 @@ LG_K = 12
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder under the shared checkpoint folder; a temporary one only where all of Spark runs on this machine."""
-    base = checkpoint_dir(spark)
-    if base is None:
-        if not is_local(spark):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="proofloom-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A fresh folder under the shared one."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, folder: str, mode: str, sink: Callable[[DataFrame, int], None] | None = None) -> None:

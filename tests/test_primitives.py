@@ -70,3 +70,16 @@ def test_conversions(spark):
     assert (row.a, row.b, row.c, row.d, row.e) == (12.0, 12.0, None, "三号", None)
     assert (row.f.type, row.f.value, round(row.g, 2), row.h, row.i, row.j) == ("one_point_five", 1.5, 2.54, "A4", 12, "21")
     assert str(row.k) == "2025-01-01 00:00:00"
+
+
+def test_a_local_folder_only_in_one_process(spark, monkeypatch):
+    import pytest
+
+    from proofloom import session
+
+    monkeypatch.setattr(session, "checkpoint_dir", lambda spark, default=None: None)
+    first = session.shared_folder(spark)
+    assert session.shared_folder(spark) == first and session.stored(spark.range(3), "x").count() == 3
+    monkeypatch.setattr(session, "is_local", lambda spark: False)
+    with pytest.raises(ValueError):
+        session.stored(spark.range(3), "x")
