@@ -63,10 +63,16 @@ def merge(reports: list[DataFrame]) -> DataFrame:
 
 def check(elements: DataFrame, categories=DEFAULT_CATEGORIES, lexicon: DataFrame | None = None,
           extra: dict[str, Checker] | None = None, ignore_rules=(), ignore_text=()) -> DataFrame:
-    """All issues of a corpus of elements; where several checkers read them, they read one stored table."""
+    """All issues of a corpus of elements; where several checkers read them, they read one stored table.
+
+    The issues of each checker are then stored as well, one checker after the other, so the driver holds the plan of one of them at
+    a time and the merge reads stored tables only.
+    """
     chosen = checkers(categories, lexicon, extra)
-    elements = stored(elements, "elements") if len(chosen) > 2 else elements
-    return merge([ignore(run(elements), ignore_rules, ignore_text) for run in chosen.values()])
+    many = len(chosen) > 2
+    elements = stored(elements, "elements") if many else elements
+    reports = (ignore(run(elements), ignore_rules, ignore_text) for run in chosen.values())
+    return merge([stored(report, "issues") if many else report for report in reports])
 
 
 def batch_summary(issues: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
