@@ -17,8 +17,9 @@ from proofloom.streaming import jobs as J
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a file stream. The path is a pattern, so a table that is one file and a folder of files are read alike."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _log_stream(spark, d):
