@@ -42,8 +42,9 @@ def _carry(df: DataFrame, keys, names, totals, carries) -> DataFrame:
     per_block = df.groupBy(*keys, *names).agg(*totals)
     before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     per_block = per_block.select(*keys, *names, *[c(before) for c in carries])
-    # Same hash keys as the window inside the block, so the big side moves once.
-    return df.join(per_block, [*keys, *names])
+    # Same hash keys as the window inside the block, so the big side moves once. With many short keys the small rows are as many as
+    # the keys, so they are never sent through the driver.
+    return df.join(per_block.hint("merge"), [*keys, *names])
 
 
 def running_sum(df: DataFrame, keys, order, blocks, **values: Column) -> DataFrame:
@@ -109,7 +110,7 @@ def following(df: DataFrame, keys, order, blocks, **values: Column) -> DataFrame
     per_block = per_block.select(
         *keys, *names, *[F.lead(f"__t_{out}").over(across).alias(f"__c_{out}") for out in values]
     )
-    work = work.join(per_block, [*keys, *names])
+    work = work.join(per_block.hint("merge"), [*keys, *names])
     inside = Window.partitionBy(*keys, *names).orderBy(*order)
     for out in values:
         work = work.withColumn(

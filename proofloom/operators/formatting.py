@@ -337,22 +337,33 @@ def _header(desc: Column) -> list[Column]:
 
 
 def rules_from_text(docs: DataFrame, column: str = "text") -> DataFrame:
-    """Requirement texts to rule rows (rule_text_id, slot, attr, value)."""
-    def read(t: Column) -> Column:
-        row = lambda slot, attr, value: F.struct(F.lit(slot).alias("slot"), F.lit(attr).alias("attr"), value.cast("string").alias("value"))
-        both = _found(t, R.MARGIN_BOTH_SIDES)
-        out = [row("page", "paper_size", F.when(F.contains(F.lower(t), F.lit("a4")), "A4").when(F.contains(t, F.lit("A3")), "A3").otherwise("A4"))]
+    """Requirement texts to rule rows (rule_text_id, slot, attr, value).
+
+    A table of short texts is a small file, so its rows are dealt to all cores first; that spread also serves the last grouping.
+    Phrases found in a text are bound once, however many entries are read from them.
+    """
+    row = lambda slot, attr, value: F.struct(F.lit(slot).alias("slot"), F.lit(attr).alias("attr"), value.cast("string").alias("value"))
+
+    def margins(t: Column, both: Column) -> Column:
+        out = []
         for name, pattern in R.MARGIN_TEXT.items():
             one = _found(t, pattern)
             out.append(row("page", f"margin_{name}_cm", (F.coalesce(both, one) if name in ("left", "right") else one).try_cast("double")))
-        for slot, patterns in R.STYLE_TEXT.items():
-            out += _described_style(slot, _found(t, *patterns))
-        times, exact, loose = (_found(t, p) for p in (R.LINE_SPACING_TIMES, R.LINE_SPACING_EXACT, R.LINE_SPACING_LOOSE))
-        value = F.coalesce(times, exact, loose).try_cast("double")
-        kind = F.when(times.isNull() & exact.isNotNull(), "exact").when(value == 1.5, "one_point_five").when(value.isNotNull(), "multiple")
-        out += [row("body", "line_spacing_type", kind), row("body", "line_spacing_value", value), *_header(_found(t, R.HEADER_TEXT))]
-        for slot, patterns in R.NUMBERING_TEXT.items():
-            out.append(row("numbering", slot, _found(t, *patterns)))
+        return F.array(*out)
+
+    def spacing(s: Column) -> Column:
+        value = F.coalesce(s["times"], s["exact"], s["loose"]).try_cast("double")
+        kind = F.when(s["times"].isNull() & s["exact"].isNotNull(), "exact").when(value == 1.5, "one_point_five").when(value.isNotNull(), "multiple")
+        return F.array(row("body", "line_spacing_type", kind), row("body", "line_spacing_value", value))
+
+    def read(t: Column) -> Column:
+        described = lambda slot, patterns: let(_found(t, *patterns), lambda d: F.when(d.isNotNull(), F.array(*_described_style(slot, d))))
+        times, exact, loose = (_found(t, p).alias(n) for n, p in (("times", R.LINE_SPACING_TIMES), ("exact", R.LINE_SPACING_EXACT), ("loose", R.LINE_SPACING_LOOSE)))
+        parts = [F.array(row("page", "paper_size", F.when(F.contains(F.lower(t), F.lit("a4")), "A4").when(F.contains(t, F.lit("A3")), "A3").otherwise("A4"))),
+                 let(_found(t, R.MARGIN_BOTH_SIDES), lambda both: margins(t, both))]
+        parts += [described(slot, patterns) for slot, patterns in R.STYLE_TEXT.items()]
+        parts += [let(F.struct(times, exact, loose), spacing), let(_found(t, R.HEADER_TEXT), lambda d: F.when(d.isNotNull(), F.array(*_header(d))))]
+        out = [row("numbering", slot, _found(t, *patterns)) for slot, patterns in R.NUMBERING_TEXT.items()]
         out += [row("xref", "enabled", F.when(F.contains(t, F.lit("引用")), "true")), row("xref", "figure_pattern", _found(t, R.FIGURE_NUMBER_TEXT)),
                 row("xref", "table_pattern", _found(t, R.TABLE_NUMBER_TEXT)),
                 row("special", "punctuation", F.when(F.contains(t, F.lit("中文输入")) | F.contains(t, F.lit("中文标点")), "必须使用中文输入格式")),
@@ -360,9 +371,10 @@ def rules_from_text(docs: DataFrame, column: str = "text") -> DataFrame:
                 row("special", "forbidden", _found(t, R.FORBIDDEN_TEXT))]
         for attr, v in (("font_name_cn", "宋体"), ("font_name_en", "Times New Roman"), ("font_size_pt", "12.0"), ("first_indent_chars", "2.0")):
             out.append(row("body_default", attr, F.lit(v)))
-        return F.filter(F.array(*out), lambda r: r["value"].isNotNull())
+        return F.filter(F.flatten(F.array_compact(F.array(*parts, F.array(*out)))), lambda r: r["value"].isNotNull())
 
-    rows = docs.select("rule_text_id", F.inline(let(F.col(column), read)))
+    dealt = docs.select("rule_text_id", column).repartition(4 * docs.sparkSession.sparkContext.defaultParallelism, "rule_text_id")
+    rows = dealt.select("rule_text_id", F.inline(let(F.col(column), read)))
     own = F.when(F.col("slot") == "body_default", "body").otherwise(F.col("slot"))
     ranked = rows.select("rule_text_id", own.alias("slot"), "attr", "value", (F.col("slot") == "body_default").alias("d"))
     return ranked.groupBy("rule_text_id", "slot", "attr").agg(F.min_by("value", "d").alias("value"))
@@ -415,4 +427,4 @@ def answer_key(lines: DataFrame) -> DataFrame:
 def answer_mismatches(answers: DataFrame, parsed: DataFrame) -> DataFrame:
     """Keys whose parsed value differs from the answer key."""
     p = parsed.select("template_id", "key", F.col("value").alias("parsed"))
-    return answers.join(p, ["template_id", "key"], "left").filter(~F.col("value").eqNullSafe(F.col("parsed")))
+    return answers.join(p.hint("merge"), ["template_id", "key"], "left").filter(~F.col("value").eqNullSafe(F.col("parsed")))

@@ -1,6 +1,10 @@
 """Plans and inputs that only matter at size."""
 
+from pyspark.sql import functions as F
+
 from proofloom import catalog
+from proofloom.functions.ordered import following, index_block, last_seen
+from proofloom.operators import formatting
 from proofloom.plans import qa
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +24,25 @@ def test_streams_read_tables_that_are_folders(spark, tmp_path):
     for name in ("L5_stream_doc_qa", "L6_stream_incremental_recheck"):
         one, many = (sorted(map(tuple, catalog.queries()[name](spark, d).collect())) for d in (SF, str(tmp_path)))
         assert one and one == many, name
+
+
+def planned(df):
+    """The physical plan before adaptive changes."""
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_small_rows_of_blocks_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(k // 3, k % 3, f"v{k}") for k in range(30)], "id long, n int, v string")
+    for df in (last_seen(rows, ["id"], ["n"], [index_block("n")], x=F.col("v")), following(rows, ["id"], ["n"], [index_block("n")], x=F.col("v"))):
+        assert "SortMergeJoin" in planned(df) and "Broadcast" not in planned(df)
+    answers = rows.select(F.col("id").alias("template_id"), F.col("v").alias("key"), F.col("v").alias("value"))
+    assert "Broadcast" not in planned(formatting.answer_mismatches(answers, answers.filter("value <> 'v1'")))
+    assert [r.key for r in formatting.answer_mismatches(answers, answers.filter("value <> 'v1'")).collect()] == ["v1"]
+
+
+def test_requirement_texts_of_one_file_are_dealt_to_all_cores(spark):
+    docs = spark.createDataFrame([(k, "正文：宋体，小四") for k in range(40)], "rule_text_id long, text string").coalesce(1)
+    rules = formatting.rules_from_text(docs)
+    plan = rules._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(rule_text_id") == plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+    assert rules.filter("slot = 'body' AND attr = 'font_size_pt' AND value = '12.0'").count() == 40
