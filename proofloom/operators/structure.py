@@ -42,8 +42,19 @@ def baseline(v: DataFrame) -> DataFrame:
         "doc_id", F.coalesce("body_size", F.lit(0.0)).alias("body_size"), F.coalesce("body_align", F.lit("")).alias("body_align"), "boundary")
 
 
-def _cls(role: str, confidence: float, reason) -> Column:
-    return F.struct(F.lit(role).alias("role"), F.lit(confidence).alias("confidence"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"))
+#: Role, confidence and reason of every class; elements carry its place in this list.
+_CLASSES: list[tuple[str, float, str]] = []
+
+
+def _cls(role: str, confidence: float, reason: str) -> Column:
+    """The number of a class. A reason that ends in ``style:`` is completed by the element's own style."""
+    if (role, confidence, reason) not in _CLASSES:
+        _CLASSES.append((role, confidence, reason))
+    return F.lit(_CLASSES.index((role, confidence, reason))).cast("tinyint")
+
+
+def _class_field(code: Column, field: int, kind: str) -> Column:
+    return F.get(F.array(*[F.lit(c[field]) for c in _CLASSES]).cast(f"array<{kind}>"), code.cast("int"))
 
 
 def _has_any(text: Column, words) -> Column:
@@ -86,13 +97,13 @@ def _marks(v: DataFrame) -> DataFrame:
         if in_ref:
             out = out.when(hint.isin("p", "li", "ref"), _cls("reference", 0.9, "in_reference_section"))
         return (
-            out.when(_has_any(style, R.REFERENCE_STYLE_WORDS), _cls("reference", 0.9, F.concat(F.lit("style:"), F.substring(style, 1, 20))))
+            out.when(_has_any(style, R.REFERENCE_STYLE_WORDS), _cls("reference", 0.9, "style:"))
             .when(F.col("ref_item"), _cls("reference", 0.8, "ref_item_pattern"))
             .when(_has_any(style, R.CAPTION_STYLE_WORDS), _cls("caption", 0.95, "style:caption"))
             .when(F.col("caption_line"), _cls("caption", 0.85, "caption_pattern"))
             .when(hint == "table", _cls("table", 0.95, "type:table"))
             .when(F.col("is_h") & F.col("section_name"), _cls("heading", 0.95, "section_name"))
-            .when(F.col("is_h"), _cls("heading", 0.9, F.concat(F.lit("style:"), hint)))
+            .when(hint == "h1", _cls("heading", 0.9, "style:h1")).when(hint == "h2", _cls("heading", 0.9, "style:h2")).when(hint == "h3", _cls("heading", 0.9, "style:h3"))
             .when(big, _cls("cover", 0.85, "cover_first_page_centered_large"))
             .when(inside & F.col("author") & (n <= 40) & flat & near, _cls("cover", 0.82, "cover_author_line"))
             .when(inside & (idx < 3) & center & (n <= 30) & flat, _cls("cover", 0.7, "cover_short_centered"))
@@ -103,8 +114,11 @@ def _marks(v: DataFrame) -> DataFrame:
 
     # cls[2 * in bibliography + after cover]
     classes = F.array(*[classify(r, c) for r in (False, True) for c in (False, True)])
-    return v.select("doc_id", "idx", "text", "hint", "filled", "is_h", "toc_heading", "ref_heading", toc_entry.alias("toc_entry"),
-                    goes_on.alias("goes_on"), classes.alias("cls"))
+    # what a role would say of the text is read here, so that neither text nor style goes through the blocks
+    level = heading_level(F.lit("heading"), hint, t)
+    return v.select("doc_id", "idx", "filled", "is_h", "toc_heading", "ref_heading", toc_entry.alias("toc_entry"), goes_on.alias("goes_on"),
+                    classes.alias("cls"), level.cast("tinyint").alias("level"), named_section(t).alias("named"),
+                    F.when(_has_any(style, R.REFERENCE_STYLE_WORDS), F.substring(style, 1, 20)).alias("own_style"))
 
 
 #: Elements per block of the state fold.
@@ -153,9 +167,11 @@ def classify(elements: DataFrame) -> DataFrame:
     """
     v = stored(views(elements), "views")
     marks = _marks(v.join(baseline(v), "doc_id"))
-    each = F.struct("idx", "text", "hint", "filled", "is_h", "toc_heading", "ref_heading", "toc_entry", "goes_on", "cls",
-                    F.transform("cls", lambda c: c["role"] == "heading").alias("headings"), F.transform("cls", lambda c: c["role"] == "cover").alias("covers"))
+    is_role = lambda x, role: F.transform(x["cls"], lambda c: c.isin([i for i, k in enumerate(_CLASSES) if k[0] == role]))
+    each = F.struct("idx", "filled", "is_h", "toc_heading", "ref_heading", "toc_entry", "goes_on", "cls", "level", "named", "own_style")
+    told = lambda x: x.withField("headings", is_role(x, "heading")).withField("covers", is_role(x, "cover"))
     blocks = stored(marks.groupBy("doc_id", index_block("idx", BLOCK).alias("block")).agg(F.sort_array(F.collect_list(each)).alias("xs")), "blocks")
+    blocks = blocks.withColumn("xs", F.transform("xs", told))
     exits = F.array(*[_exit(F.col("xs"), _state(F.lit(t), F.lit(r))) for r in (False, True) for t in (False, True)])
     place = lambda s: F.when(s["t"], 1).otherwise(0) + F.when(s["r"], 2).otherwise(0)
     each_block = F.struct("block", F.transform(exits, place).alias("to"))
@@ -168,7 +184,7 @@ def classify(elements: DataFrame) -> DataFrame:
     entry = let(F.coalesce("entry", F.lit(0)), lambda e: _state(e % 2 == 1, e >= 2))
     rows = entered.select("doc_id", F.inline(F.arrays_zip("xs", _outcomes(F.col("xs"), entry).alias("k")))).select("doc_id", "xs.*", "k")
     result = F.when(F.col("k") == _COVER, _cls("cover", 0.78, "cover_continuation")).when(F.col("k") == _TOC, _cls("toc", 0.88, "in_toc_section")).otherwise(F.get("cls", F.col("k")))
-    return _described(rows.select("doc_id", "idx", "text", "hint", result.alias("result")))
+    return _described(rows.select("doc_id", "idx", "filled", "level", "named", "own_style", result.alias("code")))
 
 
 def heading_level(role: Column, hint: Column, text: Column) -> Column:
@@ -178,24 +194,31 @@ def heading_level(role: Column, hint: Column, text: Column) -> Column:
                   .when(top, 1).when(F.length(decimal) > 0, F.length(decimal) - F.length(F.replace(decimal, F.lit("."), F.lit(""))) + 2))
 
 
-def section_kind(role: Column, level: Column, text: Column) -> Column:
+def named_section(text: Column) -> Column:
+    """The section a heading text opens by its own wording, whatever its role."""
     compact = F.regexp_replace(F.lower(text), r"(?U)\s+", "")
-    return F.when(F.length(text) > 0, (
+    return (F.when(compact.isin("目录", "contents", "tableofcontents"), "toc_heading").when(compact == "摘要", "abstract_heading_zh")
+            .when(compact == "abstract", "abstract_heading_en").when(compact.isin("参考文献", "references", "reference", "bibliography"), "references_heading")
+            .when(text.rlike(R.KEYWORDS_LINE), "keywords"))
+
+
+def section_kind(role: Column, level: Column, filled: Column, named: Column) -> Column:
+    return F.when(filled, (
         F.when(role == "toc", "toc_entry").when(role == "reference", "reference_item").when(role == "caption", "caption").when(role == "cover", "cover")
-        .when(compact.isin("目录", "contents", "tableofcontents"), "toc_heading").when(compact == "摘要", "abstract_heading_zh")
-        .when(compact == "abstract", "abstract_heading_en").when(compact.isin("参考文献", "references", "reference", "bibliography"), "references_heading")
-        .when(text.rlike(R.KEYWORDS_LINE), "keywords")
-        .when(role == "heading", F.coalesce(F.concat(F.lit("heading_"), level.cast("string")), F.lit("heading")))))
+        .when(named.isNotNull(), named).when(role == "heading", F.coalesce(F.concat(F.lit("heading_"), level.cast("string")), F.lit("heading")))))
 
 
 def _described(rows: DataFrame) -> DataFrame:
-    role, confidence = F.col("result.role"), F.col("result.confidence")
+    code = F.col("code")
+    rows = rows.withColumns({"role": _class_field(code, 0, "string"), "confidence": _class_field(code, 1, "double"), "reason": _class_field(code, 2, "string")})
+    role, confidence = F.col("role"), F.col("confidence")
     out = rows.select(
-        "doc_id", F.col("idx").alias("element_index"), "text", role.alias("role"), confidence.alias("confidence"), F.col("result.reason").alias("reason"),
+        "doc_id", F.col("idx").alias("element_index"), "role", "confidence",
+        F.when(F.col("reason") == "style:", F.concat("reason", "own_style")).otherwise(F.col("reason")).alias("reason"),
         (role.isin("cover", "toc", "reference", "caption", "table") & (confidence >= R.FORMAT_EXCLUDE_CONFIDENCE)).alias("exclude_from_format_body"),
         (role.isin("cover", "toc") & (confidence >= R.XREF_EXCLUDE_CONFIDENCE)).alias("exclude_from_xref_targets"),
-        heading_level(role, F.col("hint"), F.col("text")).alias("heading_level"))
-    return out.withColumn("section_kind", section_kind(F.col("role"), F.col("heading_level"), F.col("text"))).drop("text")
+        F.when(role == "heading", F.col("level").cast("int")).alias("heading_level"), "filled", "named")
+    return out.withColumn("section_kind", section_kind(F.col("role"), F.col("heading_level"), F.col("filled"), F.col("named"))).drop("filled", "named")
 
 
 def with_structure(elements: DataFrame, roles: DataFrame) -> DataFrame:

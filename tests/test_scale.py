@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from proofloom import catalog
 from proofloom.functions.ordered import following, index_block, last_seen
-from proofloom.operators import formatting
+from proofloom.operators import formatting, structure
 from proofloom.plans import qa
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +46,12 @@ def test_requirement_texts_of_one_file_are_dealt_to_all_cores(spark):
     plan = rules._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(rule_text_id") == plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
     assert rules.filter("slot = 'body' AND attr = 'font_size_pt' AND value = '12.0'").count() == 40
+
+
+def test_structure_blocks_hold_no_text(spark, elements):
+    roles = structure.classify(elements((1, "heading", "第一章 绪论"), (1, "paragraph", "关键词：海洋"), (2, "heading", "参考文献"), (2, "paragraph", "[1] 张三")))
+    folders = {f.rsplit("/", 1)[0] for f in roles.inputFiles()}
+    fields = " ".join(spark.read.parquet(f).schema.simpleString() for f in folders if "/blocks-" in f)
+    assert "cls" in fields and not any(f"{name}:" in fields for name in ("text", "hint", "reason", "confidence"))
+    assert [(r.role, r.section_kind) for r in roles.orderBy("doc_id", "element_index").collect()] == [
+        ("heading", "heading_1"), ("body", "keywords"), ("heading", "references_heading"), ("reference", "reference_item")]
