@@ -6,6 +6,7 @@ from proofloom import catalog
 from proofloom.functions.ordered import following, index_block, last_seen
 from proofloom.operators import formatting, structure
 from proofloom.plans import qa
+from proofloom.sources import lexicon
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,3 +56,12 @@ def test_structure_blocks_hold_no_text(spark, elements):
     assert "cls" in fields and not any(f"{name}:" in fields for name in ("text", "hint", "reason", "confidence"))
     assert [(r.role, r.section_kind) for r in roles.orderBy("doc_id", "element_index").collect()] == [
         ("heading", "heading_1"), ("body", "keywords"), ("heading", "references_heading"), ("reference", "reference_item")]
+
+
+def test_pieces_of_text_are_not_moved_to_a_small_lexicon(spark, elements, monkeypatch):
+    docs, words = elements((1, "paragraph", "请登录帐号，做为基础")), lexicon.builtin_lexicon(spark)
+    hits = lexicon.typo_hits(docs, words)
+    assert "strategy=broadcast" in hits._jdf.queryExecution().analyzed().toString() and {"帐号", "做为"} <= {r.wrong for r in hits.collect()}
+    monkeypatch.setattr(lexicon, "SENT_WORDS", 1)
+    moved = lexicon.typo_hits(docs, words)
+    assert "broadcast" not in moved._jdf.queryExecution().analyzed().toString() and sorted(moved.collect()) == sorted(hits.collect())
