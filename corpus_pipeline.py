@@ -24,7 +24,7 @@ def boilerplate_lines_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a Jaccard similarity of 0.8 on five-word shingles the document with the smallest id stays."""
+    """Of each group linked by a Jaccard similarity of 0.8 on five-word shingles, found by SimHash and minima, the document with the smallest id stays."""
     return simhash.keep_one(docs, shingle=5, similarity=0.8).select(*COLUMNS)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 from math import comb, log2
 
@@ -40,15 +40,20 @@ def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
         yield np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first[k:k + STEP], last[k:k + STEP])], "<u8")
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """SimHash of a text in UTF-8: bit set if set in over half the hashed word shingles; no words: 0."""
+def simhash(steps: Iterable[np.ndarray]) -> int:
+    """Signed 64 bits: a bit is set if set in over half of all hashes; no hashes: 0."""
     ones, n = np.zeros(BITS, np.int64), 0
-    for hashes in shingle_hashes(text, shingle):
+    for hashes in steps:
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(hashes)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: bytes, shingle: int = 4) -> int:
+    """SimHash of a text in UTF-8: bit set if set in over half the hashed word shingles; no words: 0."""
+    return simhash(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """``doc_id``, ``key`` (hash of the text) and ``fp`` (signed 64 bits) of every row; a null text has no words. Other columns are not read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,15 +157,16 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def band_keys(grams: np.ndarray) -> list[int]:
+def band_keys(grams: np.ndarray, bands: int = BANDS) -> list[int]:
     """One key per band of minima; none for an empty set."""
-    if not len(grams):
+    if not len(grams) or not bands:
         return []
-    least = np.full(len(MIX), 2**64 - 1, np.uint64)
+    mix = MIX[:bands * DEPTH]
+    least = np.full(len(mix), 2**64 - 1, np.uint64)
     for k in range(0, len(grams), 4096):
-        mixed = grams[k:k + 4096, None] * MIX
+        mixed = grams[k:k + 4096, None] * mix
         least = np.minimum(least, (mixed ^ mixed >> np.uint64(32)).min(axis=0))
-    return [xxh64_intdigest(least[k * DEPTH:(k + 1) * DEPTH].tobytes(), k) for k in range(BANDS)]
+    return [xxh64_intdigest(least[k * DEPTH:(k + 1) * DEPTH].tobytes(), k) for k in range(bands)]
 
 
 def similar_forest(rest: list[np.ndarray], others: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
@@ -181,13 +187,15 @@ def similar_forest(rest: list[np.ndarray], others: list[np.ndarray], similarity:
             root[np.isin(root, found)] = found[0]
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 4,
+            bands: int = BANDS) -> DataFrame:
     """``doc_id``, ``key``, ``root`` of every row: rows are linked if their sets of word shingles have at least this Jaccard similarity.
 
-    Sets that share a band of minima are candidates, and every link is verified on the whole sets; texts and sets of other rows
-    are not shuffled. Pairs of up to COLD sets of a band are compared directly. In a larger one each set is compared with one
-    centre; only sets that are not similar to it are compared with all of the band, in pieces of CHUNK, so a large group of near
-    copies costs one comparison per set and band.
+    Candidates are sets whose SimHashes differ in at most ``bits`` bits, met in pigeonhole blocks, and, as a bound on bits that
+    blocks can serve is too narrow for 0.8, sets that share one of ``bands`` bands of minima. Every link is verified on the whole
+    sets; texts and sets of other rows are not shuffled. Pairs of up to COLD sets of a block or band are compared directly. In a
+    larger one each set is compared with one centre; only sets that are not similar to it are compared with all of the block, in
+    pieces of CHUNK, so a large group of near copies costs one comparison per set and block.
     """
     text = column(docs, text_col)
     slim = docs.select(column(docs, id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
@@ -195,26 +203,34 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids, bands = [], []
+            sids, fps, minima = [], [], []
             for x in batch.column(2):
                 grams = shingle_set(x.as_py() or b"", shingle)
                 sids.append(xxh64_intdigest(grams.tobytes(), SEED))
-                bands.append(signed(band_keys(grams)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signed(sids), pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "sid", "bands"])
-
-    base = stored(slim.mapInArrow(keys, "doc_id long, key long, sid long, bands array<long>"), "bands")
-    sets = base.groupBy("sid").agg(F.min(F.struct("doc_id", "key", "bands")).alias("one"))
-    each = stored(sets.select("sid", F.posexplode("one.bands").alias("c", "band")), "each")
+                fps.append(simhash(grams[k:k + STEP] for k in range(0, len(grams), STEP)) if len(grams) else None)
+                minima.append(signed(band_keys(grams, bands)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signed(sids), pa.int64()), pa.array(fps, pa.int64()),
+                                              pa.array(minima, pa.list_(pa.int64()))], ["doc_id", "key", "sid", "fp", "bands"])
+
+    base = stored(slim.mapInArrow(keys, "doc_id long, key long, sid long, fp long, bands array<long>"), "bands")
+    sets = stored(base.groupBy("sid").agg(F.min(F.struct("doc_id", "key", "fp", "bands")).alias("one")).where("one.fp IS NOT NULL")
+                  .select("sid", "one.fp", "one.bands"), "sets")
+    # places from ``bands`` on are pigeonhole blocks of the fingerprint
+    blocked = F.concat("bands", F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in block_masks(bits, sets.count())]))
+    each = stored(sets.select("sid", "fp", F.posexplode(blocked).alias("c", "band")), "each")
     shared = each.groupBy("c", "band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("sid", "c").alias("h"), "sid")).alias("centre")).where("n > 1")
     blocks = stored(each.join(shared.select("c", "band", "n", F.col("centre.sid").alias("centre")), ["c", "band"]), "blocks")
     cold = blocks.where(F.col("n") <= COLD)
-    pairs = (cold.select("c", "band", F.col("sid").alias("a")).join(cold.select("c", "band", F.col("sid").alias("b")), ["c", "band"])
-             .where("a < b").select("a", "b").distinct())
+    close = (F.col("c") < bands) | (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= bits)
+    pairs = (cold.select("c", "band", F.col("sid").alias("a"), F.col("fp").alias("fa"))
+             .join(cold.select("c", "band", F.col("sid").alias("b"), F.col("fp").alias("fb")), ["c", "band"])
+             .where((F.col("a") < F.col("b")) & close).select("a", "b").distinct())
     hot = blocks.where((F.col("n") > COLD) & (F.col("sid") != F.col("centre"))).select(F.col("sid").alias("a"), F.col("centre").alias("b")).distinct()
     pairs = stored(pairs.unionAll(hot), "pairs")
 
     # the whole sets of the candidates only, each read from one row that has it
-    wanted = base.groupBy("sid").agg(F.min(F.struct("doc_id", "key")).alias("one")).join(blocks.select("sid").distinct(), "sid")
+    needed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    wanted = base.groupBy("sid").agg(F.min(F.struct("doc_id", "key")).alias("one")).join(needed, "sid")
     wanted = stored(wanted.select("sid", F.col("one.doc_id").alias("__id"), F.col("one.key").alias("__key")), "wanted")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,8 +272,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **kwargs) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id stays, columns unchanged.
 
-    Rows are linked by SimHash, or, if ``similarity`` is given, by the Jaccard similarity of their shingles. A null id comes
-    after all others. Rows that repeat both id and text count as one row and stay once.
+    Rows are linked by SimHash, or, if ``similarity`` is given, by SimHash and bands of minima, verified by the Jaccard similarity
+    of their shingles. A null id comes after all others. Rows that repeat both id and text count as one row and stay once.
     """
     found = near_duplicates(docs, id_col, text_col, **kwargs) if similarity is None else similar(docs, id_col, text_col, similarity=similarity, **kwargs)
     found = stored(found, "near")

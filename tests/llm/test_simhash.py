@@ -133,3 +133,27 @@ def test_similar_texts_equal_all_pairs(spark, monkeypatch, cold, chunk):
 
 def test_similar_texts_of_an_empty_table(spark):
     assert simhash.keep_one(spark.createDataFrame([], "doc_id long, text string"), shingle=5, similarity=0.8).count() == 0
+
+
+def test_simhash_blocks_link_similar_texts_without_minima(spark):
+    """With no bands of minima the pigeonhole blocks alone find every similar pair within the bits."""
+    rng = random.Random(11)
+    base = [text_of(rng, 150) for _ in range(12)]
+    rows = []
+    for text in base:
+        for cut in (0, 1, 2, 8, 40):
+            words = text.split()
+            for k in rng.sample(range(len(words)), cut):
+                words[k] = "x"
+            rows.append(" ".join(words))
+    rows += ["", " ", "a b"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    sets = [simhash.shingle_set(t.encode(), 5) for t in rows]
+    fps = [simhash.simhash([s]) % 2**64 for s in sets]
+    alike = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+    near = lambda a, b: alike(a, b) and (fps[a] ^ fps[b]).bit_count() <= 4
+    ids = dict.fromkeys(range(len(rows)))
+    best = closed({i: i for i in ids}, near)
+    found = {r.doc_id: r.root for r in simhash.similar(df, bands=0).collect()}
+    groups = lambda of: {frozenset(i for i in ids if of[i] == of[k]) for k in ids}
+    assert groups(found) == groups(best) and len(set(best.values())) < len(rows) - 5
