@@ -65,3 +65,24 @@ def test_pieces_of_text_are_not_moved_to_a_small_lexicon(spark, elements, monkey
     monkeypatch.setattr(lexicon, "SENT_WORDS", 1)
     moved = lexicon.typo_hits(docs, words)
     assert "broadcast" not in moved._jdf.queryExecution().analyzed().toString() and sorted(moved.collect()) == sorted(hits.collect())
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_elements_without_forms_leave_before_the_functions_of_arrays(spark, elements):
+    """The first filter on an element's text is a plain one, and it loses no hit."""
+    from proofloom.operators import consistency as C
+
+    df = elements((1, "paragraph", "长5 km，宽3 千米"), (1, "paragraph", "没有"), (1, "paragraph", "APP 和 app"), (1, "paragraph", ""))
+    for rules in (C.unit_rules(), C.term_rules()):
+        plan = _plan(C.alias_hits(df, rules))
+        assert any(line.lstrip(" +-:").startswith("Filter") and "Contains(" in line for line in plan.split("\n"))
+        hits = {(r.element_index, r.form) for r in C.alias_hits(df, rules).collect()}
+        for standard, form, regex, exact in rules:
+            text = C.F.col("content") if exact else C.F.lower("content")
+            plain = df.filter(C.F.contains(text, C.F.lit(form if exact else form.lower())) & (C.F.col("content").rlike(regex) if regex else C.F.lit(True)))
+            if form in ("km", "千米", "APP", "没有", "m"):
+                assert {(r.element_index, form) for r in plain.collect()} == {h for h in hits if h[1] == form}
+        assert all(i in (0, 2) or f in df.collect()[1].content for i, f in hits)
