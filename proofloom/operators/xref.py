@@ -6,6 +6,8 @@ Targets and points are two tables per corpus; matching is a join on
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,10 @@ _PREFIX = {"figure": "_fig_", "table": "_tbl_", "equation": "_eq_", "chapter": "
 def _target_kind(t: Column, kind: Column) -> Column:
     """Which target rule an element fits: first rule wins, ``figure2`` has a two-part number."""
     body = kind.isin("caption", "paragraph")
-    fits = lambda name, i: t.rlike(R.TARGET_PATTERNS[name][i])
+    # a regex reads the text anew, so a plain look at the text goes first
+    marks = {"figure": F.startswith(t, F.lit("图")), "table": F.startswith(t, F.lit("表")), "equation": F.contains(t, F.lit("(")) | F.contains(t, F.lit("（")),
+             "chapter": F.lit(True), "reference": F.contains(t, F.lit("["))}
+    fits = lambda name, i: marks[name] & t.rlike(R.TARGET_PATTERNS[name][i])
     return (
         F.when((kind == "heading") & fits("chapter", 0), "chapter1")
         .when((kind == "heading") & fits("chapter", 1), "chapter2")
@@ -117,7 +122,7 @@ def _events(elements: DataFrame) -> DataFrame:
     rows = without_excluded(elements).filter(F.length("content") > 0)
 
     def entry(text: Column) -> Column:
-        written = text.rlike(regex)
+        written = F.contains(text, F.lit("[")) & text.rlike(regex)
         return F.when(F.length(text) > 0, F.struct(
             F.when(written, plain_number(F.regexp_extract(text, regex, 1))).alias("number"),
             F.substring(F.when(written, strip(F.regexp_extract(text, regex, 2))).otherwise(text), 1, 120).alias("title")))
@@ -162,13 +167,15 @@ def points(elements: DataFrame, exclude_self: bool = False) -> DataFrame:
             return F.struct(s["start"].alias("start_pos"), s["end"].alias("end_pos"), F.lit(no).alias("pattern_no"),
                             F.lit(kind).alias("target_type"), s["hit"].alias("hit"), numbers.alias("numbers"))
 
-        return F.transform(spans(F.col("content"), regex), one)
+        return F.transform(spans(F.col("content"), regex, R.POINT_MARKS[no]), one)
 
     found = F.flatten(F.array(*[hits(i, kind, rx) for i, (kind, rx) in enumerate(R.POINT_PATTERNS)]))
     found = F.array_sort(F.filter(found, lambda h: F.size(h["numbers"]) > 0))
     same_span = lambda a, b: (a["start_pos"] == b["start_pos"]) & (a["end_pos"] == b["end_pos"])
     found = let(found, lambda hs: F.filter(hs, lambda h, i: (i == 0) | ~same_span(h, hs[F.greatest(i - 1, F.lit(0))])))
-    rows = elements.filter((F.length("content") > 0) & ~F.col("element_type").isin("heading", "reference"))
+    # compiled, unlike the functions of arrays below: most elements hold no character that a reference needs
+    marked = reduce(lambda a, b: a | b, [F.contains("content", F.lit(m)) for m in ("图", "表", "(", "（", "式", "章", "节", "[")])
+    rows = elements.filter(marked & ~F.col("element_type").isin("heading", "reference"))
     rows = rows.select("doc_id", "element_index", F.explode(found).alias("h"))
     rows = rows.select("doc_id", "element_index", "h.*").select(
         "doc_id", "element_index", "start_pos", "end_pos", "pattern_no", "target_type", "hit",

@@ -83,3 +83,14 @@ def test_a_local_folder_only_in_one_process(spark, monkeypatch):
     monkeypatch.setattr(session, "is_local", lambda spark: False)
     with pytest.raises(ValueError):
         session.stored(spark.range(3), "x")
+
+
+def test_strip_trims_what_the_white_space_class_matches(spark):
+    from pyspark.sql import functions as F
+
+    from proofloom.functions.spans import strip
+
+    chars = spark.createDataFrame([(i, chr(i)) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000], "id int, c string")
+    rows = chars.select("id", F.concat("c", F.lit(" a"), "c", F.lit("b\t"), "c").alias("t"))
+    old = F.regexp_replace("t", r"(?U)^\s+|\s+\z", "")
+    assert rows.filter(strip(F.col("t")) != old).count() == 0 and rows.filter(F.length(old) == 3).count() > 20

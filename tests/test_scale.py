@@ -86,3 +86,14 @@ def test_elements_without_forms_leave_before_the_functions_of_arrays(spark, elem
             if form in ("km", "千米", "APP", "没有", "m"):
                 assert {(r.element_index, form) for r in plain.collect()} == {h for h in hits if h[1] == form}
         assert all(i in (0, 2) or f in df.collect()[1].content for i, f in hits)
+
+
+def test_elements_without_a_mark_leave_before_references_are_read(spark, elements):
+    from proofloom.operators import xref as X
+    from proofloom.rules import fixed as R
+
+    assert len(R.POINT_MARKS) == len(R.POINT_PATTERNS) and all(m in regex for m, (_, regex) in zip(R.POINT_MARKS, R.POINT_PATTERNS))
+    lines = ["见图 1-2", "附图 3", "表2", "（1-2）与(3.4 )", "式 1.2", "公式3-4", "第二章", "3.1 节", "[1, 2]", "没有"]
+    found = X.points(elements(*[(1, "paragraph", t) for t in lines])).collect()
+    assert {r.element_index for r in found} == set(range(len(lines))) - {1, 9}
+    assert sorted(r.number for r in found if r.element_index == 3) == ["1-2", "3-4"]
