@@ -12,6 +12,7 @@ from proofloom.functions.ordered import following, index_block, previous
 from proofloom.functions.spans import clip, let, spans
 from proofloom.operators.issues import issue_rows
 from proofloom.rules import fixed as R
+from proofloom.session import stored
 
 
 def _with_text(elements: DataFrame) -> DataFrame:
@@ -171,6 +172,7 @@ def alias_hits(elements: DataFrame, rules: list[tuple[str, str, str, bool]]) ->
 
 
 def _one_form(hits: DataFrame, rule: str) -> DataFrame:
+    hits = stored(hits, "hits")  # read twice, made once
     forms = hits.select("doc_id", "standard", "form").distinct().groupBy("doc_id", "standard").agg(
         F.array_join(F.sort_array(F.collect_list("form")), ", ").alias("forms"), F.count("*").alias("n")).filter("n > 1")
     odd = hits.filter(F.col("form") != F.col("standard")).join(forms, ["doc_id", "standard"])

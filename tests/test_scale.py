@@ -97,3 +97,10 @@ def test_elements_without_a_mark_leave_before_references_are_read(spark, element
     found = X.points(elements(*[(1, "paragraph", t) for t in lines])).collect()
     assert {r.element_index for r in found} == set(range(len(lines))) - {1, 9}
     assert sorted(r.number for r in found if r.element_index == 3) == ["1-2", "3-4"]
+
+
+def test_alias_hits_are_made_once(spark, elements):
+    from proofloom.operators import consistency as C
+
+    issues = C.unit_alias(elements((1, "paragraph", "长5 km，宽3 千米")))
+    assert "Generate" not in _plan(issues.select("doc_id", "location_text")) and issues.count() == 1
