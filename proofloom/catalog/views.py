@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofloom.functions.ordered import numbered
+from proofloom.functions.ordered import numbered, parts_for
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,8 @@ _BASE = """
   l_linenumber AS ln, l_extendedprice AS px, CAST(l_quantity AS INT) AS q, year(l_shipdate) AS y, month(l_shipdate) AS m,
   day(l_shipdate) AS d, CAST((l_partkey + l_suppkey + l_linenumber) % 30 AS INT) AS k
 """
+# What follows from other columns is not moved: the same values as in _BASE, from the columns there.
+_LATER = {"y": "year(ship)", "m": "month(ship)", "d": "day(ship)", "k": "CAST((pk + sk + ln) % 30 AS INT)"}
 # The first elements of even documents form a cover page and a table of contents.
 _COVER = "doc_id % 2 = 0 AND element_index < 5"
 _FINAL = {
@@ -90,12 +92,14 @@ _FINAL = {
 
 def zh_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chinese elements with style attributes as plain columns."""
-    base = table(spark, sf_dir, "lineitem").selectExpr(*[c.strip() for c in _split(_BASE)])
+    lines = table(spark, sf_dir, "lineitem")
+    columns = {c.rsplit(" AS ", 1)[1]: c.strip() for c in _split(_BASE.strip())}
+    base = lines.selectExpr(*[c for n, c in columns.items() if n not in _LATER], "CAST(l_shipdate AS DATE) AS ship")
     order = ["ok", "pk", "sk", "ln", "px"]
-    blocks = [F.col("ok"), F.floor(F.col("pk") / F.lit(65536))]
-    df = numbered(base, ["doc_id"], order, blocks, "element_index")
-    # Numbering moves only small columns; the wording is built above it, behind a
+    blocks = [F.floor(F.col("ok") / F.lit(4)), F.floor(F.col("pk") / F.lit(65536))]
+    # Numbering moves only small columns, dealt to as many tasks as the rows need; the wording is built above it, behind a
     # generator so that rules on the text are not copied into the CASE below.
+    df = numbered(base, ["doc_id"], order, blocks, "element_index", parts=parts_for(lines)).selectExpr("*", *[f"{e} AS {n}" for n, e in _LATER.items()])
     line = F.struct(F.expr(_TYPE).alias("t"), F.expr(_LEVEL).alias("lv"), F.expr(_TEXT).alias("c"))
     df = df.select("*", F.inline(F.array(line)))
     return df.selectExpr(

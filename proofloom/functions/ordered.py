@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from proofloom.session import stored
 
 BLOCK = 8192
+#: Rows that one task sorts where the number of tasks follows the input.
+TASK_ROWS = 250_000
 
 
 def index_block(column: str = "element_index", size: int = BLOCK) -> Column:
@@ -38,17 +40,29 @@ def _blocked(df: DataFrame, keys, blocks):
     return df, names
 
 
-def _carry(df: DataFrame, keys, names, totals, carries) -> DataFrame:
+def _dealt(df: DataFrame, parts: int, *by) -> DataFrame:
+    return df.repartition(parts, *by) if parts else df
+
+
+def parts_for(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """Tasks that take about ``rows`` rows each, or 0 if a shuffle of the session has as many. ``df`` is a table as read: its rows are
+    counted by the footers of its files."""
+    parts = -(-df.count() // rows)
+    return parts if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0
+
+
+def _carry(df: DataFrame, inside: DataFrame, keys, names, totals, carries, parts: int = 0) -> DataFrame:
+    """``inside`` (the rows of ``df`` with their windows inside the block) with what the blocks before carry in."""
     per_block = df.groupBy(*keys, *names).agg(*totals)
     before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    per_block = per_block.select(*keys, *names, *[c(before) for c in carries])
-    # Same hash keys as the window inside the block, so the big side moves once. With many short keys the small rows are as many as
-    # the keys, so they are never sent through the driver.
-    return df.join(per_block.hint("merge"), [*keys, *names])
+    per_block = _dealt(per_block.select(*keys, *names, *[c(before) for c in carries]), parts, *keys, *names)
+    # Same hash keys as the window inside the block, so the big side moves once, and its order serves the join, so it is sorted once. With
+    # many short keys the small rows are as many as the keys, so they are never sent through the driver.
+    return inside.join(per_block.hint("merge"), [*keys, *names])
 
 
-def running_sum(df: DataFrame, keys, order, blocks, **values: Column) -> DataFrame:
-    """Add running totals (current row included), one column per ``values`` item."""
+def running_sum(df: DataFrame, keys, order, blocks, parts: int = 0, **values: Column) -> DataFrame:
+    """Add running totals (current row included), one column per ``values`` item. ``parts``: tasks to deal the rows to, 0 for the session's."""
     keys = list(keys)
     work, names = _blocked(df, keys, blocks)
     for out, expr in values.items():
@@ -57,13 +71,10 @@ def running_sum(df: DataFrame, keys, order, blocks, **values: Column) -> DataFra
         (lambda w, o=out: F.sum(f"__t_{o}").over(w).alias(f"__c_{o}")) for out in values
     ]
     totals = [F.sum(f"__v_{out}").alias(f"__t_{out}") for out in values]
-    work = _carry(work, keys, names, totals, carries)
-    inside = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    for out in values:
-        work = work.withColumn(
-            out, F.coalesce(F.col(f"__c_{out}"), F.lit(0)) + F.sum(f"__v_{out}").over(inside)
-        )
-    return work.select(*df.columns, *values)
+    window = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = _dealt(work, parts, *keys, *names).select("*", *[F.sum(f"__v_{out}").over(window).alias(f"__i_{out}") for out in values])
+    work = _carry(work, inside, keys, names, totals, carries, parts)
+    return work.select(*df.columns, *[(F.coalesce(F.col(f"__c_{out}"), F.lit(0)) + F.col(f"__i_{out}")).alias(out) for out in values])
 
 
 def last_seen(df: DataFrame, keys, order, blocks, include_current: bool = True, **values: Column) -> DataFrame:
@@ -80,14 +91,11 @@ def last_seen(df: DataFrame, keys, order, blocks, include_current: bool = True,
     carries = [
         (lambda w, o=out: F.last(f"__t_{o}", ignorenulls=True).over(w).alias(f"__c_{o}")) for out in values
     ]
-    work = _carry(work, keys, names, totals, carries)
     end = 0 if include_current else -1
-    inside = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    for out in values:
-        work = work.withColumn(
-            out, F.coalesce(F.last(f"__v_{out}", ignorenulls=True).over(inside), F.col(f"__c_{out}"))
-        )
-    return work.select(*df.columns, *values)
+    window = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    inside = work.select("*", *[F.last(f"__v_{out}", ignorenulls=True).over(window).alias(f"__i_{out}") for out in values])
+    work = _carry(work, inside, keys, names, totals, carries)
+    return work.select(*df.columns, *[F.coalesce(f"__i_{out}", f"__c_{out}").alias(out) for out in values])
 
 
 def previous(df: DataFrame, keys, order, blocks, **values: Column) -> DataFrame:
@@ -110,18 +118,15 @@ def following(df: DataFrame, keys, order, blocks, **values: Column) -> DataFrame
     per_block = per_block.select(
         *keys, *names, *[F.lead(f"__t_{out}").over(across).alias(f"__c_{out}") for out in values]
     )
-    work = work.join(per_block.hint("merge"), [*keys, *names])
-    inside = Window.partitionBy(*keys, *names).orderBy(*order)
-    for out in values:
-        work = work.withColumn(
-            out, F.coalesce(F.lead(f"__v_{out}").over(inside), F.col(f"__c_{out}"))["v"]
-        )
-    return work.select(*df.columns, *values)
+    window = Window.partitionBy(*keys, *names).orderBy(*order)
+    inside = work.select("*", *[F.lead(f"__v_{out}").over(window).alias(f"__i_{out}") for out in values])
+    work = inside.join(per_block.hint("merge"), [*keys, *names])
+    return work.select(*df.columns, *[F.coalesce(f"__i_{out}", f"__c_{out}")["v"].alias(out) for out in values])
 
 
-def numbered(df: DataFrame, keys, order, blocks, name: str, start: int = 0) -> DataFrame:
+def numbered(df: DataFrame, keys, order, blocks, name: str, start: int = 0, parts: int = 0) -> DataFrame:
     """Dense position of each row within its key, counted from ``start``."""
-    out = running_sum(df, keys, order, blocks, **{name: F.lit(1)})
+    out = running_sum(df, keys, order, blocks, parts, **{name: F.lit(1)})
     return out.withColumn(name, (F.col(name) - 1 + start).cast("int"))
 
 

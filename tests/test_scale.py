@@ -41,6 +41,30 @@ def test_small_rows_of_blocks_are_not_broadcast(spark):
     assert [r.key for r in formatting.answer_mismatches(answers, answers.filter("value <> 'v1'")).collect()] == ["v1"]
 
 
+def test_tasks_of_numbered_rows_follow_the_rows(spark, tmp_path):
+    from proofloom.catalog import views
+    from proofloom.functions import ordered
+
+    rows = spark.range(1000).select((F.col("id") % 3).alias("doc"), F.col("id").alias("n"))
+    df = ordered.numbered(rows, ["doc"], ["n"], [F.floor(F.col("n") / 100)], "at", parts=37)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 37), REPARTITION_BY_NUM") == 2  # the rows and what the blocks carry
+    assert plan.count("Sort [") == 3  # the rows once, what is carried for its window and for the join
+    assert all(r.at == r.n // 3 for r in df.collect())
+    rows.write.parquet(str(tmp_path / "rows"))
+    read = spark.read.parquet(str(tmp_path / "rows"))
+    assert ordered.parts_for(read, 10) == 100 and ordered.parts_for(read) == 0
+    dealt = views.parts_for
+    try:
+        views.parts_for = lambda lines: dealt(lines, 100)
+        zh = views.zh_elements(spark, SF)
+        assert "REPARTITION_BY_NUM" in zh._jdf.queryExecution().executedPlan().toString()
+        many = sorted((r.doc_id, r.element_index, r.content) for r in zh.select("doc_id", "element_index", "content").collect())
+    finally:
+        views.parts_for = dealt
+    assert many == sorted((r.doc_id, r.element_index, r.content) for r in views.zh_elements(spark, SF).select("doc_id", "element_index", "content").collect())
+
+
 def test_requirement_texts_of_one_file_are_dealt_to_all_cores(spark):
     docs = spark.createDataFrame([(k, "正文：宋体，小四") for k in range(40)], "rule_text_id long, text string").coalesce(1)
     rules = formatting.rules_from_text(docs)
