@@ -18,6 +18,7 @@ from proofloom.operators import issues as I
 from proofloom.operators import models as M
 from proofloom.plans import qa
 from proofloom.rules import fixed as R
+from proofloom.session import stored
 from proofloom.sources.lexicon import builtin_lexicon
 from proofloom.streaming.jobs import work_folder
 
@@ -262,9 +263,10 @@ query("M7_analysis_prompt", f"""{_LA_ISSUES}, o AS (SELECT *, row_number() OVER
 _NEW = "doc_id, element_index, substr(content, q % 5 + 1, 2 + q % 6) AS location_text"
 
 
-def _model_issues(spark, d, side):
-    """A piece of every element as an issue: those of odd parts are there already (1), those of even parts are new (0)."""
-    return zh_elements(spark, d, "q", "pk").filter(f"pk % 2 = {side}").selectExpr(*[c.strip() for c in _split(_NEW)])
+def _model_issues(spark, d):
+    """A piece of every element as an issue, made and stored once: those of even parts are new, those of odd parts are there already."""
+    pieces = stored(zh_elements(spark, d, "q", "pk").selectExpr(*[c.strip() for c in _split(_NEW)], "pk % 2 AS side"), "pieces")
+    return tuple(pieces.filter(f"side = {side}").drop("side") for side in (0, 1))
 
 
 _STRIPPED = "regexp_replace(location_text, '^\\s+|\\s+$', '', 'g')"
@@ -279,7 +281,7 @@ for _name, _cont in (("C18_near_dup_issues", True), ("C18_near_dup_jaccard_only"
       na AS (SELECT DISTINCT doc_id, t FROM n WHERE length(t) >= {_min}),
       dup AS (SELECT DISTINCT a.doc_id, a.t FROM na a JOIN b ON a.doc_id = b.doc_id AND ({"contains(a.t, b.t) OR contains(b.t, a.t) OR " if _cont else ""}{_SIM}))
       SELECT doc_id, element_index, location_text FROM n ANTI JOIN dup USING (doc_id, t)""")(
-        lambda spark, d, c=_cont: M.drop_near_duplicates(_model_issues(spark, d, 0), _model_issues(spark, d, 1), containment=c))
+        lambda spark, d, c=_cont: M.drop_near_duplicates(*_model_issues(spark, d), containment=c))
 #: One new issue of every document per step, with the list of texts kept so far.
 query("G2_merge_model_issues", f"""WITH RECURSIVE {_OLD_NEW},
     n AS (SELECT *, {_STRIPPED} AS t, row_number() OVER (PARTITION BY doc_id ORDER BY element_index, location_text) AS r FROM nw),
@@ -291,4 +293,4 @@ query("G2_merge_model_issues", f"""WITH RECURSIVE {_OLD_NEW},
              / len(list_distinct(list_concat(string_split(x, ''), string_split(n.t, '')))) > 0.8)) = 0 AS keep
         FROM w JOIN n ON n.doc_id = w.doc_id AND n.r = w.r + 1))
     SELECT doc_id, element_index, location_text FROM i UNION ALL SELECT doc_id, element_index, location_text FROM n JOIN w USING (doc_id, r) WHERE w.kept""")(
-    lambda spark, d: M.merge_model_issues(_model_issues(spark, d, 1), _model_issues(spark, d, 0), ["element_index", "location_text"]))
+    lambda spark, d: (lambda new, old: M.merge_model_issues(old, new, ["element_index", "location_text"]))(*_model_issues(spark, d)))

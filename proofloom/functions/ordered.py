@@ -40,13 +40,14 @@ def _blocked(df: DataFrame, keys, blocks):
     return df, names
 
 
-def _dealt(df: DataFrame, parts: int, *by) -> DataFrame:
+def dealt(df: DataFrame, parts: int, *by) -> DataFrame:
+    """``df`` in ``parts`` tasks by ``by``; 0 leaves it to the session."""
     return df.repartition(parts, *by) if parts else df
 
 
 def parts_for(df: DataFrame, rows: int = TASK_ROWS) -> int:
-    """Tasks that take about ``rows`` rows each, or 0 if a shuffle of the session has as many. ``df`` is a table as read: its rows are
-    counted by the footers of its files."""
+    """Tasks that take about ``rows`` rows each, or 0 if a shuffle of the session has as many. The rows of a table as read or
+    stored are counted by the footers of its files."""
     parts = -(-df.count() // rows)
     return parts if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0
 
@@ -55,7 +56,7 @@ def _carry(df: DataFrame, inside: DataFrame, keys, names, totals, carries, parts
     """``inside`` (the rows of ``df`` with their windows inside the block) with what the blocks before carry in."""
     per_block = df.groupBy(*keys, *names).agg(*totals)
     before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    per_block = _dealt(per_block.select(*keys, *names, *[c(before) for c in carries]), parts, *keys, *names)
+    per_block = dealt(per_block.select(*keys, *names, *[c(before) for c in carries]), parts, *keys, *names)
     # Same hash keys as the window inside the block, so the big side moves once, and its order serves the join, so it is sorted once. With
     # many short keys the small rows are as many as the keys, so they are never sent through the driver.
     return inside.join(per_block.hint("merge"), [*keys, *names])
@@ -72,7 +73,7 @@ def running_sum(df: DataFrame, keys, order, blocks, parts: int = 0, **values: Co
     ]
     totals = [F.sum(f"__v_{out}").alias(f"__t_{out}") for out in values]
     window = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = _dealt(work, parts, *keys, *names).select("*", *[F.sum(f"__v_{out}").over(window).alias(f"__i_{out}") for out in values])
+    inside = dealt(work, parts, *keys, *names).select("*", *[F.sum(f"__v_{out}").over(window).alias(f"__i_{out}") for out in values])
     work = _carry(work, inside, keys, names, totals, carries, parts)
     return work.select(*df.columns, *[(F.coalesce(F.col(f"__c_{out}"), F.lit(0)) + F.col(f"__i_{out}")).alias(out) for out in values])
 

@@ -128,3 +128,35 @@ def test_alias_hits_are_made_once(spark, elements):
 
     issues = C.unit_alias(elements((1, "paragraph", "长5 km，宽3 千米")))
     assert "Generate" not in _plan(issues.select("doc_id", "location_text")) and issues.count() == 1
+
+
+def _kept_by_a_loop(base, new):
+    def close(a, b):
+        return len(a) > 1 and len(b) > 1 and (a in b or b in a or len(set(a) & set(b)) / len(set(a) | set(b)) > 0.8)
+
+    kept, apart = list(base), [t for t in new if not any(close(t.strip(), k.strip()) for k in base)]
+    for t in new:
+        if not any(close(t.strip(), k.strip()) for k in kept):
+            kept.append(t)
+    return sorted(kept), sorted(apart)
+
+
+def test_texts_of_ordinary_documents_meet_without_their_pieces(spark, monkeypatch):
+    """Documents of all sizes give what a plain loop gives; no piece of a text of an ordinary one is moved."""
+    import random
+
+    from proofloom.operators import models as M
+
+    rng, base, new = random.Random(5), {}, {}
+    for doc, n in ((1, 30), (2, 90), (3, 4)):
+        texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 7))) for _ in range(n)] + ["".join(rng.sample("abcdefghij", 9)) for _ in range(n // 3)]
+        base[doc], new[doc] = texts[::5], [t for k, t in enumerate(texts) if k % 5]
+    table = lambda side: spark.createDataFrame([(d, i, t) for d, texts in side.items() for i, t in enumerate(texts)], "doc_id long, n int, location_text string")
+    old, fresh = table(base), table(new)
+    want = {d: _kept_by_a_loop(base[d], new[d]) for d in base}
+    for rows in (512, 50, 0):  # all documents ordinary, one large, all large
+        monkeypatch.setattr(M, "PAIR_ROWS", rows)
+        apart = M.drop_near_duplicates(fresh, old)
+        assert rows < 512 or "Generate" not in _plan(apart)
+        for got, k in ((M.merge_model_issues(old, fresh, ["n"]).collect(), 0), (apart.collect(), 1)):
+            assert {d: sorted(r.location_text for r in got if r.doc_id == d) for d in base} == {d: w[k] for d, w in want.items()}, (rows, k)
