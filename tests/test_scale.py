@@ -160,3 +160,28 @@ def test_texts_of_ordinary_documents_meet_without_their_pieces(spark, monkeypatc
         assert rows < 512 or "Generate" not in _plan(apart)
         for got, k in ((M.merge_model_issues(old, fresh, ["n"]).collect(), 0), (apart.collect(), 1)):
             assert {d: sorted(r.location_text for r in got if r.doc_id == d) for d in base} == {d: w[k] for d, w in want.items()}, (rows, k)
+
+
+def test_flat_texts_move_each_text_once(spark, monkeypatch):
+    """The wording is made once, and no text is sent to each element above it; large documents give the same."""
+    from proofloom.operators import elements as E
+
+    up = {1: [None, 0, 0, 2, 3, None, 5], 2: [None] + list(range(20)), 3: [1, 0, None]}
+    rows = spark.createDataFrame([(d, k, p, "" if (d, k) == (1, 2) else f"{d}-{k}") for d, ups in up.items() for k, p in enumerate(ups)],
+                                 "doc_id long, element_index int, parent_index int, content string")
+    want = {}
+    for d, ups in up.items():
+        for k in range(len(ups)):
+            at, seen = k, set()
+            while at is not None and at not in seen:
+                seen.add(at)
+                want.setdefault((d, at), []).append(k)
+                at = ups[at]
+    want = {(d, at): "\n".join(f"{d}-{k}" for k in sorted(ks) if (d, k) != (1, 2)) for (d, at), ks in want.items()}
+    flat = E.flat_text(rows)
+    plan = flat._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" not in plan and "root_index#" in plan
+    assert not any("Exchange hashpartitioning(doc_id" in line and "root_index" in line for line in plan.split("\n"))
+    for size in (4096, 10, 0):
+        monkeypatch.setattr(E, "FLAT_ROWS", size)
+        assert {(r.doc_id, r.root_index): r.text for r in E.flat_text(rows).collect()} == want
