@@ -78,3 +78,67 @@ def test_dedup_equals_plain_search(spark, monkeypatch, part, batch):
 
 def test_empty(spark):
     assert R.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def shared_passage(rng, n):
+    """Texts of their own with one passage of 40 bytes in all of them, some equal, some with more in common."""
+    letters = b"abcdefghijklmnop"
+    passage = bytes(rng.choices(letters, k=40))
+    texts = [bytes(rng.choices(letters, k=rng.randrange(5, 30))) + passage + bytes(rng.choices(letters, k=rng.randrange(5, 30))) for _ in range(n)]
+    return texts + texts[:5] + [t[:-3] + b"xyz" for t in texts[:5]] + [passage + t for t in texts[5:10]]
+
+
+def written_records(spark):
+    """Shuffle records of all stages so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_work_of_a_common_passage_grows_with_its_documents(spark, monkeypatch):
+    monkeypatch.setattr(R, "PART", 2)
+    moved = []
+    for n in (100, 400):
+        texts = shared_passage(random.Random(n), n)
+        df = spark.createDataFrame(list(enumerate(t.decode() for t in texts)), "doc_id long, text string")
+        before = written_records(spark)
+        got = sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in R.dedup(df, length=24).collect())
+        moved.append(written_records(spark) - before)
+        assert got == [(i, int(gone.sum()), hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest()) for i, (t, gone) in enumerate(zip(texts, plain(texts, 24)))]
+    assert moved[1] < 6 * moved[0]
+
+
+def test_cuts_own_each_window_once(spark):
+    texts = shared_passage(random.Random(3), 60)
+    pieces = [(anchor, i, a, 0, None, bytearray(t[a:b])) for i, t in enumerate(texts) for anchor, a, b in R.segments(t, 24, 8)]
+    df = spark.createDataFrame(pieces, "anchor long, c1 long, c2 long, start int, place int, bytes binary")
+    want = sorted((i, j) for i, t in enumerate(texts) for j in range(len(t) - 23))
+    for width in (4, 1):
+        df = R._cut(df, 24, 8, width)
+        rows, owner = df.collect(), {}
+        assert sorted((r.c1, r.c2 + r.start + k) for r in rows for k in range(r.size - 23)) == want
+        for r in rows:
+            assert len(r.bytes) == r.size and texts[r.c1][r.c2 + r.start:r.c2 + r.start + r.size] == r.bytes
+            for k in range(r.size - 23):
+                assert owner.setdefault(bytes(r.bytes[k:k + 24]), (r.g1, r.g2)) == (r.g1, r.g2)
+    assert {r.size for r in rows} == {24}
+
+
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark):
+    rng = random.Random(9)
+
+    def words(n):
+        return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyzäß", k=6)) for _ in range(n))
+
+    def cut(size):  # a passage of over 50 words of exactly so many bytes
+        text = words(70)
+        while len(text.encode()) > size - 1:
+            text = text[:-1]
+        return text + "x" * (size - len(text.encode()))
+
+    passages = [cut(399), cut(400), cut(430)]
+    texts = [words(20) + f" {k}" + passages[i] + f"{k} " + words(20) for i in range(3) for k in "pq"] + [words(150)]
+    assert all(len(p.split()) > 50 for p in passages)
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in R.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i][0] for i in range(7)] == [len(t.encode()) for t in texts]
+    assert [got[i][1] for i in range(7)] == [0, 0, 400, 400, 430, 430, 0]
