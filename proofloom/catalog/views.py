@@ -12,10 +12,10 @@ Each view has a SQL twin that DuckDB runs, kept next to it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proofloom.functions.ordered import numbered, parts_for
+from proofloom.functions.ordered import dealt, hot_key, numbered, parts_for
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,10 +96,16 @@ def zh_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = {c.rsplit(" AS ", 1)[1]: c.strip() for c in _split(_BASE.strip())}
     base = lines.selectExpr(*[c for n, c in columns.items() if n not in _LATER], "CAST(l_shipdate AS DATE) AS ship")
     order = ["ok", "pk", "sk", "ln", "px"]
-    blocks = [F.floor(F.col("ok") / F.lit(4)), F.floor(F.col("pk") / F.lit(65536))]
     # Numbering moves only small columns, dealt to as many tasks as the rows need; the wording is built above it, behind a
-    # generator so that rules on the text are not copied into the CASE below.
-    df = numbered(base, ["doc_id"], order, blocks, "element_index", parts=parts_for(lines)).selectExpr("*", *[f"{e} AS {n}" for n, e in _LATER.items()])
+    # generator so that rules on the text are not copied into the CASE below. A document too large for a task is cut into blocks,
+    # which must follow the whole order: parts of different orders never share a block of part keys.
+    parts = parts_for(lines)
+    if hot_key(base, F.col("doc_id")):
+        df = numbered(base, ["doc_id"], order, [F.col("ok"), F.floor(F.col("pk") / F.lit(65536))], "element_index", parts=parts)
+    else:
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1
+        df = dealt(base, parts, "doc_id").withColumn("element_index", place.cast("int"))
+    df = df.selectExpr("*", *[f"{e} AS {n}" for n, e in _LATER.items()])
     line = F.struct(F.expr(_TYPE).alias("t"), F.expr(_LEVEL).alias("lv"), F.expr(_TEXT).alias("c"))
     df = df.select("*", F.inline(F.array(line)))
     return df.selectExpr(

@@ -185,3 +185,24 @@ def test_flat_texts_move_each_text_once(spark, monkeypatch):
     for size in (4096, 10, 0):
         monkeypatch.setattr(E, "FLAT_ROWS", size)
         assert {(r.doc_id, r.root_index): r.text for r in E.flat_text(rows).collect()} == want
+
+
+def test_lines_are_numbered_in_their_order_whatever_the_part_keys(spark, tmp_path, monkeypatch):
+    from proofloom.catalog import views
+    from proofloom.functions import ordered
+
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("l_partkey", F.col("l_partkey") + 65436)
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = lines.selectExpr("l_orderkey ok", "l_partkey pk", "l_suppkey sk", "l_linenumber ln").collect()
+    docs = {}
+    for r in sorted(map(tuple, rows)):
+        docs.setdefault(r[0] // 16, []).append(r[1:])
+    want = sorted((doc, i, *r) for doc, rows in docs.items() for i, r in enumerate(rows))
+    assert {r[2] // 65536 for r in want} == {0, 1}  # part keys on both sides of a block's edge, in one document
+    numbered = lambda: sorted(map(tuple, views.zh_flat(spark, str(tmp_path)).select("doc_id", "element_index", "pk", "sk", "ln").collect()))
+    assert numbered() == want
+    monkeypatch.setattr(views, "hot_key", lambda *a: True)
+    assert numbered() == want
+    keys = spark.range(20000).select(F.when(F.col("id") < 5000, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    assert ordered.hot_key(keys, F.col("k"), 4000) and not ordered.hot_key(keys.filter("k >= 0"), F.col("k"), 4000)
+    assert not ordered.hot_key(keys.limit(0), F.col("k"))
