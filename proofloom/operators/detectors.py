@@ -7,7 +7,9 @@ nothing is shuffled.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +23,16 @@ from proofloom.schemas import ISSUE
 Detector = Callable[[SimpleNamespace], Column]
 
 
+def _sign(regex: str, also: Callable[[Column], Column] | None = None) -> Callable[[Detector], Detector]:
+    """Give a rule the regex (and the condition) that every text it finds something in meets. Signs of several rules are looked for
+    in one pass, so they hold no flags or numbered groups; ``U`` is set."""
+    def add(rule: Detector) -> Detector:
+        rule.sign = (regex, also)
+        return rule
+
+    return add
+
+
 def _at(e: SimpleNamespace, s: Column) -> dict[str, Column]:
     return dict(element_index=e.index, element_type=e.type, location_text=s["hit"],
                 start_pos=s["start"], end_pos=s["end"])
@@ -38,9 +50,13 @@ def _replace_map(char: Column, table: dict[str, str]) -> Column:
     return F.translate(char, "".join(table), "".join(table.values()))
 
 
+_MIXED = rf"(?U)[{R.CJK}]\s*[,\.;:\?!](?!\d)"
+
+
+@_sign(rf"[{R.CJK}](?![{R.CJK}])\s*[,\.;:\?!](?!\d)")
 def mixed_punctuation(e: SimpleNamespace) -> Column:
     """ASCII mark after a CJK character, unless a digit follows."""
-    found = spans(e.text, rf"(?U)[{R.CJK}]\s*[,\.;:\?!](?!\d)")
+    found = spans(e.text, _MIXED)
 
     def build(s: Column) -> Column:
         cjk, mark = _char(s["hit"], 0), F.right(s["hit"], F.lit(1))
@@ -51,10 +67,14 @@ def mixed_punctuation(e: SimpleNamespace) -> Column:
     return F.when(e.type != "reference", F.transform(found, build)).otherwise(_none())
 
 
+_MARKS = "".join(m[0] for m in R.REPEATED_MARKS)
+_DOUBLED = rf"([{_MARKS}])\1"
+
+
+@_sign(rf"(?<mark>[{_MARKS}])\k<mark>")
 def repeat_punctuation(e: SimpleNamespace) -> Column:
     """The same mark twice in a row."""
-    marks = "".join(m[0] for m in R.REPEATED_MARKS)
-    found = spans(e.text, rf"([{marks}])\1")
+    found = spans(e.text, _DOUBLED)
     return F.transform(found, lambda s: issue(
         "format.repeat_punctuation", {"hit": s["hit"], "mark": _char(s["hit"], 0)}, **_at(e, s)))
 
@@ -67,17 +87,29 @@ def cjk_ascii_spacing(e: SimpleNamespace) -> Column:
         {"hit": s["hit"], "left": _char(s["hit"], 0), "right": _char(s["hit"], 1)}, **_at(e, s)))
 
 
+_FULLWIDTH = f"[{R.FULLWIDTH_DIGITS[0]}-{R.FULLWIDTH_DIGITS[-1]}]+"
+
+
+@_sign(_FULLWIDTH)
 def fullwidth_digit(e: SimpleNamespace) -> Column:
-    found = spans(e.text, f"[{R.FULLWIDTH_DIGITS[0]}-{R.FULLWIDTH_DIGITS[-1]}]+")
+    found = spans(e.text, _FULLWIDTH)
     return F.transform(found, lambda s: issue(
         "format.fullwidth_digit",
         {"hit": s["hit"], "half": F.translate(s["hit"], R.FULLWIDTH_DIGITS, "0123456789")}, **_at(e, s)))
 
 
+_BRACKET = "[" + "".join("\\" + c for p in R.BRACKET_PAIRS for c in p) + "]"
+
+
+def _count(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+
+@_sign(_BRACKET, lambda text: reduce(lambda a, b: a | b, [_count(text, p[0]) != _count(text, p[1]) for p in R.BRACKET_PAIRS]))
 def bracket_pair(e: SimpleNamespace) -> Column:
     """Left and right counts differ for a bracket pair within the element."""
     head = F.concat(F.substring(e.text, 1, 60), F.when(F.length(e.text) > 60, F.lit("...")).otherwise(F.lit("")))
-    count = lambda mark: F.length(e.text) - F.length(F.replace(e.text, F.lit(mark), F.lit("")))
+    count = lambda mark: _count(e.text, mark)
     found = []
     for pair in R.BRACKET_PAIRS:
         left, right = pair
@@ -85,10 +117,14 @@ def bracket_pair(e: SimpleNamespace) -> Column:
             "format.bracket_pair",
             {"left": F.lit(left), "right": F.lit(right), "lefts": count(left), "rights": count(right)},
             element_index=e.index, element_type=e.type, location_text=head)))
-    any_mark = e.text.rlike("[" + "".join("\\" + c for p in R.BRACKET_PAIRS for c in p) + "]")
-    return F.when(any_mark, F.array_compact(F.array(*found))).otherwise(_none())
+    return F.when(e.text.rlike(_BRACKET), F.array_compact(F.array(*found))).otherwise(_none())
+
+
+_TWICE = rf"([{R.CJK}])\1"
+_TWICE_SIGN = rf"(?<twice>[{R.CJK}])\k<twice>"
 
 
+@_sign(_TWICE_SIGN)
 def repeat_char_3plus(e: SimpleNamespace) -> Column:
     found = spans(e.text, rf"([{R.CJK}])\1{{2,}}")
     return F.transform(found, lambda s: issue(
@@ -96,6 +132,7 @@ def repeat_char_3plus(e: SimpleNamespace) -> Column:
         {"n": F.length(s["hit"]), "char": _char(s["hit"], 0), "hit": s["hit"]}, **_at(e, s)))
 
 
+@_sign(_TWICE_SIGN)
 def repeat_char_2(e: SimpleNamespace) -> Column:
     """A CJK character twice, unless legal or a word boundary inside CJK text."""
     is_cjk = lambda c: c.rlike(f"^[{R.CJK}]")
@@ -108,11 +145,15 @@ def repeat_char_2(e: SimpleNamespace) -> Column:
         edge = (F.instr(F.lit(R.WORD_EDGE_CHARS), ch) > 0) & is_cjk(before) & is_cjk(after)
         return ~legal & ~longer & ~edge
 
-    found = F.filter(spans(e.text, rf"([{R.CJK}])\1"), keep)
+    found = F.filter(spans(e.text, _TWICE), keep)
     return F.transform(found, lambda s: issue(
         "typo.repeat_char_2", {"hit": s["hit"], "char": _char(s["hit"], 0)}, **_at(e, s)))
 
 
+_GAP = rf"(?U)[{R.CJK}]\s+[{R.CJK}]"
+
+
+@_sign(rf"[{R.CJK}](?![{R.CJK}])\s+[{R.CJK}]")
 def sentence_gap(e: SimpleNamespace) -> Column:
     """One space between CJK characters in running text."""
     def keep(s: Column) -> Column:
@@ -123,26 +164,32 @@ def sentence_gap(e: SimpleNamespace) -> Column:
 
     body = (e.type != "heading") & ~flag(e, "exclude_from_format_body") & ~flag(e, "exclude_from_xref_targets")
     long_text = F.regexp_count(e.text, F.lit(f"[{R.CJK}]")) > 20
-    found = F.filter(spans(e.text, rf"(?U)[{R.CJK}]\s+[{R.CJK}]"), keep)
+    found = F.filter(spans(e.text, _GAP), keep)
     hits = F.transform(found, lambda s: issue(
         "format.sentence_gap",
         {"left": _char(s["hit"], 0), "right": F.right(s["hit"], F.lit(1))}, **_at(e, s)))
-    return F.when(body & e.text.rlike(rf"(?U)[{R.CJK}]\s+[{R.CJK}]") & long_text, hits).otherwise(_none())
+    return F.when(body & e.text.rlike(_GAP) & long_text, hits).otherwise(_none())
+
+
+_UG = r"(?iU)(?<![A-Za-z\d])ug/L(?![A-Za-z\d])"
+_CELSIUS = r"(?iU)(\d)\s+(°C|℃)"
 
 
+@_sign(r"(?i:ug/L)")
 def unit_ug_per_l(e: SimpleNamespace) -> Column:
-    found = spans(e.text, r"(?iU)(?<![A-Za-z\d])ug/L(?![A-Za-z\d])")
+    found = spans(e.text, _UG, "/")
     return F.transform(found, lambda s: issue("format.unit.ug_per_l", {}, **_at(e, s)))
 
 
+@_sign(r"\s(?i:°C|℃)")
 def unit_celsius_spacing(e: SimpleNamespace) -> Column:
-    regex = r"(?iU)(\d)\s+(°C|℃)"
-    found = spans(e.text, regex)
+    found = spans(e.text, _CELSIUS)
     return F.transform(found, lambda s: issue(
         "format.unit.celsius_spacing",
-        {"digit": _char(s["hit"], 0), "unit": F.regexp_extract(s["hit"], regex, 2)}, **_at(e, s)))
+        {"digit": _char(s["hit"], 0), "unit": F.regexp_extract(s["hit"], _CELSIUS, 2)}, **_at(e, s)))
 
 
+@_sign("的(?:" + "|".join(map(re.escape, R.PREDICATE_VERBS)) + ")")
 def de_di_de(e: SimpleNamespace) -> Column:
     """Adverb + 的 + verb, where 地 is meant."""
     regex = rf"([{R.CJK}]{{1,4}})的([{R.CJK}]{{1,2}})"
@@ -239,7 +286,14 @@ LOGIC_RULES: dict[str, Detector] = {
 
 
 def detect(elements: DataFrame, *detectors: Detector) -> DataFrame:
-    """Run element rules in one pass over the text."""
+    """Run element rules in one pass over the text. Where every rule says what it cannot do without, elements without any of it leave first."""
     e = element()
     found = F.flatten(F.array(*[d(e) for d in detectors])) if len(detectors) > 1 else detectors[0](e)
-    return elements.filter(F.length("content") > 0).select("doc_id", F.inline(found))
+    rows = elements.filter(F.length("content") > 0)
+    signs = [getattr(d, "sign", None) for d in detectors]
+    if all(signs):
+        plain = "|".join(dict.fromkeys(regex for regex, also in signs if also is None))
+        tests = [F.col("content").rlike(f"(?U){plain}")] if plain else []
+        tests += [F.col("content").rlike(f"(?U){regex}") & also(F.col("content")) for regex, also in signs if also is not None]
+        rows = rows.filter(reduce(lambda a, b: a | b, tests))
+    return rows.select("doc_id", F.inline(found))

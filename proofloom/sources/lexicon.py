@@ -5,6 +5,8 @@ A lexicon is a table ``(wrong, right, note, layer, priority)``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +97,25 @@ def grams(text: Column, n: int) -> Column:
 SENT_WORDS = 100_000
 
 
+#: Words of a lexicon that are looked for in the whole text first.
+LOOKED_FOR = 1_000
+
+
+def _any_of(words: list[str]) -> str:
+    """A regex that finds any of the words. Their first characters are halved by ranges, so a place costs about log2 of the words."""
+    if not words or not all(words):
+        return "(?!)" if not words else ""
+
+    def tree(ws: list[str]) -> str:
+        firsts = sorted({w[0] for w in ws})
+        if len(firsts) < 4:
+            return "(?:" + "|".join(map(re.escape, ws)) + ")"
+        halves = firsts[: len(firsts) // 2], firsts[len(firsts) // 2:]
+        return "(?:" + "|".join(f"(?=[{re.escape(h[0])}-{re.escape(h[-1])}]){tree([w for w in ws if h[0] <= w[0] <= h[-1]])}" for h in halves) + ")"
+
+    return tree(sorted(set(words)))
+
+
 def typo_hits(elements: DataFrame, lexicon: DataFrame, gram: int = 2) -> DataFrame:
     """Every lexicon word in every element, with positions.
 
@@ -105,6 +126,9 @@ def typo_hits(elements: DataFrame, lexicon: DataFrame, gram: int = 2) -> DataFra
     piece of every text to them.
     """
     words = lexicon.select("wrong", "right", "note", F.substring("wrong", 1, gram).alias("start"))
+    few = [r.wrong for r in words.select("wrong").filter("wrong IS NOT NULL").limit(max(LOOKED_FOR, 0) + 1).collect()]
+    if len(few) <= LOOKED_FOR:  # an element without any word leaves before it is cut
+        elements = elements.filter(F.col("content").rlike(_any_of(few)))
     words = F.broadcast(words) if words.limit(SENT_WORDS + 1).count() <= SENT_WORDS else words
     pieces = F.array_distinct(F.concat(*[grams(F.col("content"), n) for n in range(min(2, gram), gram + 1)]))
     found = elements.filter(F.length("content") >= min(2, gram)).select("*", F.explode(pieces).alias("start"))

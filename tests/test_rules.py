@@ -145,3 +145,34 @@ def test_first_object_of_a_model_answer(spark):
     cases = {'x {"a": {"b": 1}} {"c": 2}': '{"a": {"b": 1}}', "{no} then {\"y\": 1}": '{"y": 1}', "} {\"y\": 1}": None, "none": None, "": None, None: None, '{"é": "𝄞"}!': '{"é": "𝄞"}'}
     got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", _first_object(F.col("t")).alias("o")).collect()
     assert {r.t: r.o for r in got} == cases
+
+
+def test_elements_without_a_sign_of_a_rule_leave_before_the_rules(spark, elements, monkeypatch):
+    import random
+
+    from proofloom.operators import detectors as D
+    from proofloom.sources import lexicon as L
+
+    rng = random.Random(4)
+    bits = ["中", "文", "了了", "了了了", "的", "认真的学习", "快速的分析", ",", "，，", "!!", "?", " ", "　", "\n", "３", "5", "5 ℃", "7  °c", "UG/l", "xug/L", "（", "）", "[", "】", "帐号", "做为", "a",
+            "海洋观测技术的持续进步和数据积累不断增加速度"]
+    kinds = ["paragraph", "heading", "reference"]
+    docs = elements(*[(k, rng.choice(kinds), "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))) for k in range(600)]).localCheckpoint()
+    rules = list(D.TEXT_RULES.values())
+    found = sorted(D.detect(docs, *rules).collect(), key=repr)
+    plan = D.detect(docs, *rules)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan[plan.index("Filter"):] and len({r.rule_id for r in found}) == len(rules)
+    words = L.builtin_lexicon(spark)
+    hits = sorted(L.typo_hits(docs, words).collect(), key=repr)
+    assert hits and "RLIKE" in L.typo_hits(docs, words)._jdf.queryExecution().optimizedPlan().toString()
+    for rule in rules:
+        one = sorted(D.detect(docs, rule).collect(), key=repr)
+        assert one == [r for r in found if r.rule_id == one[0].rule_id]
+        monkeypatch.delattr(rule, "sign")
+    monkeypatch.setattr(L, "LOOKED_FOR", -1)
+    assert found == sorted(D.detect(docs, *rules).collect(), key=repr)
+    assert hits == sorted(L.typo_hits(docs, words).collect(), key=repr)
+    assert L._any_of([]) == "(?!)" and L._any_of(["a", ""]) == ""
+    odd = ["a-b", "^x", "[y]", "a\\c", "*", "z&&z", "q q", "-", "]]"]
+    texts = spark.createDataFrame([(w, f"1{w}2") for w in odd] + [("none", "ac ^ [ y")], "w string, t string")
+    assert sorted(r.w for r in texts.filter(F.col("t").rlike(L._any_of(odd))).collect()) == sorted(odd)
