@@ -20,6 +20,8 @@ from proofloom.llm.common import column, stored
 
 #: Pivots, annuli per pivot (so the directory has at most their product of rows), vectors per block, queries per batch.
 PIVOTS, ANNULI, BLOCK, BATCH = 64, 16, 8192, 2048
+#: Rows that a batch of queries may ask for at once, each with the vector of its query.
+SENT_ROWS = 65_536
 #: Relative slack of distances in double precision.
 SLACK = 1e-9
 
@@ -47,6 +49,13 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([[sum(int(x) * int(y) for x, y in zip(p, q)) for q in b] for p in a], dtype=object)
 
 
+def _slices(pdfs: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The same rows, at most ``rows`` (one at least) at once."""
+    for pdf in pdfs:
+        for lo in range(0, len(pdf), max(1, rows)):
+            yield pdf.iloc[lo:lo + max(1, rows)]
+
+
 def index(quant: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, float, int, pd.DataFrame]:
     """The stored index (pivot, r, annulus, ids, v), pivots, largest squared norm, dimensions, and the directory of annuli.
 
@@ -90,6 +99,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
     rings = directory[["pivot", "low", "high", "n"]].to_numpy()
     numbers = directory[["pivot", "ring"]].to_numpy(np.int64)
     parts = np.maximum(1, -(-rings[:, 3].astype(np.int64) // BLOCK))
+    step = SENT_ROWS // max(1, int(parts.sum()))  # a query asks for all parts at most
     schema = "query_id long, v array<long>, pivot int, ring int, part int, batch int"
 
     def bounds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,12 +116,12 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
         return rows.assign(batch=pd.util.hash_array(rows["query_id"].to_numpy()) % batches)
 
     def first_ring(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
+        for pdf in _slices(pdfs, step):
             least, _ = bounds(_matrix(list(pdf["v"]), dims))
             yield send(pdf, np.arange(len(rings))[None, :] == least.argmin(1)[:, None])
 
     def other_rings(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
+        for pdf in _slices(pdfs, step):
             least, base = bounds(_matrix(list(pdf["v"]), dims))
             reach = np.sqrt(np.maximum(0, base - 2 * pdf["kth"].to_numpy(float)))  # no k-th score yet: infinite
             within = least <= (reach * (1 + SLACK) + SLACK * np.sqrt(base))[:, None]

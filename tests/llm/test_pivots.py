@@ -58,3 +58,16 @@ def test_every_annulus_in_parts(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = pivots.top_k(df, F.col("vec_id") % 800 == 0)
     assert sorted(map(tuple, got.collect())) == sorted(plain(rows, 5, 800))
+
+
+def test_queries_ask_in_bounded_slices(spark, monkeypatch):
+    import pandas as pd
+
+    frames = [pd.DataFrame({"n": range(10)}), pd.DataFrame({"n": []}), pd.DataFrame({"n": range(3)})]
+    assert [list(f["n"]) for f in pivots._slices(iter(frames), 4)] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9], [0, 1, 2]]
+    assert [len(f) for f in pivots._slices(iter(frames), 0)] == [1] * 13
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(pivots, "SENT_ROWS", 1)  # one query at a time
+    assert sorted(map(tuple, pivots.top_k(df, F.col("vec_id") % 10 == 0).collect())) == sorted(plain(rows, 5, 10))
